@@ -112,3 +112,42 @@ def row_ids(df: DataFrame, order: Sequence[str], name: str, max_rows: int | None
         ordered.withColumn("_in", inner).join(offsets, "_part")
         .withColumn(name, (F.col("_in") + F.col("_offset") - 1).cast("int")).drop("_part", "_in", "_offset")
     )
+
+
+def quantiles(
+    df: DataFrame,
+    value: str,
+    probs: Sequence[float],
+    names: Sequence[str],
+    by: Sequence[str] = (),
+    max_rows: int | None = None,
+) -> DataFrame:
+    """Exact linear-interpolation quantiles, one row per group.
+
+    The built-in `percentile` keeps every distinct value of a group in one
+    buffer; beyond a proven small size the ranks come from `value_positions`.
+    """
+    by = list(by)
+    if max_rows is not None and max_rows <= UNIT_LIMIT:
+        grid = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]))
+        return df.groupBy(*by).agg(grid.alias("_q")).select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    pos = value_positions(df, value, by=by)
+    at = []
+    for i, p in enumerate(probs):
+        h = F.lit(float(p)) * (F.col("n_all") - 1)
+        at += [F.max(F.when(F.col("n_lt") <= F.floor(h), F.col(value))).alias(f"_lo{i}"),
+               F.max(F.when(F.col("n_lt") <= F.ceil(h), F.col(value))).alias(f"_hi{i}"),
+               F.max(h - F.floor(h)).alias(f"_f{i}")]
+    found = pos.groupBy(*by).agg(*at)
+    return found.select(*by, *[
+        (F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(n) for i, n in enumerate(names)])
+
+
+def weighted_quantiles(
+    df: DataFrame, value: str, weight: str, probs: Sequence[float], names: Sequence[str],
+    by: Sequence[str] = (), max_rows: int | None = None,
+) -> DataFrame:
+    """First value whose cumulative weight reaches the wanted share, one row per group."""
+    pos = value_positions(df, value, {"w": F.col(weight)}, by, max_rows)
+    return pos.groupBy(*by).agg(*[
+        F.min(F.when(F.col("cum_w") >= p * F.col("all_w"), F.col(value))).alias(n) for p, n in zip(probs, names)])

@@ -20,8 +20,8 @@ def cents(x: str) -> Column:
     return F.floor(F.col(x) * 100 + 0.5).cast("bigint")
 
 
-def monthly_panel(facts: DataFrame, key: str, date: str, amount: str, scale: float = 100_000.0) -> DataFrame:
-    """One row per key and month with the exact mean of `amount`."""
+def monthly_panel(facts: DataFrame, key: str, date: str, amount: str, scale: float = 99_991.0) -> DataFrame:
+    """One row per key and month: exact mean of `amount`, divided by a fixed unit scale."""
     month = F.trunc(F.col(date).cast("date"), "month")
     return (
         facts.groupBy(F.col(key).alias("site"), month.alias("month"))

@@ -147,7 +147,7 @@ def tab_lookup(spark, sf):
     return S.read_codes(spark, folder)
 
 
-@query("S16_titled_csv", """SELECT CAST(yr AS BIGINT) AS yr, sum(n) AS n FROM (SELECT year(month) AS yr, n FROM panel) GROUP BY 1""", ("panel",))
+@query("S16_titled_csv", """SELECT CAST(yr AS BIGINT) AS yr, CAST(sum(n) AS BIGINT) AS n FROM (SELECT year(month) AS yr, n FROM panel) GROUP BY 1""", ("panel",))
 def titled_csv(spark, sf):
     folder = S.shared_folder(spark, "titled")
     yearly = V.panel(spark, sf).groupBy(F.year("month").cast("bigint").alias("yr")).agg(F.sum("n").alias("n"))
@@ -227,7 +227,7 @@ def bounded_coordinates(spark, sf):
         C.parse_coordinate(F.concat(F.abs("lon").cast("string"), ew), 180.0).alias("longitude"))
 
 
-@query("F3_decimal_decades", """SELECT round((year(month) + (month(month) - 0.5) / 12.0) / 10.0, 6) AS decades, sum(n) AS n FROM panel GROUP BY 1""", ("panel",))
+@query("F3_decimal_decades", """SELECT round((year(month) + (month(month) - 0.5) / 12.0) / 10.0, 6) AS decades, CAST(sum(n) AS BIGINT) AS n FROM panel GROUP BY 1""", ("panel",))
 def decimal_decades(spark, sf):
     return V.panel(spark, sf).groupBy(F.round(C.decimal_decades("month"), 6).alias("decades")).agg(F.sum("n").alias("n"))
 
@@ -325,7 +325,7 @@ def longitude_180(spark, sf):
     return V.sites(spark, sf).select("site", C.lon_to_180(C.lon_to_360("lon")).alias("lon180"))
 
 
-@query("F17_fractional_year", "SELECT strftime(month, '%Y-%m-%d') AS month, sum(n) AS n FROM panel GROUP BY 1", ("panel",))
+@query("F17_fractional_year", "SELECT strftime(month, '%Y-%m-%d') AS month, CAST(sum(n) AS BIGINT) AS n FROM panel GROUP BY 1", ("panel",))
 def fractional_year(spark, sf):
     stamp = F.year("month") + (F.month("month") - 0.5) / 12.0
     return (V.panel(spark, sf).groupBy(F.date_format(C.fractional_year_to_month(stamp), "yyyy-MM-dd").alias("month"))
@@ -518,7 +518,7 @@ def intercept_check(spark, sf):
     return refit.join(stored, "site").select("site", r6("intercept").alias("intercept"), (F.abs(F.col("slope") - F.col("stored")) <= 1e-8).alias("refit_equal"))
 
 
-def cell_slopes(spark, sf, min_fraction=0.9):
+def cell_slopes(spark, sf, min_fraction=0.6):
     """Robust slope per land cell with enough finite months."""
     cells = V.with_zone(V.cells(spark, sf)).where(F.col("nk").isNotNull() & C.in_window("month", *V.WINDOW)).withColumn("x", C.decimal_decades("month"))
     need = -(-C.months_in_window(*V.WINDOW) * min_fraction // 1)
@@ -528,7 +528,7 @@ def cell_slopes(spark, sf, min_fraction=0.9):
 CELL_SQL = """cc AS (SELECT c.ilat, c.ilon, m.nk, m.clat, c.month, c.value, (year(c.month) + (month(c.month) - 0.5) / 12.0) / 10.0 AS x
  FROM cells c JOIN mask m ON m.ilat = c.ilat AND m.ilon = c.ilon WHERE m.nk IS NOT NULL AND c.month BETWEEN DATE '1995-02-01' AND DATE '2001-10-01'),
 cs AS (SELECT a.ilat, a.ilon, median((b.value-a.value)/(b.x-a.x)) AS slope FROM cc a JOIN cc b ON a.ilat = b.ilat AND a.ilon = b.ilon AND a.month < b.month GROUP BY 1, 2),
-cn AS (SELECT ilat, ilon, nk, clat, count(*) AS n FROM cc GROUP BY 1, 2, 3, 4 HAVING count(*) >= ceil(0.9*81)),
+cn AS (SELECT ilat, ilon, nk, clat, count(*) AS n FROM cc GROUP BY 1, 2, 3, 4 HAVING count(*) >= ceil(0.6*81)),
 cf AS (SELECT cn.*, cs.slope FROM cn JOIN cs ON cs.ilat = cn.ilat AND cs.ilon = cn.ilon)"""
 
 
@@ -549,7 +549,7 @@ def land_mean(spark, sf):
     return cell_slopes(spark, sf).agg(F.count("*").alias("n_cells"), r6(F.sum(w * F.col("slope")) / F.sum(w)).alias("land_mean"))
 
 
-E8 = CELL_SQL.replace("ceil(0.9*81)", "ceil(0.5*81)")
+E8 = CELL_SQL.replace("ceil(0.6*81)", "ceil(0.5*81)")
 
 
 @query("E8_second_product_cells", f"WITH {E8} SELECT ilat, ilon, round(slope, 6)+0.0 AS slope FROM cf", ("cells", "mask"))

@@ -14,7 +14,7 @@ VIEWS: dict[str, str] = {
     "units": """SELECT CAST(n_nationkey AS BIGINT) AS nk, n_name AS unit, r_name AS zone
         FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "panel": """SELECT l_suppkey AS site, CAST(date_trunc('month', l_shipdate) AS DATE) AS month,
-        CAST(sum(CAST(floor(l_extendedprice*100+0.5) AS BIGINT)) AS DOUBLE)/count(*)/100000.0 AS value,
+        CAST(sum(CAST(floor(l_extendedprice*100+0.5) AS BIGINT)) AS DOUBLE)/count(*)/99991.0 AS value,
         count(*) AS n FROM lineitem GROUP BY 1, 2""",
     "clim": f"""SELECT site, CAST(month(month) AS BIGINT) AS moy, avg(value) AS climatology
         FROM panel WHERE {BASELINE_SQL} GROUP BY 1, 2""",
