@@ -151,3 +151,21 @@ def weighted_quantiles(
     pos = value_positions(df, value, {"w": F.col(weight)}, by, max_rows)
     return pos.groupBy(*by).agg(*[
         F.min(F.when(F.col("cum_w") >= p * F.col("all_w"), F.col(value))).alias(n) for p, n in zip(probs, names)])
+
+
+def suffix_min(pos: DataFrame, order: str, value: str, name: str, max_rows: int | None = None) -> DataFrame:
+    """Smallest `value` at or above each position of a table with distinct `order`."""
+    ahead = Window.orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    if max_rows is not None and max_rows <= UNIT_LIMIT:
+        return pos.withColumn(name, F.min(value).over(ahead))
+    pos = cut_lineage(pos)
+    if pos.count() <= UNIT_LIMIT:
+        return pos.withColumn(name, F.min(value).over(ahead))
+    cuts = sorted(set(pos.approxQuantile(order, [i / _RANGES for i in range(1, _RANGES)], 0.25 / _RANGES)))
+    edges = F.array(*[F.lit(float(c)) for c in cuts])
+    pos = pos.withColumn("_range", F.size(F.filter(edges, lambda e: e < F.col(order))))
+    later = Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)  # at most _RANGES rows
+    tails = pos.groupBy("_range").agg(F.min(value).alias("_m")).select("_range", F.min("_m").over(later).alias("_later"))
+    inner = Window.partitionBy("_range").orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    return (pos.withColumn("_in", F.min(value).over(inner)).join(tails, "_range")
+            .withColumn(name, F.least("_in", "_later")).drop("_in", "_later", "_range"))
