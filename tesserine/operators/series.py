@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from tesserine.functions.distributions import t_quantile
 
 # Fixed values of the estimator: priors, tolerance, iteration bound, search interval.
-V0, ALPHA0, BETA0 = 100.0, 1.0, 0.01
-RHO_TOL, MAX_ITERS, RHO_MARGIN = 1e-6, 100, 1e-6
+V0, ALPHA0, BETA0 = 1e8, 1e-3, 1e-3
+RHO_TOL, MAX_ITERS, RHO_MARGIN = 1e-8, 100, 1e-6
 LAMBDA_LOG10 = (-6.0, 6.0)
 
 

@@ -361,3 +361,67 @@ def nearest_edge(points: DataFrame, key: str, edges: DataFrame, first_step: floa
     for part in done[1:]:
         found = found.unionByName(part)
     return points.join(found, ["lat", "lon"]).select(key, "degrees", "km")
+
+
+# -- great-circle segments ---------------------------------------------------------
+
+def _slerp(t: Column) -> tuple[Column, Column]:
+    """Latitude and longitude at fraction t of the arc (x1, y1) -> (x2, y2)."""
+    ax, ay, az = unit_xyz("y1", "x1")
+    bx, by, bz = unit_xyz("y2", "x2")
+    omega = F.acos(F.least(F.greatest(ax * bx + ay * by + az * bz, F.lit(-1.0)), F.lit(1.0)))
+    wa = F.when(omega > 1e-12, F.sin((1 - t) * omega) / F.sin(omega)).otherwise(1 - t)
+    wb = F.when(omega > 1e-12, F.sin(t * omega) / F.sin(omega)).otherwise(t)
+    x, y, z = wa * ax + wb * bx, wa * ay + wb * by, wa * az + wb * bz
+    return F.degrees(F.atan2(z, F.sqrt(x * x + y * y))), F.degrees(F.atan2(y, x))
+
+
+def arc_km(lat: str, lon: str) -> Column:
+    """Exact distance from a point to the minor arc (x1, y1) -> (x2, y2)."""
+    from tesserine.functions.columns import EARTH_RADIUS_KM
+
+    px, py, pz = unit_xyz(lat, lon)
+    ax, ay, az = unit_xyz("y1", "x1")
+    bx, by, bz = unit_xyz("y2", "x2")
+    nx, ny, nz = ay * bz - az * by, az * bx - ax * bz, ax * by - ay * bx
+    norm = F.sqrt(nx * nx + ny * ny + nz * nz)
+    s = (px * nx + py * ny + pz * nz) / F.nullif(norm, F.lit(0.0))
+    # The foot of the perpendicular lies on the arc when it is ahead of both ends.
+    qx, qy, qz = px - s * nx / norm, py - s * ny / norm, pz - s * nz / norm
+    ahead = (ay * qz - az * qy) * nx + (az * qx - ax * qz) * ny + (ax * qy - ay * qx) * nz
+    behind = (qy * bz - qz * by) * nx + (qz * bx - qx * bz) * ny + (qx * by - qy * bx) * nz
+    ends = F.least(haversine_km(lat, lon, "y1", "x1"), haversine_km(lat, lon, "y2", "x2"))
+    plane = EARTH_RADIUS_KM * F.asin(F.least(F.abs(s), F.lit(1.0)))
+    return F.when((norm > 0) & (ahead >= 0) & (behind >= 0), plane).otherwise(ends)
+
+
+def nearest_arc(points: DataFrame, key: str, arcs: DataFrame, spacing_km: float = 250.0, k: int = 6) -> DataFrame:
+    """Distance from each point to the nearest arc.
+
+    Vertices at most `spacing_km` apart bound the answer: the nearest arc owns a
+    vertex within the nearest vertex distance plus half the spacing. A point whose
+    k-th vertex is not beyond that bound asks again for four times as many.
+    """
+    length = haversine_km("y1", "x1", "y2", "x2")
+    named = cut_lineage(arcs.distinct().withColumn("arc", F.xxhash64("x1", "y1", "x2", "y2")))
+    parts = F.greatest(F.ceil(length / spacing_km), F.lit(1)).cast("int")
+    steps = named.withColumn("_m", parts).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_m"))))
+    vlat, vlon = _slerp(F.col("_s") / F.col("_m"))
+    vertices = cut_lineage(steps.select("arc", F.round(vlat, 9).alias("lat"), F.round(vlon, 9).alias("lon"), F.xxhash64("arc", "_s").alias("vertex")))
+    total = vertices.count()
+    todo, done = cut_lineage(points.select("lat", "lon").distinct().withColumn("_q", F.xxhash64("lat", "lon"))), []
+    while True:
+        near = cut_lineage(nearest(todo, vertices, k, "_q", "vertex", None))
+        span = near.groupBy("_q").agg(F.min("km").alias("_first"), F.max("km").alias("_last"))
+        hit = near.join(vertices.select("vertex", "arc"), "vertex").join(named, "arc").join(todo, "_q")
+        best = hit.groupBy("_q").agg(F.min(arc_km("lat", "lon")).alias("km")).join(span, "_q")
+        settled = cut_lineage(best.where((F.col("_last") > F.col("_first") + spacing_km / 2) | F.lit(k >= total)).select("_q", "km"))
+        done.append(settled.join(todo, "_q").select("lat", "lon", "km"))
+        todo = cut_lineage(todo.join(settled, "_q", "left_anti"))
+        if k >= total or todo.isEmpty():
+            break
+        k = min(4 * k, total)
+    found = done[0]
+    for part in done[1:]:
+        found = found.unionByName(part)
+    return points.join(found, ["lat", "lon"]).select(key, "km")

@@ -219,11 +219,12 @@ def spearman_asymptotic(spark, sf):
 
 def cross_products(spark, sf):
     """Unit warming of both products on their own and on common support."""
-    area = V.zonal(spark, sf).where("nk is not null and nk % 4 <> 0").groupBy("nk").agg((F.sum(F.col("w") * F.abs("slope")) / F.sum("w")).alias("second"))
+    area = V.zonal(spark, sf).where("nk is not null").groupBy("nk").agg(
+        (F.sum(F.col("w") * F.abs("slope")) / F.sum("w")).alias("second"), F.count("*").alias("n_cells")).where("n_cells >= 22").drop("n_cells")
     return cut_lineage(projections(spark, sf).join(area, "nk", "left"))
 
 
-XP = PROJ + ", xa AS (SELECT nk, sum(w*abs(slope))/sum(w) AS second FROM zonal WHERE nk IS NOT NULL AND nk % 4 <> 0 GROUP BY 1), xp AS (SELECT pr.*, xa.second FROM pr LEFT JOIN xa ON xa.nk = pr.nk), xc AS (SELECT * FROM xp WHERE second IS NOT NULL)"
+XP = PROJ + ", xa AS (SELECT nk, sum(w*abs(slope))/sum(w) AS second FROM zonal WHERE nk IS NOT NULL GROUP BY 1 HAVING count(*) >= 22), xp AS (SELECT pr.*, xa.second FROM pr LEFT JOIN xa ON xa.nk = pr.nk), xc AS (SELECT * FROM xp WHERE second IS NOT NULL)"
 
 
 @query("C8_cross_product_metrics", f"""WITH {XP} SELECT (SELECT count(*) FROM xp) AS n_first, (SELECT count(*) FROM xc) AS n_common, round({rho_sql('resp', 'warming', 'xp')}, 6)+0.0 AS rho_first,
@@ -388,9 +389,9 @@ def _lens(name, cols, drop_rule):
     return lens
 
 
-_lens("R10_consumption_lens", (("resp_cons", "consumption_index"), ("resp_win", "production_matched_index")), "nk % 6 = 1")
-_lens("R11_people_lens", (("warming_people", "people_index"), ("resp", "responsibility_index")), "nk % 7 = 2")
-_lens("R12_area_lens", (("warming_area", "area_index"), ("resp", "responsibility_index")), "nk % 8 = 3")
+_lens("R10_consumption_lens", (("resp_cons", "consumption_index"), ("resp_win", "production_matched_index")), "resp_cons < resp_win")
+_lens("R11_people_lens", (("warming_people", "people_index"), ("resp", "responsibility_index")), "warming_people < warming")
+_lens("R12_area_lens", (("warming_area", "area_index"), ("resp", "responsibility_index")), "warming_area < warming")
 
 
 @query("R14_national_definitions", f"WITH {XP} SELECT xp.nk, round(warming, 6) AS station, round(warming_people, 6) AS people, round(warming_area, 6) AS area, round(second, 6) AS second_product FROM xp", PROJ_VIEWS + ("zonal",))

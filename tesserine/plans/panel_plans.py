@@ -138,11 +138,11 @@ def latest_per_entity(spark, sf):
         F.year(F.max("o_orderdate")).cast("bigint").alias("yr"), F.max_by("o_orderpriority", latest).alias("class"))
 
 
-@query("S15_tab_lookup", """SELECT nk AS code, upper(substr(unit, 1, 3)) AS iso3 FROM units WHERE nk % 6 <> 0""", ("units",))
+@query("S15_tab_lookup", """SELECT nk AS code, upper(substr(unit, 1, 3)) AS iso3 FROM units WHERE zone <> 'EUROPE'""", ("units",))
 def tab_lookup(spark, sf):
     folder = S.shared_folder(spark, "codes")
     V.units(spark, sf).select(
-        F.col("nk").alias("code"), F.when(F.col("nk") % 6 != 0, F.upper(F.substring("unit", 1, 3))).otherwise(" ").alias("iso3")
+        F.col("nk").alias("code"), F.when(F.col("zone") != "EUROPE", F.upper(F.substring("unit", 1, 3))).otherwise(" ").alias("iso3")
     ).write.option("sep", "\t").option("header", "true").option("ignoreTrailingWhiteSpace", "false").csv(folder)
     return S.read_codes(spark, folder)
 
@@ -290,12 +290,12 @@ def name_override(spark, sf):
     return V.table(spark, sf, "part").groupBy(name.alias("name")).agg(F.count("*").alias("n"))
 
 
-@query("F12_exclude_aggregates", """SELECT code, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN ''
-  WHEN c_custkey % 5 = 0 THEN 'AGG_' || c_mktsegment ELSE substr(c_mktsegment, 1, 3) END AS code FROM customer)
+@query("F12_exclude_aggregates", """SELECT code, count(*) AS n FROM (SELECT CASE WHEN c_acctbal < 0 THEN NULL WHEN c_acctbal > 9000 THEN ''
+  WHEN c_acctbal > 7000 THEN 'AGG_' || c_mktsegment ELSE substr(c_mktsegment, 1, 3) END AS code FROM customer)
  WHERE code IS NOT NULL AND code <> '' AND NOT starts_with(code, 'AGG_') GROUP BY 1""")
 def exclude_aggregates(spark, sf):
-    k = F.col("c_custkey")
-    code = (F.when(k % 11 == 0, F.lit(None)).when(k % 7 == 0, "").when(k % 5 == 0, F.concat(F.lit("AGG_"), "c_mktsegment"))
+    k = F.col("c_acctbal")
+    code = (F.when(k < 0, F.lit(None)).when(k > 9000, "").when(k > 7000, F.concat(F.lit("AGG_"), "c_mktsegment"))
             .otherwise(F.substring("c_mktsegment", 1, 3)))
     iso = F.coalesce("code", F.lit(""))
     return (V.table(spark, sf, "customer").select(code.alias("code")).where((iso != "") & ~iso.startswith("AGG_"))
@@ -356,9 +356,9 @@ def unique_labels(spark, sf):
         F.col("_same") > 1, F.format_string("%s (%.2f, %.2f)", "place", "lat", "lon")).otherwise(F.col("place")).alias("label"))
 
 
-@query("F21_marker_to_null", "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE event_id % 13 <> 0) AS n_valid, round(sum(CASE WHEN event_id % 13 <> 0 THEN value END), 4) + 0.0 AS total FROM events GROUP BY 1")
+@query("F21_marker_to_null", "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value <= 400) AS n_valid, round(sum(CASE WHEN value <= 400 THEN value END), 4) + 0.0 AS total FROM events GROUP BY 1")
 def marker_to_null(spark, sf):
-    text = F.when(F.col("event_id") % 13 == 0, "***").otherwise(F.col("value").cast("string"))
+    text = F.when(F.col("value") > 400, "***").otherwise(F.col("value").cast("string"))
     return (V.table(spark, sf, "events").withColumn("v", text.try_cast("double")).groupBy("event_type")
             .agg(F.count("*").alias("n"), F.count("v").alias("n_valid"), r6(F.sum("v"), 4).alias("total")))
 

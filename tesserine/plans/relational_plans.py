@@ -41,14 +41,14 @@ def unmatched_log(spark, sf):
     return B.orphans(V.units(spark, sf), V.wealth(spark, sf).where("wealth > 4500"), ["nk"]).select("unit")
 
 
-@query("J5_bridge_join", """SELECT t.nk, b.code, round(z.area_slope, 6)+0.0 AS area_slope FROM natrend t JOIN (SELECT nk, upper(substr(unit, 1, 3)) || CAST(nk AS VARCHAR) AS code FROM units WHERE nk % 5 <> 0) b ON b.nk = t.nk
- LEFT JOIN (SELECT nk, sum(w*slope)/sum(w) AS area_slope FROM zonal WHERE nk IS NOT NULL AND nk % 3 <> 0 GROUP BY 1) z ON z.nk = t.nk
- UNION ALL SELECT t.nk, NULL, NULL FROM natrend t WHERE t.nk % 5 = 0""", ("natrend", "units", "zonal"))
+@query("J5_bridge_join", """SELECT t.nk, b.code, round(z.area_slope, 6)+0.0 AS area_slope FROM natrend t JOIN (SELECT nk, upper(substr(unit, 1, 3)) || CAST(nk AS VARCHAR) AS code FROM units WHERE zone <> 'AFRICA') b ON b.nk = t.nk
+ LEFT JOIN (SELECT nk, sum(w*slope)/sum(w) AS area_slope FROM zonal WHERE nk IS NOT NULL GROUP BY 1 HAVING count(*) >= 22) z ON z.nk = t.nk
+ UNION ALL SELECT t.nk, NULL, NULL FROM natrend t JOIN units u ON u.nk = t.nk WHERE u.zone = 'AFRICA'""", ("natrend", "units", "zonal"))
 def bridge_join(spark, sf):
     code = F.concat(F.upper(F.substring("unit", 1, 3)), F.col("nk").cast("string"))
-    bridge = V.units(spark, sf).where("nk % 5 <> 0").select("nk", code.alias("code"))
-    area = (V.zonal(spark, sf).where("nk is not null and nk % 3 <> 0").groupBy("nk")
-            .agg((F.sum(F.col("w") * F.col("slope")) / F.sum("w")).alias("area_slope")))
+    bridge = V.units(spark, sf).where("zone <> 'AFRICA'").select("nk", code.alias("code"))
+    area = (V.zonal(spark, sf).where("nk is not null").groupBy("nk")
+            .agg((F.sum(F.col("w") * F.col("slope")) / F.sum("w")).alias("area_slope"), F.count("*").alias("n")).where("n >= 22"))
     coded = area.join(bridge, "nk").select("code", "area_slope")
     return V.natrend(spark, sf).select("nk").join(bridge, "nk", "left").join(coded, "code", "left").select("nk", "code", r6("area_slope").alias("area_slope"))
 
@@ -131,11 +131,11 @@ def common_months(spark, sf):
 def _vintages(spark, sf):
     lines = V.table(spark, sf, "lineitem")
     agg = [F.sum(F.col("l_quantity").cast("bigint")).alias("qty"), F.count("*").alias("n")]
-    return [lines.where((F.col("l_linestatus") == s) & (F.col("l_partkey") % 3 == 0)).groupBy("l_partkey").agg(*agg) for s in ("F", "O")]
+    return [lines.where(F.col("l_linestatus") == s).groupBy("l_partkey").agg(*agg) for s in ("F", "O")]
 
 
-@query("J19_vintage_comparison", """WITH o AS (SELECT l_partkey, sum(l_quantity)::BIGINT AS qty FROM lineitem WHERE l_linestatus = 'F' AND l_partkey % 3 = 0 GROUP BY 1),
- n AS (SELECT l_partkey, sum(l_quantity)::BIGINT AS qty FROM lineitem WHERE l_linestatus = 'O' AND l_partkey % 3 = 0 GROUP BY 1)
+@query("J19_vintage_comparison", """WITH o AS (SELECT l_partkey, sum(l_quantity)::BIGINT AS qty FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1),
+ n AS (SELECT l_partkey, sum(l_quantity)::BIGINT AS qty FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)
  SELECT presence, qty_status, count(*) AS n, coalesce(sum(qty_change), 0)::BIGINT AS total_change FROM (SELECT CASE WHEN o.l_partkey IS NULL THEN 'right_only' WHEN n.l_partkey IS NULL THEN 'left_only' ELSE 'both' END AS presence,
  CASE WHEN o.qty IS NULL THEN 'added' WHEN n.qty IS NULL THEN 'removed' WHEN o.qty = n.qty THEN 'unchanged' ELSE 'revised' END AS qty_status, n.qty - o.qty AS qty_change FROM o FULL JOIN n ON o.l_partkey = n.l_partkey) GROUP BY 1, 2""")
 def vintage_comparison(spark, sf):
@@ -154,9 +154,9 @@ def three_way_outer(spark, sf):
     return counted("lat > 0", "x").join(counted("lat < -20", "y"), "k", "full_outer").join(counted("lon > 90", "z"), "k", "full_outer")
 
 
-@query("J21_attach_scores", """SELECT t.nk, round(s.vuln, 6) AS score FROM natrend t LEFT JOIN score s ON s.nk = t.nk AND s.nk % 4 <> 1""", ("natrend", "score"))
+@query("J21_attach_scores", """SELECT t.nk, round(s.vuln, 6) AS score FROM natrend t LEFT JOIN score s ON s.nk = t.nk AND s.n_orders >= 600""", ("natrend", "score"))
 def attach_scores(spark, sf):
-    return V.natrend(spark, sf).select("nk").join(V.score(spark, sf).where("nk % 4 <> 1"), "nk", "left").select("nk", F.round("vuln", 6).alias("score"))
+    return V.natrend(spark, sf).select("nk").join(V.score(spark, sf).where("n_orders >= 600"), "nk", "left").select("nk", F.round("vuln", 6).alias("score"))
 
 
 @query("J22_validated_merge", "SELECT o.o_orderkey AS orderkey, c.c_mktsegment AS segment FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice > 400000")

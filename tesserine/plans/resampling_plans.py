@@ -149,11 +149,11 @@ def block_equivalence(spark, sf):
     return size(first.exceptAll(second), "only_first").join(size(second.exceptAll(first), "only_second"), "_k").join(size(first, "n_rows"), "_k").drop("_k")
 
 
-@query("B10_evaluated_draws", f"WITH {draws_sql('natrend', 'nk')}, e AS (SELECT draw, CASE WHEN draw % 17 = 0 THEN NULL ELSE sum(times*warming)/sum(times) END AS v FROM dr JOIN natrend t ON t.nk = dr.nk GROUP BY 1) SELECT CASE WHEN v IS NULL THEN 'undefined' ELSE 'ok' END AS status, count(*) AS n, round(avg(v), 6) AS mean FROM e GROUP BY 1", ("natrend",))
+@query("B10_evaluated_draws", f"WITH {draws_sql('natrend', 'nk')}, e AS (SELECT draw, CASE WHEN count(*) < 15 THEN NULL ELSE sum(times*warming)/sum(times) END AS v FROM dr JOIN natrend t ON t.nk = dr.nk GROUP BY 1) SELECT CASE WHEN v IS NULL THEN 'undefined' ELSE 'ok' END AS status, count(*) AS n, round(avg(v), 6) AS mean FROM e GROUP BY 1", ("natrend",))
 def evaluated_draws(spark, sf):
     u = units(spark, sf)
     d = RS.digest_draws(u, "nk", DRAWS, max_rows=V.unit_bound(spark, sf)).join(u, "nk")
-    e = d.groupBy("draw").agg((F.sum(F.col("times") * F.col("warming")) / F.sum("times")).alias("v")).withColumn("v", F.when(F.col("draw") % 17 != 0, F.col("v")))
+    e = d.groupBy("draw").agg((F.sum(F.col("times") * F.col("warming")) / F.sum("times")).alias("v"), F.count("*").alias("k")).withColumn("v", F.when(F.col("k") >= 15, F.col("v")))
     return e.groupBy(F.when(F.col("v").isNull(), "undefined").otherwise("ok").alias("status")).agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
 
 

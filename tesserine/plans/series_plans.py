@@ -42,11 +42,11 @@ def integer_lags(spark, sf):
     return design(spark, sf).select("t", *[F.round(c, 6).alias(c) for c in ("y", *DRIVERS)])
 
 
-@query("W11_contiguity", """WITH d AS (SELECT datediff('day', DATE '2024-01-01', day) AS t FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE day(ts) % 9 <> 0)) SELECT CAST(t AS BIGINT) AS t, CAST(s AS BIGINT) AS step FROM (SELECT t, t - lag(t) OVER (ORDER BY t) AS s FROM d) WHERE s <> 1""")
+@query("W11_contiguity", """WITH d AS (SELECT datediff('day', DATE '2024-01-01', day) AS t FROM (SELECT CAST(ts AS DATE) AS day FROM events GROUP BY 1 HAVING avg(value) >= 49)) SELECT CAST(t AS BIGINT) AS t, CAST(s AS BIGINT) AS step FROM (SELECT t, t - lag(t) OVER (ORDER BY t) AS s FROM d) WHERE s <> 1""")
 def contiguity(spark, sf):
-    e = V.table(spark, sf, "events").where("day(ts) % 9 <> 0")
     day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("bigint")
-    return G.gaps(e.select(day.alias("t")).distinct(), "t")
+    kept = V.table(spark, sf, "events").groupBy(day.alias("t")).agg(F.avg("value").alias("v")).where("v >= 49")
+    return G.gaps(kept.select("t"), "t")
 
 
 @query("W12_whitening", f"WITH {MONTHS} SELECT CAST(t AS BIGINT) AS t, round(CASE WHEN row_number() OVER (ORDER BY t) = 1 THEN y*sqrt(1-0.16) ELSE y - 0.4*lag(y) OVER (ORDER BY t) END, 6) AS y FROM sr", ("panel",))
