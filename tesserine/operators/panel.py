@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.functions.columns import decimal_decades, in_window, months_in_window
@@ -91,13 +91,34 @@ def gated_anomalies(
     min_fraction: float,
     month: str = "month",
     value: str = "value",
+    calendar_bound: bool = False,
 ) -> DataFrame:
-    """Anomalies of the keys that pass the coverage gate, without NULLs."""
-    passed = coverage(panel, keys, window, min_fraction, month, value).where("keep").select(*keys)
+    """Anomalies of the keys that pass the coverage gate, without NULLs.
+
+    `calendar_bound` states that (key, month) is unique, as `monthly_panel`
+    guarantees: a key then holds at most one row per calendar month, and the
+    whole chain runs over one scan and one shuffle on the key. Otherwise the
+    baseline and the gate are aggregates joined back, which no key can skew.
+    """
+    if not calendar_bound:
+        passed = coverage(panel, keys, window, min_fraction, month, value).where("keep").select(*keys)
+        return (
+            anomalies(panel, keys, baseline, window, month, value)
+            .join(passed, list(keys), "left_semi")
+            .where(F.col("anomaly").isNotNull())
+        )
+    first, last = min(baseline[0], window[0]), max(baseline[1], window[1])
+    rows = panel.where(in_window(month, first, last) & F.col(value).isNotNull()).repartition(*keys)
+    by_month = Window.partitionBy(*keys, "moy")
+    by_key = Window.partitionBy(*keys)
+    inside = in_window(month, *window)
     return (
-        anomalies(panel, keys, baseline, window, month, value)
-        .join(passed, list(keys), "left_semi")
-        .where(F.col("anomaly").isNotNull())
+        rows.withColumn("moy", F.month(month).cast("bigint"))
+        .withColumn("climatology", F.avg(F.when(in_window(month, *baseline), F.col(value))).over(by_month))
+        .withColumn("_n", F.count(F.when(inside, F.col(value))).over(by_key))
+        .withColumn("anomaly", F.col(value) - F.col("climatology"))
+        .where(inside & (F.col("_n") / F.lit(float(months_in_window(*window))) >= min_fraction) & F.col("anomaly").isNotNull())
+        .drop("_n")
     )
 
 

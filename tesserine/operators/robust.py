@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,31 +93,38 @@ def theil_sen(
     *,
     calendar_bound: bool = False,
     max_points: int = 4_000,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Median pairwise slope, 95 % bounds and intercept per key.
 
+    `extra` holds further aggregates of the key's rows, taken in the same pass.
+
     `calendar_bound` states that (key, x) is unique on a calendar axis, which
     bounds a key's length; otherwise lengths are counted first and the long keys
     take the block path.
     """
     rows = series.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     if calendar_bound:
-        return _short(rows, keys, x, y)
+        return _short(rows, keys, x, y, extra)
     lengths = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("_n")))
     long_keys = lengths.where(F.col("_n") > max_points)
     if long_keys.isEmpty():
-        return _short(rows, keys, x, y)
-    short = _short(rows.join(long_keys.select(*keys), list(keys), "left_anti"), keys, x, y)
-    long = long_theil_sen(rows.join(long_keys, list(keys)), keys, x, y, block=max_points)
+        return _short(rows, keys, x, y, extra)
+    short = _short(rows.join(long_keys.select(*keys), list(keys), "left_anti"), keys, x, y, extra)
+    hot = rows.join(long_keys, list(keys))
+    long = long_theil_sen(hot, keys, x, y, block=max_points)
+    if extra:
+        long = long.join(hot.groupBy(*keys).agg(*extra), list(keys))
     return short.unionByName(long)
 
 
-def _short(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+def _short(rows: DataFrame, keys: Sequence[str], x: str, y: str, extra: Sequence[Column] = ()) -> DataFrame:
     arrays = rows.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("p")
+        F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("p"), *extra
     )
-    fitted = arrays.select(*keys, _theil_sen_arrays(F.col("p.x"), F.col("p.y")).alias("f"))
-    return fitted.select(*keys, "f.slope", "f.low", "f.high", "f.intercept", "f.n_points")
+    others = [c for c in arrays.columns if c not in (*keys, "p")]
+    fitted = arrays.select(*keys, *others, _theil_sen_arrays(F.col("p.x"), F.col("p.y")).alias("f"))
+    return fitted.select(*keys, "f.slope", "f.low", "f.high", "f.intercept", "f.n_points", *others)
 
 
 # -- long keys ---------------------------------------------------------------
@@ -238,7 +245,6 @@ def long_theil_sen(rows: DataFrame, keys: Sequence[str], x: str, y: str, block:
             .groupBy(*keys, "role", "bin").agg(F.sum("c").alias("c"), F.min("bmin").alias("bmin"), F.max("bmax").alias("bmax"))
         )
         # At most _BINS rows per key and role reach this window.
-        from pyspark.sql import Window
         w = Window.partitionBy(*keys, "role").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         cumulated = counts.withColumn("upto", F.sum("c").over(w))
         chosen = (

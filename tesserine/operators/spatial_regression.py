@@ -267,33 +267,37 @@ def filtered_shares(df: DataFrame, edges: DataFrame, key: str, outcome: str, gro
     return group_shares(cut_lineage(filtered), groups, outcome)
 
 
-def cross_validated(df: DataFrame, key: str, outcome: str, columns: Sequence[str], family: str, fold: str, k: int, folds: Sequence[int]) -> DataFrame:
-    """Held-out predictions of every fold: training graphs, fits and sink attachment in one plan."""
+def cross_validated(df: DataFrame, key: str, outcome: str, columns: Sequence[str], families: Sequence[str], fold: str, k: int, folds: Sequence[int]) -> DataFrame:
+    """Held-out predictions of every fold and family: graphs, fits and sink attachment in one plan.
+
+    All folds share one pair table; a fold's training graph is the first k
+    pairs per unit among the fold's training units.
+    """
     if df.count() > GRAPH_LIMIT:
         raise ValueError(f"more units than the dense-graph limit of {GRAPH_LIMIT}")
     base = cut_lineage(df.select(key, outcome, "lat", "lon", F.col(fold).alias("_own"), *columns))
-    pairs = cut_lineage(near_pairs(base, key, _WHOLE_EARTH_KM))
+    pairs = near_pairs(base, key, _WHOLE_EARTH_KM)
     spread = base.withColumn("_fold", F.explode(F.array(*[F.lit(f) for f in folds])))
-    train = cut_lineage(spread.where("_own <> _fold"))
-    inside_i = train.select("_fold", F.col(key).alias("i"))
-    inside_j = train.select("_fold", F.col(key).alias("j"))
+    train = spread.where("_own <> _fold")
+    members = spread.select("_fold", F.col(key).alias("i"), (F.col("_own") == F.col("_fold")).alias("_test"))
+    targets = train.select("_fold", F.col(key).alias("j"))
     nearest_k = Window.partitionBy("_fold", "i").orderBy(F.round("km", TIE_DIGITS), "j")
-
-    def first_k(p: DataFrame) -> DataFrame:
-        return p.withColumn("_r", F.row_number().over(nearest_k)).where(F.col("_r") <= k).select("_fold", "i", "j", F.lit(1.0 / k).alias("w"))
-
-    edges = cut_lineage(first_k(pairs.join(inside_i, "i").join(inside_j, ["_fold", "j"])))
-    systems = _systems(train, edges, key, outcome, columns, "_fold")
-    fits = cut_lineage(_fits(systems, len(columns), family, "_fold").select("_fold", "theta", "beta"))
-
-    def mean(d: DataFrame) -> DataFrame:
-        m = F.col("beta")[0]
-        for i, c in enumerate(columns):
-            m = m + F.col("beta")[i + 1] * F.col(c)
-        return d.join(fits, "_fold").withColumn("mean", m)
-
-    source = mean(train).select("_fold", F.col(key).alias("j"), (F.col(outcome) - F.col("mean") if family == "sem" else F.col(outcome)).alias("_s"))
-    tests = mean(spread.where("_own = _fold"))
-    sinks = first_k(pairs.join(tests.select("_fold", F.col(key).alias("i")), "i").join(inside_j, ["_fold", "j"]))
-    pull = sinks.join(source, ["_fold", "j"]).groupBy("_fold", "i").agg(F.sum(F.col("w") * F.col("_s")).alias("_pull"))
-    return tests.join(pull.withColumnRenamed("i", key), ["_fold", key]).select(key, F.col("_fold").alias("fold"), (F.col("mean") + F.col("theta") * F.col("_pull")).alias("prediction"))
+    links = cut_lineage(
+        pairs.join(members, "i").join(targets, ["_fold", "j"]).withColumn("_r", F.row_number().over(nearest_k)).where(F.col("_r") <= k)
+        .select("_fold", "i", "j", F.lit(1.0 / k).alias("w"), "_test"))
+    systems = cut_lineage(_systems(train, links.where("not _test").drop("_test"), key, outcome, columns, "_fold"))
+    fits = None
+    for family in families:
+        part = _fits(systems, len(columns), family, "_fold").select("_fold", "theta", "beta", F.lit(family).alias("family"))
+        fits = part if fits is None else fits.unionByName(part)
+    fits = cut_lineage(fits)
+    mean = F.col("beta")[0]
+    for i, c in enumerate(columns):
+        mean = mean + F.col("beta")[i + 1] * F.col(c)
+    placed = spread.join(fits, "_fold").withColumn("mean", mean)
+    pulled = F.when(F.col("family") == "sem", F.col(outcome) - F.col("mean")).otherwise(F.col(outcome))
+    source = placed.where("_own <> _fold").select("_fold", "family", F.col(key).alias("j"), pulled.alias("_s"))
+    pull = (links.where("_test").join(source, ["_fold", "j"]).groupBy("_fold", "family", "i").agg(F.sum(F.col("w") * F.col("_s")).alias("_pull"))
+            .withColumnRenamed("i", key))
+    return placed.where("_own = _fold").join(pull, ["_fold", "family", key]).select(
+        key, "family", F.col("_fold").alias("fold"), (F.col("mean") + F.col("theta") * F.col("_pull")).alias("prediction"))

@@ -194,7 +194,7 @@ def one_series(spark, sf):
     # The filter sits on the fact scan, not after the aggregation.
     lines = V.table(spark, sf, "lineitem").where("l_suppkey = 7")
     p = P.monthly_panel(lines, "l_suppkey", "l_shipdate", "l_extendedprice")
-    return P.gated_anomalies(p, ["site"], V.BASELINE, V.WINDOW, V.MIN_COVERAGE).select(F.date_format("month", "yyyy-MM-dd").alias("month"), r6("anomaly").alias("anomaly"))
+    return P.gated_anomalies(p, ["site"], V.BASELINE, V.WINDOW, V.MIN_COVERAGE, calendar_bound=True).select(F.date_format("month", "yyyy-MM-dd").alias("month"), r6("anomaly").alias("anomaly"))
 
 
 @query("V2_unit_picker", "SELECT s.site, s.lat, s.lon FROM sites s JOIN units u ON u.nk = s.nk WHERE u.unit = 'NATION_6' ORDER BY s.site LIMIT 5", ("sites", "units"))
@@ -234,7 +234,7 @@ def rolling_and_line(spark, sf):
     from pyspark.sql import Window
     lines = V.table(spark, sf, "lineitem").where("l_suppkey = 11")
     p = P.monthly_panel(lines, "l_suppkey", "l_shipdate", "l_extendedprice")
-    a = cut_lineage(P.gated_anomalies(p, ["site"], V.BASELINE, V.WINDOW, V.MIN_COVERAGE))
+    a = cut_lineage(P.gated_anomalies(p, ["site"], V.BASELINE, V.WINDOW, V.MIN_COVERAGE, calendar_bound=True))
     fit = P.ols_trend(a, ["site"]).select(F.struct("ols_slope", "ols_intercept").alias("f")).scalar()
     w = Window.orderBy("month").rowsBetween(-6, 5)  # one site: bounded by the calendar
     return a.select(F.date_format("month", "yyyy-MM-dd").alias("month"), r6("anomaly").alias("anomaly"), r6(F.when(F.count("*").over(w) == 12, F.avg("anomaly").over(w))).alias("rolling"),

@@ -315,9 +315,9 @@ def _register_spatial(family):
 
     @query(f"P36_{family}_held_out")
     def held_out(spark, sf):
-        d, _ = _graph(spark, sf)
+        d = design(spark, sf)
         d = d.withColumn("fold", F.col("nk") % 5)
-        return SR.cross_validated(d, "nk", "warming", XCOLS, family, "fold", 8, [0, 1, 2, 3, 4]).select("nk", r6("prediction", 5).alias("prediction"))
+        return SR.cross_validated(d, "nk", "warming", XCOLS, [family], "fold", 8, [0, 1, 2, 3, 4]).select("nk", r6("prediction", 5).alias("prediction"))
 
 
 for _family in ("sem", "sar"):
@@ -345,16 +345,15 @@ def likelihood_at_zero(spark, sf):
 
 @query("P39_protocol_runs")
 def protocol_runs(spark, sf):
-    d, _ = _graph(spark, sf)
+    d = design(spark, sf)
     d = cut_lineage(FO.from_labels(d.withColumn("random", F.pmod(F.xxhash64("nk"), F.lit(5))), "zone").withColumnRenamed("fold", "by_zone"))
     out = None
     for protocol, column in (("zones", "by_zone"), ("random", "random")):
         folds = [r[0] for r in d.select(column).distinct().orderBy(column).limit(100).collect()]
-        for family in ("sem", "sar"):
-            p = SR.cross_validated(d, "nk", "warming", XCOLS, family, column, 8, folds).join(d.select("nk", "warming"), "nk")
-            e = F.col("warming") - F.col("prediction")
-            row = p.agg(F.lit(protocol).alias("protocol"), F.lit(family).alias("family"), F.count("*").alias("n"), r6(F.sqrt(F.avg(e * e)), 5).alias("rmse"))
-            out = row if out is None else out.unionByName(row)
+        p = SR.cross_validated(d, "nk", "warming", XCOLS, ["sem", "sar"], column, 8, folds).join(d.select("nk", "warming"), "nk")
+        e = F.col("warming") - F.col("prediction")
+        row = p.groupBy("family").agg(F.count("*").alias("n"), r6(F.sqrt(F.avg(e * e)), 5).alias("rmse")).select(F.lit(protocol).alias("protocol"), "family", "n", "rmse")
+        out = row if out is None else out.unionByName(row)
     return out
 
 

@@ -505,8 +505,8 @@ ts AS (SELECT z.site, z.n, l.slope, z.my, z.mx, z.ols, l.l, l.nt, 1.959963984540
  round(l[CAST(least(round_even((nt+h)/2, 0), nt-1) AS BIGINT) + 1], 6)+0.0 AS ci_high, round(ols, 6)+0.0 AS ols_slope FROM ts""", ("anom",))
 def robust_trend(spark, sf):
     series = V.anom(spark, sf)
-    fitted = theil_sen(series, ["site"], "x", "anomaly", calendar_bound=True)
-    return fitted.join(P.ols_trend(series, ["site"]), "site").select(
+    ols = F.regr_slope("anomaly", "x").alias("ols_slope")
+    return theil_sen(series, ["site"], "x", "anomaly", calendar_bound=True, extra=[ols]).select(
         "site", F.col("n_points").alias("n_obs"), r6("slope").alias("slope"), r6("low").alias("ci_low"), r6("high").alias("ci_high"), r6("ols_slope").alias("ols_slope"))
 
 
@@ -583,10 +583,11 @@ def two_window_acceleration(spark, sf):
  FROM ts JOIN sites s ON s.site = ts.site JOIN units u ON u.nk = s.nk GROUP BY 1""", ("anom", "sites", "units"))
 def trend_table(spark, sf):
     series = V.anom(spark, sf)
-    fitted = theil_sen(series, ["site"], "x", "anomaly", calendar_bound=True).join(P.ols_trend(series, ["site"]), "site")
+    ols = F.regr_slope("anomaly", "x").alias("ols_slope")
+    fitted = theil_sen(series, ["site"], "x", "anomaly", calendar_bound=True, extra=[ols])
     return (fitted.join(V.sites(spark, sf), "site").join(V.units(spark, sf), "nk").groupBy("unit")
             .agg(F.count("*").alias("n_sites"), r6(F.avg("slope")).alias("mean_slope"), r6(F.avg("ols_slope")).alias("mean_ols"),
-                 F.round(F.min(F.col("n_obs") / 81.0), 6).alias("min_coverage"))
+                 F.round(F.min(F.col("n_points") / 81.0), 6).alias("min_coverage"))
             .withColumns({"baseline_window": F.lit("1996-01-01..1998-12-01"), "analysis_window": F.lit("1995-02-01..2001-10-01")}))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserine.functions import columns as C
+from tesserine.operators import linear as L
 from tesserine.operators import ordering as O
 from tesserine.operators import panel as P
 from tesserine.operators import tables as B
@@ -372,10 +373,12 @@ FORECAST_SQL = """fit AS (SELECT site, regr_slope(anomaly, x) AS b, regr_interce
 
 def forecast_frame(spark, sf):
     """Observed and predicted anomalies from a line fitted before 2000."""
-    a = V.anom(spark, sf)
-    fit = P.ols_trend(a.where(F.col("month") < F.lit(dt.date(2000, 1, 1))), ["site"]).drop("n_obs")
+    # A site holds at most one row per calendar month, so the fit is a window over one scan.
+    w = Window.partitionBy("site")
+    early = F.when(F.col("month") < F.lit(dt.date(2000, 1, 1)), F.col("anomaly"))
+    a = V.anom(spark, sf).withColumns({"ols_slope": F.regr_slope(early, F.col("x")).over(w), "ols_intercept": F.regr_intercept(early, F.col("x")).over(w)})
     pred = F.col("ols_intercept") + F.col("ols_slope") * F.col("x")
-    return a.join(fit, "site").select("site", "month", F.col("anomaly").alias("obs"), pred.alias("pred"), (F.col("anomaly") - pred).alias("resid"))
+    return a.where(F.col("ols_slope").isNotNull()).select("site", "month", F.col("anomaly").alias("obs"), pred.alias("pred"), (F.col("anomaly") - pred).alias("resid"))
 
 
 @query("A25_forecast_residuals", f"""WITH {FORECAST_SQL} SELECT site, count(*) AS n_forecast, round(avg(resid), 6)+0.0 AS mean_residual, round(avg(CASE WHEN month < DATE '2001-01-01' THEN resid END), 6)+0.0 AS mean_before_event
@@ -620,5 +623,5 @@ def dedup_by_key(spark, sf):
 @query("R15_dummy_coding", "SELECT c_custkey AS k, " + ", ".join(f"CASE WHEN c_mktsegment = '{s}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS d_{s.lower()}" for s in ("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM customer")
 def dummy_coding(spark, sf):
     c = V.table(spark, sf, "customer")
-    levels = [r[0] for r in c.select("c_mktsegment").distinct().orderBy("c_mktsegment").limit(1000).collect()][1:]
-    return c.select(F.col("c_custkey").alias("k"), *[F.when(F.col("c_mktsegment") == s, 1.0).otherwise(0.0).alias(f"d_{s.lower()}") for s in levels])
+    dummies = L.dummy_columns(c, "c_mktsegment", L.feature_levels(c, "c_mktsegment"))
+    return c.select(F.col("c_custkey").alias("k"), *[v.alias(f"d_{n.split('=')[1].lower()}") for n, v in dummies.items()])

@@ -54,7 +54,7 @@ def panel(spark, sf) -> DataFrame:
 
 
 def anom(spark, sf) -> DataFrame:
-    return gated_anomalies(panel(spark, sf), ["site"], BASELINE, WINDOW, MIN_COVERAGE).withColumn(
+    return gated_anomalies(panel(spark, sf), ["site"], BASELINE, WINDOW, MIN_COVERAGE, calendar_bound=True).withColumn(
         "x", decimal_decades("month")
     )
 
