@@ -20,8 +20,18 @@ def cents(x: str) -> Column:
     return F.floor(F.col(x) * 100 + 0.5).cast("bigint")
 
 
-def monthly_panel(facts: DataFrame, key: str, date: str, amount: str, scale: float = 99_991.0) -> DataFrame:
-    """One row per key and month: exact mean of `amount`, divided by a fixed unit scale."""
+def monthly_panel(
+    facts: DataFrame, key: str, date: str, amount: str, scale: float = 99_991.0, months: tuple[dt.date, dt.date] | None = None
+) -> DataFrame:
+    """One row per key and month: exact mean of `amount`, divided by a fixed unit scale.
+
+    `months` (first and last month wanted) becomes a range on the raw date, which
+    the parquet scan can skip by; a filter on the derived month could not.
+    """
+    if months is not None:
+        first, last = (m.replace(day=1) for m in months)
+        after = (last + dt.timedelta(days=32)).replace(day=1)
+        facts = facts.where((F.col(date) >= F.lit(first)) & (F.col(date) < F.lit(after)))
     month = F.trunc(F.col(date).cast("date"), "month")
     return (
         facts.groupBy(F.col(key).alias("site"), month.alias("month"))

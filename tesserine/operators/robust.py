@@ -188,9 +188,9 @@ def long_theil_sen(rows: DataFrame, keys: Sequence[str], x: str, y: str, block:
     spans = pairs.groupBy(*group).applyInPandas(extent, schema)
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.median(x).alias("_mx"), F.median(y).alias("_my"))
     for col, name in ((x, "_tx"), (y, "_ty")):
-        ties = rows.groupBy(*keys, col).agg(F.count("*").cast("double").alias("k"))
+        ties = rows.groupBy(*keys, col).agg(F.count("*").cast("double").alias("_ties"))
         sizes = sizes.join(
-            ties.groupBy(*keys).agg(F.sum(F.expr("k*(k-1)*(2*k+5)")).alias(name)), keys
+            ties.groupBy(*keys).agg(F.sum(F.expr("_ties*(_ties-1)*(2*_ties+5)")).alias(name)), keys
         )
     total = spans.groupBy(*keys).agg(
         F.sum("m").alias("m"),
@@ -216,32 +216,28 @@ def long_theil_sen(rows: DataFrame, keys: Sequence[str], x: str, y: str, block:
         T.StructField("c", T.LongType()), T.StructField("bmin", T.DoubleType()), T.StructField("bmax", T.DoubleType()),
     ])
 
-    def counted(pdf: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pd.DataFrame(columns=[f.name for f in count_schema])
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
         s = _pair_slopes(pdf)
         frames = []
-        for t in targets.itertuples(index=False):
-            inside = s[(s >= t.lo) & (s <= t.hi)]
+        for t in pdf["_targets"].iloc[0]:
+            inside = s[(s >= t["lo"]) & (s <= t["hi"])]
             if not len(inside):
                 continue
-            width = t.hi - t.lo
-            at = np.zeros(len(inside), dtype=int) if width <= 0 else np.minimum(
-                ((inside - t.lo) / width * _BINS).astype(int), _BINS - 1)
+            at = np.minimum(((inside - t["lo"]) / (t["hi"] - t["lo"]) * _BINS).astype(int), _BINS - 1)
             grouped = pd.Series(inside).groupby(at).agg(["size", "min", "max"]).reset_index()
             grouped.columns = ["bin", "c", "bmin", "bmax"]
             for k in keys:
                 grouped[k] = pdf[k].iloc[0]
-            frames.append(grouped.assign(role=t.role))
+            frames.append(grouped.assign(role=t["role"]))
         cols = [f.name for f in count_schema]
         return pd.concat(frames)[cols] if frames else pd.DataFrame(columns=cols)
 
     while not state.where("lo < hi").isEmpty():
         open_targets = state.where("lo < hi")
-        # Targets are a handful of rows per long key; they ride along with each block pair.
-        per_pair = pairs.select(*group).distinct().join(open_targets.select(*keys, "role", "lo", "hi"), keys)
+        # Four targets per long key ride along with its rows.
+        targets = open_targets.groupBy(*keys).agg(F.collect_list(F.struct("role", "lo", "hi")).alias("_targets"))
         counts = (
-            pairs.groupBy(*group).cogroup(per_pair.groupBy(*group)).applyInPandas(counted, count_schema)
+            pairs.join(targets, keys).groupBy(*group).applyInPandas(counted, count_schema)
             .groupBy(*keys, "role", "bin").agg(F.sum("c").alias("c"), F.min("bmin").alias("bmin"), F.max("bmax").alias("bmax"))
         )
         # At most _BINS rows per key and role reach this window.

@@ -49,12 +49,12 @@ def units(spark, sf) -> DataFrame:
     )
 
 
-def panel(spark, sf) -> DataFrame:
-    return monthly_panel(table(spark, sf, "lineitem"), "l_suppkey", "l_shipdate", "l_extendedprice")
+def panel(spark, sf, months=None) -> DataFrame:
+    return monthly_panel(table(spark, sf, "lineitem"), "l_suppkey", "l_shipdate", "l_extendedprice", months=months)
 
 
 def anom(spark, sf) -> DataFrame:
-    return gated_anomalies(panel(spark, sf), ["site"], BASELINE, WINDOW, MIN_COVERAGE, calendar_bound=True).withColumn(
+    return gated_anomalies(panel(spark, sf, WINDOW), ["site"], BASELINE, WINDOW, MIN_COVERAGE, calendar_bound=True).withColumn(
         "x", decimal_decades("month")
     )
 
