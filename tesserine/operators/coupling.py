@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.operators.inequality import concentration_coefficient, spearman
-from tesserine.operators.ordering import row_ids, with_rank
+from tesserine.operators.ordering import row_ids, row_ids_within, with_rank
 from tesserine.operators.tables import pair_corr
 
 #: Two-sided comparisons of permuted statistics tolerate summation noise.
@@ -62,13 +62,13 @@ def gap_leaders(df: DataFrame, label: str, x: str, y: str, n: int = 10) -> DataF
 def permuted(units: DataFrame, key: str, value: str, draws: int, seed: int, max_rows: int | None = None) -> DataFrame:
     """(draw, key, permuted value): each draw is a permutation given by digest order.
 
-    A draw holds one row per unit. Unit tables with a proven bound are ordered by
-    a window inside the draw.
+    Unit tables with a proven bound are ordered by a window inside the draw, others
+    by one range-partitioned order over all draws.
     """
     indexed = row_ids(units.select(key, value), [key], "_i", max_rows)
     spread = indexed.select(key, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("draw"), F.col(key)))
-    placed = spread.withColumn("_i", (F.row_number().over(Window.partitionBy("draw").orderBy(digest)) - 1).cast("int"))
+    placed = row_ids_within(spread.withColumn("_digest", digest), "draw", ["_digest", key], "_i", max_rows)
     return placed.join(indexed.select("_i", F.col(value).alias("permuted")), "_i").select("draw", key, "permuted")
 
 

@@ -98,19 +98,22 @@ def with_rank(
 
 
 def row_ids(df: DataFrame, order: Sequence[str], name: str, max_rows: int | None = None) -> DataFrame:
-    """Dense 0-based id in a total order."""
+    """Dense 0-based id in a total order.
+
+    Large tables are range-partitioned once and checkpointed, so the partition a
+    row belongs to is fixed before its offset is looked up.
+    """
     if max_rows is not None and max_rows <= UNIT_LIMIT:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
-    ordered = cut_lineage(
-        df.repartitionByRange(_RANGES, *order).withColumn("_part", F.spark_partition_id())
-    )
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
+    parts = max(_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = cut_lineage(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     sizes = ordered.groupBy("_part").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return (
         ordered.withColumn("_in", inner).join(offsets, "_part")
-        .withColumn(name, (F.col("_in") + F.col("_offset") - 1).cast("int")).drop("_part", "_in", "_offset")
+        .withColumn(name, (F.col("_in") + F.col("_offset") - 1).cast("bigint")).drop("_part", "_in", "_offset")
     )
 
 
@@ -153,6 +156,15 @@ def weighted_quantiles(
         F.min(F.when(F.col("cum_w") >= p * F.col("all_w"), F.col(value))).alias(n) for p, n in zip(probs, names)])
 
 
+def row_ids_within(df: DataFrame, by: str, order: Sequence[str], name: str, max_rows: int | None = None) -> DataFrame:
+    """Dense 0-based id inside each value of `by`."""
+    if max_rows is not None and max_rows <= UNIT_LIMIT:
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1).cast("bigint"))
+    ids = cut_lineage(row_ids(df, [by, *order], "_g"))
+    start = ids.groupBy(by).agg(F.min("_g").alias("_s"))
+    return ids.join(start, by).withColumn(name, F.col("_g") - F.col("_s")).drop("_g", "_s")
+
+
 def suffix_min(pos: DataFrame, order: str, value: str, name: str, max_rows: int | None = None) -> DataFrame:
     """Smallest `value` at or above each position of a table with distinct `order`."""
     ahead = Window.orderBy(order).rowsBetween(0, Window.unboundedFollowing)

@@ -23,7 +23,7 @@ def digest_draws(units: DataFrame, key: str, draws: int, seed: int = 0, max_rows
     indexed = row_ids(units.select(key).distinct(), [key], "_i", max_rows)
     n = indexed.agg(F.count("*")).scalar()
     slots = indexed.select(F.col("_i").alias("_slot"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    pick = F.floor(hash_uniform(F.lit(seed), "draw", "_slot") * n).cast("int")
+    pick = F.floor(hash_uniform(F.lit(seed), "draw", "_slot") * n).cast("bigint")
     return slots.select("draw", pick.alias("_i")).groupBy("draw", "_i").agg(F.count("*").alias("times")).join(indexed, "_i").select("draw", key, "times")
 
 

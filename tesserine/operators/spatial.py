@@ -250,7 +250,7 @@ def local_moran_p(values: DataFrame, edges: DataFrame, key: str, value: str, dra
     picked = trials.withColumn("_picks", picks).select(
         key, F.col("z").alias("zi"), "_pos", "draw", F.posexplode("_picks").alias("_s", "_idx"), F.col("_e"))
     placed = picked.select(key, "zi", "draw", F.col("_e")[F.col("_s")]["w"].alias("w"),
-                           F.when(F.col("_idx") < F.col("_pos"), F.col("_idx")).otherwise(F.col("_idx") + 1).cast("int").alias("_other"))
+                           F.when(F.col("_idx") < F.col("_pos"), F.col("_idx")).otherwise(F.col("_idx") + 1).alias("_other"))
     drawn = placed.join(z.select(F.col("_pos").alias("_other"), F.col("z").alias("zj")), "_other")
     sims = drawn.groupBy(key, "draw", "zi").agg(F.sum(F.col("w") * F.col("zj")).alias("_lag")).withColumn("sim", F.col("zi") * F.col("_lag") / m2)
     scored = sims.join(local.select(key, "local_i"), key).groupBy(key).agg(

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tesserine.functions import columns as C
 from tesserine.operators import panel as P
-from tesserine.operators.ordering import row_ids
+from tesserine.operators.ordering import quantiles, row_ids
 from tesserine.operators.robust import theil_sen
 from tesserine.plans import views as V
 from tesserine.plans.registry import query
@@ -382,23 +382,27 @@ def status_column(spark, sf):
 KNOT_SQL = """k AS (SELECT min(abs(lat)) AS k0, quantile_cont(abs(lat), 1.0/3) AS k1, quantile_cont(abs(lat), 2.0/3) AS k2, max(abs(lat)) AS k3 FROM sites)"""
 
 
+def _knots(s):
+    """Training knots: extremes and exact tertiles of `a`."""
+    return quantiles(s, "a", (0.0, 1 / 3, 2 / 3, 1.0), ("k0", "k1", "k2", "k3"))
+
+
 @query("F24_cubic_basis", f"""WITH {KNOT_SQL}, b AS (SELECT site, lat, abs(lat) AS a, k.* FROM sites, k),
 c AS (SELECT site, lat, a, k0, k1, k2, k3, greatest(a-k0, 0)**3 AS c0, greatest(a-k1, 0)**3 AS c1, greatest(a-k2, 0)**3 AS c2, greatest(a-k3, 0)**3 AS c3 FROM b)
 SELECT site, round((c0-c3)/(k3-k0) - (c2-c3)/(k3-k2), 6) + 0.0 AS basis_1, round((c1-c3)/(k3-k1) - (c2-c3)/(k3-k2), 6) + 0.0 AS basis_2,
  CASE WHEN lat < 0 THEN a ELSE 0.0 END AS south_slope FROM c""", ("sites",))
 def cubic_basis(spark, sf):
     s = V.sites(spark, sf).withColumn("a", F.abs("lat"))
-    state = s.agg(F.struct(F.min("a").alias("k0"), F.percentile("a", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"), F.max("a").alias("k3"))).scalar()
-    knots = [state["k0"], state["q"][0], state["q"][1], state["k3"]]
+    state = _knots(s).select(F.struct("k0", "k1", "k2", "k3")).scalar()
+    knots = [state[f"k{i}"] for i in range(4)]
     c1, c2 = C.natural_cubic_columns("a", knots)
     return s.select("site", r6(c1).alias("basis_1"), r6(c2).alias("basis_2"), F.when(F.col("lat") < 0, F.col("a")).otherwise(0.0).alias("south_slope"))
 
 
 @query("F25_knot_state", f"WITH {KNOT_SQL} SELECT round(k0,6) AS k0, round(k1,6) AS k1, round(k2,6) AS k2, round(k3,6) AS k3, (SELECT count(*) FROM sites) AS n_train FROM k", ("sites",))
 def knot_state(spark, sf):
-    q = F.percentile(F.abs("lat"), F.array(F.lit(1 / 3), F.lit(2 / 3)))
-    return V.sites(spark, sf).agg(r6(F.min(F.abs("lat"))).alias("k0"), r6(q[0]).alias("k1"), r6(q[1]).alias("k2"),
-                                  r6(F.max(F.abs("lat"))).alias("k3"), F.count("*").alias("n_train"))
+    s = V.sites(spark, sf).withColumn("a", F.abs("lat"))
+    return _knots(s).select(*[r6(f"k{i}").alias(f"k{i}") for i in range(4)], s.agg(F.count("*")).scalar().alias("n_train"))
 
 
 @query("F26_cell_state", """SELECT state, count(*) AS n FROM (SELECT CASE WHEN nk IS NULL THEN 'masked' WHEN n_months = 0 THEN 'empty'

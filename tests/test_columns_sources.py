@@ -145,3 +145,21 @@ def test_conform_axes(spark):
     assert GR.conform_axes(df, {"valid_time": "time"}, ["number"]).columns == ["time"]
     with pytest.raises(ValueError):
         GR.conform_axes(df, {}, ["valid_time"])
+
+
+def test_slab_size_does_not_change_the_result(spark, tmp_path):
+    from tesserine.streaming.slabs import ingest_slabs, merged_climatology
+
+    source = tmp_path / "in"
+    source.mkdir()
+    for i in range(5):
+        lines = ["dt,value,uncertainty,place,unit,latitude,longitude"]
+        lines += [f"19{50 + i}-0{m}-01,{i + m / 8},0.1,P,U,1.00N,2.00W" for m in range(1, 5)]
+        (source / f"{i}.csv").write_text("\n".join(lines) + "\n")
+    results = []
+    for size in (1, 5):
+        out, log = str(tmp_path / f"out{size}"), str(tmp_path / f"log{size}")
+        ingest_slabs(spark, str(source), out, log, size)
+        ingest_slabs(spark, str(source), out, log, size)  # nothing new: no second count
+        results.append(sorted((r.moy, round(r.climatology, 9), r.n) for r in merged_climatology(spark, out).collect()))
+    assert results[0] == results[1] and results[0][0] == (1, 2.125, 5)

@@ -161,3 +161,11 @@ def test_closed_columns_and_constant_input(spark):
     flat = spark.createDataFrame([(i, 1.0, float(i)) for i in range(5)], ["id", "a", "b"])
     r = I.spearman(flat, "a", "b").first()
     assert r.rho is None and r.reason == "constant_input"
+
+
+def test_permutations_are_complete_and_path_independent(spark, path):
+    u = spark.range(40).select(F.col("id"), (F.col("id") * 2.0).alias("v"))
+    p = K.permuted(u, "id", "v", 4, 9)
+    assert p.groupBy("draw").agg(F.count_distinct("permuted").alias("n")).where("n <> 40").isEmpty()
+    bounded = K.permuted(u, "id", "v", 4, 9, max_rows=5)
+    assert p.exceptAll(bounded).isEmpty()
