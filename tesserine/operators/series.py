@@ -153,6 +153,31 @@ def fitted_model(design: DataFrame, time: str, outcome: str, drivers: Sequence[s
     return design.groupBy(F.lit(0).alias("_series")).applyInPandas(solve, schema)  # calendar-bounded series
 
 
+def posterior(design: DataFrame, time: str, outcome: str, drivers: Sequence[str], end: int) -> DataFrame:
+    """Posterior of the scaled coefficients: mean, scale, shape and rate, with evidence and lambda."""
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, _, _, _, _, _, f = _train(pdf, time, outcome, drivers, end)
+        return pd.DataFrame({
+            "term": ["intercept", *drivers], "mean": f["mean"], "scale": np.sqrt(np.diag(f["cov"])), "alpha": f["alpha"], "beta": f["beta"],
+            "evidence": f["evidence"], "log10_lambda": math.log10(f["lam"])})
+
+    schema = "term string, mean double, scale double, alpha double, beta double, evidence double, log10_lambda double"
+    return design.groupBy(F.lit(0).alias("_series")).applyInPandas(solve, schema)  # calendar-bounded series
+
+
+def origin_fits(design: DataFrame, time: str, outcome: str, drivers: Sequence[str], origins: Sequence[int]) -> DataFrame:
+    """Fit record of every origin: training length, rho, lambda, iterations, convergence."""
+    spread = design.withColumn("origin", F.explode(F.array(*[F.lit(int(o)) for o in origins]))).where(F.col(time) <= F.col("origin"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        origin = int(pdf["origin"].iloc[0])
+        f = _train(pdf, time, outcome, drivers, origin)[-1]
+        return pd.DataFrame([(origin, len(pdf), f["rho"], math.log10(f["lam"]), f["iterations"], f["converged"])],
+                            columns=["origin", "n_train", "rho", "log10_lambda", "iterations", "converged"])
+
+    return spread.groupBy("origin").applyInPandas(solve, "origin int, n_train long, rho double, log10_lambda double, iterations int, converged boolean")
+
+
 def predicted(design: DataFrame, time: str, outcome: str, drivers: Sequence[str], end: int) -> DataFrame:
     schema = "t long, observed double, predicted double, lower double, upper double, in_sample boolean"
     return design.groupBy(F.lit(0).alias("_series")).applyInPandas(lambda pdf: trajectory(pdf, time, outcome, drivers, end), schema)

@@ -249,3 +249,39 @@ def map_join(spark, sf):
 @query("V10_sorted_table", "SELECT u.unit, round(t.warming, 6) AS warming FROM units u JOIN natrend t ON t.nk = u.nk ORDER BY t.warming DESC, u.unit", ("units", "natrend"))
 def sorted_table(spark, sf):
     return V.units(spark, sf).join(V.natrend(spark, sf), "nk").orderBy(F.desc("warming"), "unit").select("unit", F.round("warming", 6).alias("warming"))
+
+
+CODES = "SELECT ilat, ilon, CAST(CASE WHEN nk IS NULL THEN 0 ELSE nk + 1 END AS BIGINT) AS code FROM mask"
+
+
+def _image_cells(spark, sf, zipped):
+    """Zone codes written as one image per latitude row by the task that owns it, then read back."""
+    field = V.mask(spark, sf).select("ilat", "ilon", "clat", F.coalesce(F.col("nk") + 1, F.lit(0)).alias("code"))
+    folder = T.shared_folder(spark, "image").removeprefix("file:")
+    GR.write_band_images(field, folder, 10.0, 36, zipped).agg(F.count("*")).collect()
+    cells = GR.read_geotiff(spark, folder, "band.tif" if zipped else None)
+    return cells.select(F.round((F.col("lat") + 85.0) / 10.0).cast("bigint").alias("ilat"), F.round((F.col("lon") + 175.0) / 10.0).cast("bigint").alias("ilon"), "code")
+
+
+@query("S22_geotiff_scan", CODES, ("mask",))
+def geotiff_scan(spark, sf):
+    return _image_cells(spark, sf, False)
+
+
+@query("S23_zip_member_scan", CODES, ("mask",))
+def zip_member_scan(spark, sf):
+    return _image_cells(spark, sf, True)
+
+
+@query("S26_verified_source", "SELECT count(*) AS n FROM supplier")
+def verified_source(spark, sf):
+    pinned = T.file_manifest(spark, f"{sf}/supplier.parquet").select("sha256").collect()[0][0]
+    T.verify_checksum(spark, f"{sf}/supplier.parquet", pinned)
+    return V.table(spark, sf, "supplier").agg(F.count("*").alias("n"))
+
+
+@query("S32_cached_field", "SELECT ilat, ilon, round(slope, 6)+0.0 AS slope FROM cellfit", ("cellfit",))
+def cached_field(spark, sf):
+    folder = T.shared_folder(spark, "field")
+    V.cellfit(spark, sf).write.parquet(folder)
+    return T.read_required(spark, folder, ["ilat", "ilon", "slope"]).withColumn("slope", r6("slope"))

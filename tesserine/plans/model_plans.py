@@ -373,3 +373,23 @@ def product_replay(spark, sf):
         row = SR.fit_spatial(d, w, "nk", outcome, XCOLS, "sem").select(F.lit(outcome).alias("outcome"), r6("theta", 5).alias("theta"), r6("sigma2").alias("sigma2"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query("P33_likelihood_maximum")
+def likelihood_maximum(spark, sf):
+    """The maximum is at least as high as any point of a coarse profile."""
+    d, w = _graph(spark, sf)
+    best = SR.fit_spatial(d, w, "nk", "warming", XCOLS, "sem").select(F.lit(1).alias("_k"), "theta", "loglik", "at_bound")
+    profile = SR.likelihood_profile(d, w, "nk", "warming", XCOLS, "sem", [i / 20 for i in range(-19, 20)]).agg(F.lit(1).alias("_k"), F.max("loglik").alias("coarse"))
+    return best.join(profile, "_k").select(r6("theta", 5).alias("theta"), r6("loglik", 5).alias("loglik"), "at_bound", (F.col("loglik") >= F.col("coarse") - 1e-9).alias("dominates"))
+
+
+@query("P37_dependence_interval")
+def dependence_interval(spark, sf):
+    d, w = _graph(spark, sf)
+    out = None
+    for family in ("sem", "sar"):
+        row = SR.fit_spatial(d, w, "nk", "warming", XCOLS, family).select(
+            F.lit(family).alias("family"), r6("theta", 5).alias("theta"), r6("se", 4).alias("se"), r6("lower", 4).alias("lower"), r6("upper", 4).alias("upper"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -251,7 +251,7 @@ def date_parts(spark, sf):
  WHERE l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-01' GROUP BY 1""")
 def window_filter(spark, sf):
     return V.table(spark, sf, "lineitem").where(
-        C.in_window("l_shipdate", dt.datetime(1996, 1, 1), dt.datetime(1998, 12, 1))).groupBy("l_returnflag").agg(F.count("*").alias("n"))
+        C.in_window("l_shipdate", dt.date(1996, 1, 1), dt.date(1998, 12, 1))).groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 
 @query("F7_bound_parameters", """SELECT event_type, count(*) AS n, round(avg(value), 6) + 0.0 AS mean_value FROM events

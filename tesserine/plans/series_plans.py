@@ -115,3 +115,28 @@ def rolling_origin(spark, sf):
 def horizon_summary(spark, sf):
     s = G.horizon_summary(_rolling(spark, sf))
     return s.select("horizon", "n", "covered_count", *[r6(c, 5).alias(c) for c in ("rmse", "mae", "bias", "coverage", "mean_width", "interval_score")])
+
+
+def _posterior(spark, sf):
+    return G.posterior(design(spark, sf), "t", "y", DRIVERS, TRAIN_END)
+
+
+@query("G4_posterior")
+def posterior(spark, sf):
+    return _posterior(spark, sf).select("term", *[r6(c, 5).alias(c) for c in ("mean", "scale", "alpha", "beta")])
+
+
+@query("G5_log_evidence")
+def log_evidence(spark, sf):
+    return _posterior(spark, sf).agg(r6(F.max("evidence"), 4).alias("evidence"))
+
+
+@query("G6_selected_lambda")
+def selected_lambda(spark, sf):
+    return _posterior(spark, sf).agg(r6(F.max("log10_lambda"), 3).alias("log10_lambda"), F.max("log10_lambda").between(-6, 6).alias("inside"))
+
+
+@query("G12_convergence_trace")
+def convergence_trace(spark, sf):
+    f = G.origin_fits(design(spark, sf), "t", "y", DRIVERS, range(48, 70))
+    return f.select("origin", "n_train", r6("rho", 5).alias("rho"), "iterations", "converged")

@@ -240,3 +240,25 @@ def conform_axes(df: DataFrame, renames: dict[str, str], constant: list[str]) ->
         if wide:
             raise ValueError(f"dimensions hold more than one value: {wide}")
     return df.drop(*constant).withColumnsRenamed(renames)
+
+
+def write_band_images(cells: DataFrame, folder: str, step: float, n_lon: int, zipped: bool) -> DataFrame:
+    """One image (or zip archive holding it) per latitude row of `code`; returns (ilat, path)."""
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        import os
+
+        row = int(pdf["ilat"].iloc[0])
+        codes = np.zeros((1, n_lon), dtype="u1")
+        codes[0, pdf["ilon"].to_numpy()] = pdf["code"].to_numpy()
+        raw = geotiff_bytes(codes, step, -180.0, float(pdf["clat"].iloc[0]) + step / 2)
+        os.makedirs(folder, exist_ok=True)
+        path = f"{folder}/band-{row}.{'zip' if zipped else 'tif'}"
+        if zipped:
+            with zipfile.ZipFile(path, "w") as archive:
+                archive.writestr("band.tif", raw)
+        else:
+            with open(path, "wb") as handle:
+                handle.write(raw)
+        return pd.DataFrame({"ilat": [row], "path": [path]})
+
+    return cells.groupBy("ilat").applyInPandas(write, "ilat bigint, path string")
