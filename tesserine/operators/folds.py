@@ -53,8 +53,8 @@ def training_rows(points: DataFrame, key: str, fold: str, buffer_km: float) -> D
     """(key, fold) for every training membership after the exclusion buffer, all folds in one plan."""
     points = cut_lineage(points.select(key, fold, "lat", "lon"))
     folds = points.select(F.col(fold).alias("_t")).distinct()
-    tests = points.select("lat", "lon", F.col(fold).alias("_t")).distinct()
-    near = near_coordinates(points.select("lat", "lon").distinct(), tests, buffer_km).select("lat", "lon", "_t").distinct()
+    tests = points.select("lat", "lon", F.col(fold).alias("t")).distinct()
+    near = near_coordinates(points.select("lat", "lon").distinct(), tests, buffer_km).select("lat", "lon", F.col("bt").alias("_t")).distinct()
     # One row per record and other fold: the fold list is a handful of values.
     every = F.array_sort(F.collect_set("_t"))
     spread = points.withColumn("_all", folds.agg(every).scalar()).select(key, "lat", "lon", F.col(fold).alias("_own"), F.explode("_all").alias("_t"))

@@ -40,19 +40,26 @@ def _spread_cells(df: DataFrame) -> DataFrame:
     return df
 
 
-def near_coordinates(a: DataFrame, b: DataFrame, radius_km: float) -> DataFrame:
+def near_coordinates(a: DataFrame, b: DataFrame, radius_km: float, half: bool = False) -> DataFrame:
     """Pairs of distinct coordinates (lat, lon) x (blat, blon) at most `radius_km` apart.
 
     `a` and `b` carry one row per coordinate; their other columns come along
-    (those of `b` prefixed with b).
+    (those of `b` prefixed with b). `half` keeps one of (p, q) and (q, p) when
+    both sides are the same table. The chord is compared first, so the
+    trigonometry runs only for pairs that are kept.
     """
     size = max(km_to_chord(radius_km) * (1 + 1e-9), 1e-6)
     cells = {f"_c{k}": _cube(f"_{k}", size) for k in "xyz"}
-    left = _spread_cells(_with_xyz(a).withColumns(cells)).drop("_x", "_y", "_z")
-    right = _with_xyz(b).withColumns(cells).drop("_x", "_y", "_z")
-    right = right.select(*[F.col(c).alias(c if c.startswith("_") else f"b{c}") for c in right.columns])
+    left = _spread_cells(_with_xyz(a).withColumns(cells))
+    right = _with_xyz(b).withColumns(cells)
+    right = right.select(*[F.col(c).alias(c if c.startswith("_c") else f"b{c}") for c in right.columns])
+    gap = sum(((F.col(f"_{k}") - F.col(f"b_{k}")) * (F.col(f"_{k}") - F.col(f"b_{k}")) for k in "xyz"), F.lit(0.0))
+    pairs = left.join(right, ["_cx", "_cy", "_cz"]).where(gap <= size * size * (1 + 1e-9))
+    if half:
+        pairs = pairs.where((F.col("lat") < F.col("blat")) | ((F.col("lat") == F.col("blat")) & (F.col("lon") <= F.col("blon"))))
     km = haversine_km("lat", "lon", "blat", "blon")
-    return left.join(right, ["_cx", "_cy", "_cz"]).drop("_cx", "_cy", "_cz").withColumn("km", km).where(F.col("km") <= radius_km)
+    scratch = ["_cx", "_cy", "_cz", *[f"_{k}" for k in "xyz"], *[f"b_{k}" for k in "xyz"]]
+    return pairs.drop(*scratch).withColumn("km", km).where(F.col("km") <= radius_km)
 
 
 def near_pairs(points: DataFrame, key: str, radius_km: float) -> DataFrame:
@@ -269,11 +276,12 @@ def ring_statistics(points: DataFrame, value: str, edges_km: list[float]) -> Dat
     z = points.select("lat", "lon", (F.col(value) - mu).alias("z"))
     sums = cut_lineage(z.groupBy("lat", "lon").agg(F.count("*").alias("n"), F.sum("z").alias("s"), F.sum(F.col("z") * F.col("z")).alias("q")))
     total = sums.agg(F.struct(F.sum("n").alias("n"), F.sum("q").alias("q")).alias("t")).scalar()
-    near = near_coordinates(sums, sums, edges_km[-1])
+    near = near_coordinates(sums, sums, edges_km[-1], half=True)
     same = (F.col("lat") == F.col("blat")) & (F.col("lon") == F.col("blon"))
-    count = F.when(same, F.col("n") * (F.col("n") - 1)).otherwise(F.col("n") * F.col("bn"))
-    cross = F.when(same, F.col("s") * F.col("s") - F.col("q")).otherwise(F.col("s") * F.col("bs"))
-    square = F.when(same, 2.0 * (F.col("n") * F.col("q") - F.col("s") * F.col("s"))).otherwise(F.col("bn") * F.col("q") + F.col("n") * F.col("bq") - 2.0 * F.col("s") * F.col("bs"))
+    count = F.when(same, F.col("n") * (F.col("n") - 1)).otherwise(2 * F.col("n") * F.col("bn"))
+    cross = F.when(same, F.col("s") * F.col("s") - F.col("q")).otherwise(2.0 * F.col("s") * F.col("bs"))
+    square = F.when(same, 2.0 * (F.col("n") * F.col("q") - F.col("s") * F.col("s"))).otherwise(
+        2.0 * (F.col("bn") * F.col("q") + F.col("n") * F.col("bq") - 2.0 * F.col("s") * F.col("bs")))
     ring = F.lit(None).cast("bigint")
     for at in range(len(edges_km) - 2, -1, -1):
         ring = F.when((F.col("km") >= edges_km[at]) & (F.col("km") < edges_km[at + 1]), F.lit(at).cast("bigint")).otherwise(ring)
