@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from tesserine.plans import catalog  # noqa: E402
 from tesserine.plans.registry import QUERIES  # noqa: E402
-from tesserine.session import build_session  # noqa: E402
+from tesserine.session import build_session, ship_package  # noqa: E402
 
 #: Ingest, panel, trends, inequality, coupling, strata, zones, space, models, resampling, series.
 HEADLINE = (
@@ -29,6 +29,7 @@ def main() -> None:
     spark = build_session(
         "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="12g", spark__ui__showConsoleProgress="false")
     catalog.load()
+    ship_package(spark)
     spark.range(1000).selectExpr("sum(id)").collect()  # JVM warm-up
     took: dict[str, float] = {}
     for name in HEADLINE:
