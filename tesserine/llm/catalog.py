@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserine.llm import packing, quality, secrets, sharding  # noqa: F401
+from tesserine.llm import near_duplicates, packing, quality, secrets, sharding  # noqa: F401
 from tesserine.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -72,3 +72,30 @@ def ranked_in_buckets(df: DataFrame, bucket: Column, buckets: int, order: list[C
     ranked = parts.withColumn("__r", local).join(offsets, on, "left")
     drop = ["__b", "__ob", "__r", "__before"] + (["__oby"] if by else [])
     return ranked.withColumn(out, F.col("__before") + F.col("__r") - 1).drop(*drop)
+
+
+#: Rows of one or two numbers that may be sent to every executor; longer tables are joined by a shuffle.
+SENT_ROWS = 1_000_000
+
+
+def sent(keys: DataFrame) -> DataFrame:
+    """`keys` (a written table of one or two numeric columns) marked for broadcast if its counted rows stay within `SENT_ROWS`."""
+    return F.broadcast(keys) if keys.count() <= SENT_ROWS else keys.hint("shuffle_hash")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of every node of the edges (a, b): the label is the least node that can be reached.
+
+    Rounds of taking the least neighbouring label and the label of one's label, so the number of rounds follows the logarithm of
+    the longest chain. Each round is written, so a lost executor costs one round.
+    """
+    both = saved(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
+    while True:
+        heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
+        near = labels.join(heard, "node").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        new = saved(near.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("above", "label")).alias("label")), "labels")
+        labels = new.select("node", "label")
+        if new.where(F.col("was") != F.col("label")).isEmpty():
+            return labels
