@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,11 @@ from pyspark.sql import functions as F
 from tesserine.llm.common import query, ranked_in_buckets, row_buckets, saved, table
 
 #: Words whose ids a worker remembers, and characters of text that are split at a time.
-REMEMBERED, SPLIT_AT = 400_000, 1_000_000
+REMEMBERED, SPLIT_AT = 600_000, 1_000_000
+#: A special token of the vocabulary, by its id; it never comes out of a word without `<|`.
+PARTING = 49407
+_TAIL = b".,;:!?|%*&$#"
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -33,11 +39,55 @@ def _tokenizer(spec: str):
     return Tokenizer.from_str(spec), {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+_LETTERS = _byte_letters()
+
+
+def _learn(tokenizer, known: dict[bytes, bytes], words: list[bytes]) -> None:
+    """Put the ids of new words into `known`.
+
+    Closing punctuation is a token run of its own, so a word is looked up as its stem and its tail. Stems of small letters need no
+    normalizing or splitting and go to the tokenizer's model; all else goes through the whole tokenizer, many words to a call,
+    parted by a special token whose id parts the ids again.
+    """
+    stems, model = {}, tokenizer.model
+    for word in words:
+        stem = word.rstrip(_TAIL)
+        if stem and stem is not word and len(stem) < len(word) and stem.decode()[-1].isalpha():
+            stems[word] = (stem, word[len(stem):])
+    rest = []
+    for word in {*(w for w in words if w not in stems), *(x for pair in stems.values() for x in pair)}:
+        if word in known:
+            continue
+        text = word.decode()
+        if text.isalpha() and (text.isascii() or text == text.lower() and is_normalized("NFC", text)):
+            mapped = text if text.isascii() else word.decode("latin-1").translate(_LETTERS)
+            known[word] = array("I", [t.id for t in model.tokenize(mapped)]).tobytes()
+        else:
+            rest.append(word)
+    part = tokenizer.id_to_token(PARTING)
+    for at in range(0, len(rest), 500):
+        some = rest[at: at + 500]
+        ids = np.asarray(tokenizer.encode_batch_fast([part.join(w.decode() for w in some)], add_special_tokens=False)[0].ids, "<u4")
+        raw, start = ids.tobytes(), 0
+        for word, end in zip(some, [*np.flatnonzero(ids == PARTING).tolist(), len(ids)], strict=True):
+            known[word] = raw[4 * start: 4 * end]
+            start = end + 1
+    for word, (stem, tail) in stems.items():
+        known[word] = known[stem] + known[tail]
+
+
 def token_bytes(texts: list[str], spec: str) -> list[bytes]:
     """The ids of every text as little-endian unsigned 32-bit bytes.
 
-    White space ends a token and leaves none in this vocabulary, so a text's ids are those of its words one after another; the
-    tokenizer is asked once for each word it has not seen.
+    White space ends a token and leaves none in this vocabulary, and capitals count as small letters, so a text's ids are those
+    of its words one after another; the tokenizer is asked once for each word it has not seen. A text with `<|` in it, which may
+    hold a special token, goes to the tokenizer whole.
     """
     tokenizer, known = _tokenizer(spec)
     out: list[bytes] = []
@@ -47,15 +97,16 @@ def token_bytes(texts: list[str], spec: str) -> list[bytes]:
         while upto < len(texts) and (upto == at or size + len(texts[upto]) <= SPLIT_AT):
             size += len(texts[upto])
             upto += 1
-        words = [t.encode().split() for t in texts[at:upto]]
-        new = list(set().union(*words).difference(known))
+        words = [None if "<|" in t else t.encode().translate(_LOWER).split() for t in texts[at:upto]]
+        local = dict.fromkeys(set().union(*filter(None, words)))
+        new = [w for w in local if w not in known]
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = list(set().union(*words))
-        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        for word, found in zip(new, encode([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[word] = np.asarray(found.ids, "<u4").tobytes()
-        out += [b"".join(map(known.__getitem__, w)) for w in words]
+            new = list(local)
+        _learn(tokenizer, known, new)
+        for text, w in zip(texts[at:upto], words, strict=True):
+            out.append(b"".join(map(known.__getitem__, w)) if w is not None else np.asarray(
+                tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
         at = upto
     return out
 
