@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserine.llm import chat, html_text, near_duplicates, packing, quality, secrets, sharding, toxicity, warc  # noqa: F401
+from tesserine.llm import chat, decontamination, html_text, near_duplicates, packing, quality, secrets, sharding, toxicity, warc  # noqa: F401
 from tesserine.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
