@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 
 from tesserine.llm.common import components, query, saved, sent, table
 
-#: Bands of rows: a pair at 0.85 shares no band with probability (1 - 0.85^7)^40 < 2e-7.
-BANDS, ROWS = 40, 7
-HASHES = BANDS * ROWS
+#: Permutations, and the greatest probability with which a pair at the threshold may share no band.
+HASHES, MISSED = 280, 1e-6
 #: Bits kept of a minimum, and standard errors below the threshold at which an estimate still leads to an exact comparison.
 BITS, ERRORS = 2, 5.0
 #: Members of a block when a large bucket is opened.
@@ -74,9 +73,16 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
-def band_keys(best: np.ndarray) -> np.ndarray:
-    rows = best.reshape(BANDS, ROWS).astype(np.uint64)
-    return _mix((rows * _ODD[1: 1 + ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _ODD[40]).view(np.int64)
+def band_rows(percent: int) -> int:
+    """Minima of a band: as many as keep the chance of a missed pair at the threshold below `MISSED` (7 of them at 85, 6 at 80)."""
+    t = percent / 100
+    return max((r for r in range(1, 33) if (1 - t ** r) ** (HASHES // r) < MISSED), default=1)
+
+
+def band_keys(best: np.ndarray, rows: int) -> np.ndarray:
+    bands = HASHES // rows
+    minima_ = best[: bands * rows].reshape(bands, rows).astype(np.uint64)
+    return _mix((minima_ * _ODD[1: 1 + rows]).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * _ODD[40]).view(np.int64)
 
 
 def packed_bits(best: np.ndarray) -> np.ndarray:
@@ -91,7 +97,7 @@ def _list(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *values]).astype(np.int64, copy=False)))
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, rows: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -102,7 +108,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets], pa.string()),
-                    _list([none if b is None else band_keys(b) for b in best]), _list([none if b is None else packed_bits(b) for b in best])],
+                    _list([none if b is None else band_keys(b, rows) for b in best]), _list([none if b is None else packed_bits(b) for b in best])],
                     ["id", "n", "fp", "bands", "bits"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
@@ -141,7 +147,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lead to. Null text counts as empty: no set, linked with nothing. A null id never is a component_id while another id is in the
     component; rows that repeat an id are one document, so all of them are kept or none. Other columns are not read.
     """
-    signed = saved(signatures(docs, id_col, text_col, width), "signatures")
+    signed = saved(signatures(docs, id_col, text_col, width, band_rows(percent)), "signatures")
     classes = signed.where("n > 0").groupBy("fp", "n").agg(
         F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
