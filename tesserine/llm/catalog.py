@@ -4,5 +4,8 @@ from __future__ import annotations
 
 from tesserine.llm import chat, decontamination, html_text, near_duplicates, packing, quality, secrets, sharding, toxicity, warc  # noqa: F401
 from tesserine.llm.common import ORACLES, QUERIES
+from tesserine.llm.sql import SQL
+
+ORACLES.update(SQL)
 
 __all__ = ["ORACLES", "QUERIES"]
