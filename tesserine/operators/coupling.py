@@ -72,7 +72,7 @@ def permuted(units: DataFrame, key: str, value: str, draws: int, seed: int, max_
     return placed.join(indexed.select("_i", F.col(value).alias("permuted")), "_i").select("draw", key, "permuted")
 
 
-def spearman_gradient(df: DataFrame, key: str, value: str, ordinal: str, draws: int = 199, seed: int = 0, max_rows: int | None = None) -> DataFrame:
+def spearman_gradient(df: DataFrame, key: str, value: str, ordinal: str, draws: int = 999, seed: int = 0, max_rows: int | None = None) -> DataFrame:
     """rho, n and label-permutation p (tail on |rho|), with a reason when undefined."""
     pairs = df.where(F.col(value).isNotNull() & F.col(ordinal).isNotNull()).select(key, value, ordinal)
     ranked = with_rank(with_rank(pairs, value, "_rv", "average", max_rows=max_rows), ordinal, "_ro", "average", max_rows=max_rows)

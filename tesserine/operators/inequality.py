@@ -52,10 +52,15 @@ def theil_by_group(df: DataFrame, value: str, group: str, weight: Column | None
 
 
 def lorenz_points(df: DataFrame, value: str, weight: Column | None = None, max_rows: int | None = None) -> DataFrame:
-    """Cumulative unit and magnitude shares, one point per distinct value plus the origin."""
+    """Cumulative unit and magnitude shares, one point per row plus the origin.
+
+    Rows of one value lie on a straight segment: they share its weight evenly, so their order does not matter.
+    """
     w = F.lit(1.0) if weight is None else weight
-    pos = value_positions(df, value, {"w": w, "wx": w * F.col(value)}, max_rows=max_rows)
-    points = pos.select((F.col("cum_w") / F.col("all_w")).alias("unit_share"), (F.col("cum_wx") / F.col("all_wx")).alias("value_share"))
+    pos = value_positions(df, value, {"w": w, "wx": w * F.col(value), "rows": F.lit(1)}, max_rows=max_rows)
+    each = pos.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("rows").cast("int") - 1))).withColumn("_left", F.col("_k") / F.col("rows"))
+    points = each.select(((F.col("cum_w") - F.col("w") * F.col("_left")) / F.col("all_w")).alias("unit_share"),
+                         ((F.col("cum_wx") - F.col("wx") * F.col("_left")) / F.col("all_wx")).alias("value_share"))
     origin = df.limit(1).select(F.lit(0.0).alias("unit_share"), F.lit(0.0).alias("value_share"))
     return origin.unionByName(points)
 

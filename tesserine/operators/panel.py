@@ -20,6 +20,13 @@ def cents(x: str) -> Column:
     return F.floor(F.col(x) * 100 + 0.5).cast("bigint")
 
 
+def in_months(facts: DataFrame, date: str, months: tuple[dt.date, dt.date]) -> DataFrame:
+    """Rows of the months from the first to the last, as a range on the raw date."""
+    first, last = (m.replace(day=1) for m in months)
+    after = (last + dt.timedelta(days=32)).replace(day=1)
+    return facts.where((F.col(date) >= F.lit(first)) & (F.col(date) < F.lit(after)))
+
+
 def monthly_panel(
     facts: DataFrame, key: str, date: str, amount: str, scale: float = 99_991.0, months: tuple[dt.date, dt.date] | None = None
 ) -> DataFrame:
@@ -29,9 +36,7 @@ def monthly_panel(
     the parquet scan can skip by; a filter on the derived month could not.
     """
     if months is not None:
-        first, last = (m.replace(day=1) for m in months)
-        after = (last + dt.timedelta(days=32)).replace(day=1)
-        facts = facts.where((F.col(date) >= F.lit(first)) & (F.col(date) < F.lit(after)))
+        facts = in_months(facts, date, months)
     month = F.trunc(F.col(date).cast("date"), "month")
     return (
         facts.groupBy(F.col(key).alias("site"), month.alias("month"))

@@ -26,6 +26,11 @@ def pair_corr(a: Column, b: Column) -> Column:
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
 
 
+def years_of(df: DataFrame, column: str) -> list[int]:
+    """The years a column holds, in order: as many values as the calendar has years."""
+    return [r[0] for r in df.select(column).distinct().orderBy(column).collect() if r[0] is not None]
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], take: Sequence[str]) -> DataFrame:
     """The first row of each key in an explicit order, by partial aggregation."""
     packed = F.min_by(F.struct(*take), F.struct(*order))

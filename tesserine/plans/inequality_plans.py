@@ -252,7 +252,7 @@ def strata(spark, sf):
         .select("nk", "tier", "warming", "warming_area", "resp", "vuln", "n_customers"))
 
 
-def gradient_sql(v: str, o: str, name: str, draws: int = 199, src: str = "st") -> str:
+def gradient_sql(v: str, o: str, name: str, draws: int = 999, src: str = "st") -> str:
     """Observed rank correlation and its permutation p as named table expressions."""
     rank = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1)/2.0"
     return f"""{name}_r AS (SELECT nk, {rank(v)} AS rv, {rank(o)} AS ro, row_number() OVER (ORDER BY nk) AS i FROM {src}),

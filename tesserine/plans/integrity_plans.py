@@ -10,6 +10,7 @@ from tesserine.operators import linear as L
 from tesserine.operators import ordering as O
 from tesserine.operators import panel as P
 from tesserine.operators import spatial as S
+from tesserine.operators.tables import years_of
 from tesserine.plans import model_plans as M
 from tesserine.plans import relational_plans as RP
 from tesserine.plans import series_plans as SP
@@ -67,7 +68,7 @@ def spot_checks(spark, sf):
 
 @query("Q9_preflight", "SELECT 'coverage' AS gate, avg(coverage) >= 0.9 AS passes FROM cover UNION ALL SELECT 'nulls', avg(CASE WHEN consumption IS NULL THEN 1.0 ELSE 0.0 END) <= 0.5 FROM emis UNION ALL SELECT 'orphans', (SELECT count(*) FROM sites s WHERE s.nk NOT IN (SELECT nk FROM units)) = 0", ("cover", "emis", "sites", "units"))
 def preflight(spark, sf):
-    cover = P.coverage(V.panel(spark, sf), ["site"], V.WINDOW, V.MIN_COVERAGE).agg((F.avg("coverage") >= 0.9).alias("passes"))
+    cover = P.coverage(V.panel(spark, sf, V.WINDOW), ["site"], V.WINDOW, V.MIN_COVERAGE).agg((F.avg("coverage") >= 0.9).alias("passes"))
     nulls = Q.null_rate_gate(V.emis(spark, sf), "consumption", 0.5).select("passes")
     lost = V.sites(spark, sf).join(V.units(spark, sf), "nk", "left_anti").agg((F.count("*") == 0).alias("passes"))
     out = None
@@ -132,9 +133,9 @@ def band_scan(spark, sf):
     return grid.where("value is not null and not isnan(value)").groupBy(row.alias("ilat")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 3).alias("mean_value"))
 
 
-@query("S31_conform_axes", "SELECT ilat, ilon, strftime(month, '%Y-%m-%d') AS time, round(value, 4) AS field FROM cells WHERE ilat = 3", ("cells",))
+@query("S31_conform_axes", "SELECT ilat, ilon, strftime(month, '%Y-%m-%d') AS time, round(value, 4) AS field FROM cells", ("cells",))
 def conform_axes(spark, sf):
-    raw = V.cells(spark, sf).where("ilat = 3").select("ilat", "ilon", F.date_format("month", "yyyy-MM-dd").alias("valid_time"), F.round("value", 4).alias("t2m"), F.lit(0).alias("number"), F.lit("0001").alias("expver"))
+    raw = V.cells(spark, sf).select("ilat", "ilon", F.date_format("month", "yyyy-MM-dd").alias("valid_time"), F.round("value", 4).alias("t2m"), F.lit(0).alias("number"), F.lit("0001").alias("expver"))
     return GR.conform_axes(raw, {"valid_time": "time", "t2m": "field"}, ["number", "expver"])
 
 
@@ -142,8 +143,10 @@ def conform_axes(spark, sf):
 def year_snapshot(spark, sf):
     e = cut_lineage(V.emis(spark, sf))
     hi = e.agg(F.max("production")).scalar()
-    wide = e.withColumn("score", F.col("production") / hi).groupBy("nk").pivot("yr", list(range(1995, 2002))).agg(F.first("score"))
-    long = wide.unpivot(["nk"], [str(y) for y in range(1995, 2002)], "yr", "score").where("yr = '1998' and score is not null")
+    scored = e.withColumn("score", F.col("production") / hi)
+    years = years_of(scored, "yr")
+    wide = scored.groupBy("nk").pivot("yr", years).agg(F.first("score"))
+    long = wide.unpivot(["nk"], [str(y) for y in years], "yr", "score").where("yr = '1998' and score is not null")
     RP.B.require_unique(long, ["nk"])
     bad = long.where("not (score between 0 and 1)")
     if not bad.isEmpty():
@@ -197,9 +200,9 @@ def one_series(spark, sf):
     return P.gated_anomalies(p, ["site"], V.BASELINE, V.WINDOW, V.MIN_COVERAGE, calendar_bound=True).select(F.date_format("month", "yyyy-MM-dd").alias("month"), r6("anomaly").alias("anomaly"))
 
 
-@query("V2_unit_picker", "SELECT s.site, s.lat, s.lon FROM sites s JOIN units u ON u.nk = s.nk WHERE u.unit = 'NATION_6' ORDER BY s.site LIMIT 5", ("sites", "units"))
+@query("V2_unit_picker", "SELECT s.site, s.lat, s.lon FROM sites s JOIN units u ON u.nk = s.nk WHERE u.unit = 'NATION_6' ORDER BY s.site", ("sites", "units"))
 def unit_picker(spark, sf):
-    return V.sites(spark, sf).join(V.units(spark, sf).where("unit = 'NATION_6'"), "nk").orderBy("site").limit(5).select("site", "lat", "lon")
+    return V.sites(spark, sf).join(V.units(spark, sf).where("unit = 'NATION_6'"), "nk").orderBy("site").select("site", "lat", "lon")
 
 
 @query("V3_latitude_scatter", "SELECT CAST(floor(lat/10) AS BIGINT) AS band, count(*) AS n, round(median(ols_slope), 6)+0.0 AS median FROM strend GROUP BY 1 HAVING count(*) >= 3", ("strend",))

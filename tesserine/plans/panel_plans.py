@@ -108,7 +108,7 @@ def stored_table(spark, sf):
 
 @query("S8_frame_as_relation", """SELECT moy, count(*) AS n, round(avg(climatology), 6) + 0.0 AS mean_clim FROM clim GROUP BY moy""", ("clim",))
 def frame_as_relation(spark, sf):
-    base = P.climatology(V.panel(spark, sf), ["site"], *V.BASELINE)
+    base = P.climatology(V.panel(spark, sf, V.BASELINE), ["site"], *V.BASELINE)
     return spark.sql("SELECT moy, count(*) AS n, round(avg(climatology), 6) + 0.0D AS mean_clim FROM {base} GROUP BY moy", base=base)
 
 
@@ -462,12 +462,12 @@ def float_slimming(spark, sf):
 
 @query("A1_climatology", "SELECT site, moy, round(climatology, 6) + 0.0 AS climatology FROM clim", ("clim",))
 def climatology(spark, sf):
-    return P.climatology(V.panel(spark, sf), ["site"], *V.BASELINE).select("site", "moy", r6("climatology").alias("climatology"))
+    return P.climatology(V.panel(spark, sf, V.BASELINE), ["site"], *V.BASELINE).select("site", "moy", r6("climatology").alias("climatology"))
 
 
 @query("A2_coverage", "SELECT site, n_obs, n_possible, round(coverage, 6) AS coverage, coverage >= 0.99 AS keep FROM cover", ("cover",))
 def coverage(spark, sf):
-    return P.coverage(V.panel(spark, sf), ["site"], V.WINDOW, 0.99).withColumn("coverage", F.round("coverage", 6))
+    return P.coverage(V.panel(spark, sf, V.WINDOW), ["site"], V.WINDOW, 0.99).withColumn("coverage", F.round("coverage", 6))
 
 
 @query("A3_distinct_tuples", "SELECT count(*) AS n, count(DISTINCT (l_returnflag, l_linestatus, l_suppkey)) AS n_keys, strftime(min(l_shipdate), '%Y-%m-%d') AS first_day, strftime(max(l_shipdate), '%Y-%m-%d') AS last_day FROM lineitem")
@@ -485,14 +485,14 @@ def anomalies(spark, sf):
 @query("J2_left_join_climatology", """SELECT p.site, CAST(month(p.month) AS BIGINT) AS moy, count(*) AS n, count(c.climatology) AS n_matched, round(sum(p.value - c.climatology), 4) + 0.0 AS total
  FROM panel p LEFT JOIN clim c ON c.site = p.site AND c.moy = month(p.month) WHERE p.month BETWEEN DATE '1995-02-01' AND DATE '2001-10-01' GROUP BY 1, 2""", ("clim",))
 def left_join_climatology(spark, sf):
-    return (P.anomalies(V.panel(spark, sf), ["site"], V.BASELINE, V.WINDOW).groupBy("site", "moy")
+    return (P.anomalies(V.panel(spark, sf, V.WINDOW), ["site"], V.BASELINE, V.WINDOW).groupBy("site", "moy")
             .agg(F.count("*").alias("n"), F.count("climatology").alias("n_matched"), r6(F.sum("anomaly"), 4).alias("total")))
 
 
 @query("J3_gate_semi_join", """SELECT p.site, count(*) AS n FROM panel p WHERE p.site IN (SELECT site FROM cover WHERE coverage >= 0.99) GROUP BY 1""", ("cover",))
 def gate_semi_join(spark, sf):
     panel = V.panel(spark, sf)
-    kept = P.coverage(panel, ["site"], V.WINDOW, 0.99).where("keep").select("site")
+    kept = P.coverage(V.panel(spark, sf, V.WINDOW), ["site"], V.WINDOW, 0.99).where("keep").select("site")
     return panel.join(kept, "site", "left_semi").groupBy("site").agg(F.count("*").alias("n"))
 
 
@@ -524,7 +524,7 @@ def intercept_check(spark, sf):
 
 def cell_slopes(spark, sf, min_fraction=0.6):
     """Robust slope per land cell with enough finite months."""
-    cells = V.with_zone(V.cells(spark, sf)).where(F.col("nk").isNotNull() & C.in_window("month", *V.WINDOW)).withColumn("x", C.decimal_decades("month"))
+    cells = V.with_zone(V.cells(spark, sf, V.WINDOW)).where(F.col("nk").isNotNull()).withColumn("x", C.decimal_decades("month"))
     need = -(-C.months_in_window(*V.WINDOW) * min_fraction // 1)
     return theil_sen(cells, ["ilat", "ilon", "nk", "clat"], "x", "value", calendar_bound=True).where(F.col("n_points") >= need)
 

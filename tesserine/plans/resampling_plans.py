@@ -16,7 +16,7 @@ from tesserine.plans.spatial_plans import DU, unit_points
 from tesserine.session import cut_lineage
 
 r6 = C.r6
-DRAWS = 200
+DRAWS = 2000
 
 
 def uniform_sql(*parts: str) -> str:

@@ -16,7 +16,7 @@ from tesserine.plans.registry import query
 from tesserine.session import cut_lineage
 
 r6 = C.r6
-DRAWS = 99
+DRAWS = 199
 
 
 def unit_points(spark, sf):
@@ -105,14 +105,14 @@ def inverse_distance_weights(spark, sf):
     return S.inverse_distance_weights(unit_points(spark, sf), "nk", 3000.0).select("i", "j", F.round("w", 6).alias("w"))
 
 
-TOUCH = """l AS (SELECT ilat, ilon, nk FROM mask WHERE nk IS NOT NULL AND clat > 60), t AS (SELECT DISTINCT a.nk AS a, b.nk AS b FROM l a JOIN l b ON (b.ilat = a.ilat AND b.ilon = (a.ilon+1)%36) OR (b.ilat = a.ilat+1 AND (b.ilon = a.ilon OR b.ilon = (a.ilon+1)%36 OR b.ilon = (a.ilon+35)%36)) WHERE a.nk <> b.nk),
+TOUCH = """l AS (SELECT ilat, ilon, nk FROM mask WHERE nk IS NOT NULL), t AS (SELECT DISTINCT a.nk AS a, b.nk AS b FROM l a JOIN l b ON (b.ilat = a.ilat AND b.ilon = (a.ilon+1)%36) OR (b.ilat = a.ilat+1 AND (b.ilon = a.ilon OR b.ilon = (a.ilon+1)%36 OR b.ilon = (a.ilon+35)%36)) WHERE a.nk <> b.nk),
  c0 AS (SELECT a AS i, b AS j FROM t UNION SELECT b, a FROM t), c1 AS (SELECT i, j FROM c0 WHERE i IN (SELECT nk FROM natrend) AND j IN (SELECT nk FROM natrend)),
  c2 AS (SELECT * FROM c1 UNION ALL SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY round(km, 4), j) AS rk FROM d WHERE i NOT IN (SELECT i FROM c1)) WHERE rk = 1)"""
 
 
 @query("P9_contiguity_weights", f"WITH {DU}, {TOUCH} SELECT i, j, round(1.0/count(*) OVER (PARTITION BY i), 6) AS w FROM c2", ("natrend", "mask"))
 def contiguity_weights(spark, sf):
-    pairs = Z.adjacency(cut_lineage(V.mask(spark, sf).where("clat > 60")), "nk", 36)
+    pairs = Z.adjacency(cut_lineage(V.mask(spark, sf)), "nk", 36)
     return S.contiguity_weights(unit_points(spark, sf), "nk", pairs).select("i", "j", F.round("w", 6).alias("w"))
 
 
@@ -361,7 +361,7 @@ def grouped_random_folds(spark, sf):
 
 @query("P26_kmeans_folds")
 def kmeans_folds(spark, sf):
-    return FO.spherical_kmeans(site_points(spark, sf), 6, seed=0, restarts=3).select("site", "fold")
+    return FO.spherical_kmeans(site_points(spark, sf), 6, seed=0).select("site", "fold")
 
 
 @query("P27_label_folds", "SELECT t.nk, dense_rank() OVER (ORDER BY u.zone) - 1 AS fold FROM natrend t JOIN units u ON u.nk = t.nk", ("natrend", "units"))

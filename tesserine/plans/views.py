@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.functions.columns import decimal_decades
-from tesserine.operators.panel import cents, gated_anomalies, monthly_panel, ols_trend
+from tesserine.operators.panel import cents, gated_anomalies, in_months, monthly_panel, ols_trend
 
 BASELINE = (dt.date(1996, 1, 1), dt.date(1998, 12, 1))
 WINDOW = (dt.date(1995, 2, 1), dt.date(2001, 10, 1))
@@ -145,10 +145,11 @@ def country(spark, sf) -> DataFrame:
     )
 
 
-def cells(spark, sf) -> DataFrame:
-    """Monthly field on an 18 x 36 grid of ten-degree cells, long form."""
+def cells(spark, sf, months=None) -> DataFrame:
+    """Monthly field on an 18 x 36 grid of ten-degree cells, long form; `months` reaches the scan."""
+    facts = table(spark, sf, "lineitem")
     return (
-        table(spark, sf, "lineitem")
+        (facts if months is None else in_months(facts, "l_shipdate", months))
         .groupBy((F.col("l_suppkey") % 18).cast("bigint").alias("ilat"), (F.col("l_partkey") % 36).cast("bigint").alias("ilon"),
                  F.trunc(F.col("l_shipdate").cast("date"), "month").alias("month"))
         .agg((F.sum(F.col("l_quantity").cast("bigint")).cast("double") / F.count("*") / 0.99991).alias("value"), F.count("*").alias("n"))

@@ -145,7 +145,7 @@ def coarse_zone_cells(spark, sf):
 
 @query("A43_cell_climatology_ratio", """SELECT ilat, ilon, count(*) AS n_valid, CASE WHEN count(*) >= 30 THEN round(log10((sum(value)/30)/(sum(n)/30.0)), 6)+0.0 END AS log_ratio FROM cells WHERE month BETWEEN DATE '1996-01-01' AND DATE '1998-12-01' GROUP BY 1, 2""", ("cells",))
 def cell_climatology_ratio(spark, sf):
-    c = V.cells(spark, sf).where(C.in_window("month", *V.BASELINE))
+    c = V.cells(spark, sf, V.BASELINE)
     return c.groupBy("ilat", "ilon").agg(F.count("*").alias("n_valid"), F.when(F.count("*") >= 30, r6(F.log10((F.sum("value") / 30) / (F.sum("n") / 30.0)))).alias("log_ratio"))
 
 

@@ -218,9 +218,13 @@ def read_geotiff(spark: SparkSession, path: str, zip_member: str | None = None)
 
 def geotiff_bytes(codes: np.ndarray, step: float, lon0: float, lat0: float) -> bytes:
     """A one-strip image with pixel scale and tie point."""
-    codes = np.asarray(codes, dtype="<u1")
-    entries = [(_WIDTH, 4, 1, codes.shape[1]), (_LENGTH, 4, 1, codes.shape[0]), (_BITS, 3, 1, 8), (_COMPRESSION, 3, 1, 1),
-               (_OFFSETS, 4, 1, 0), (_COUNTS, 4, 1, codes.size), (_SCALE, 12, 3, 0), (_TIEPOINT, 12, 6, 0)]
+    codes = np.asarray(codes)
+    if codes.size and codes.min() < 0:
+        raise ValueError("codes must not be negative")
+    width = next(b for b in (1, 2, 4) if not codes.size or codes.max() < 1 << 8 * b)
+    codes = codes.astype(f"<u{width}")
+    entries = [(_WIDTH, 4, 1, codes.shape[1]), (_LENGTH, 4, 1, codes.shape[0]), (_BITS, 3, 1, 8 * width), (_COMPRESSION, 3, 1, 1),
+               (_OFFSETS, 4, 1, 0), (_COUNTS, 4, 1, codes.nbytes), (_SCALE, 12, 3, 0), (_TIEPOINT, 12, 6, 0)]
     directory = 8
     doubles = directory + 2 + 12 * len(entries) + 4
     pixels = doubles + 72
@@ -248,7 +252,7 @@ def write_band_images(cells: DataFrame, folder: str, step: float, n_lon: int, zi
         import os
 
         row = int(pdf["ilat"].iloc[0])
-        codes = np.zeros((1, n_lon), dtype="u1")
+        codes = np.zeros((1, n_lon), dtype="i8")
         codes[0, pdf["ilon"].to_numpy()] = pdf["code"].to_numpy()
         raw = geotiff_bytes(codes, step, -180.0, float(pdf["clat"].iloc[0]) + step / 2)
         os.makedirs(folder, exist_ok=True)
