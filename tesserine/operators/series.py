@@ -1,8 +1,8 @@
 """One global series with drivers: lags, whitening, conjugate regression, rolling origins.
 
-The series holds one row per period of the calendar. Lags, moments and scores
-are Spark windows and aggregates; a fit solves a system of a dozen columns, and
-fits for many origins run as one group per origin.
+The series holds one row per period of the calendar. Lags, moments, lagged cross
+products and scores are Spark windows and aggregates; a fit solves systems of a
+dozen columns from those products, one row per origin.
 """
 
 from __future__ import annotations
@@ -53,147 +53,170 @@ def lag_one_autocorrelation(series: DataFrame, time: str, residual: str) -> Data
     return pairs.agg((F.sum(F.col("e") * F.col("p")) / F.nullif(F.sum(F.col("e") * F.col("e")), F.lit(0.0))).alias("rho"))
 
 
-# -- conjugate fit on one training series (a dozen columns) ----------------------
-
-def _posterior(xtx, xty, yty, n, lam):
-    prior = np.full(len(xty), lam)
-    prior[0] = 1.0 / V0
-    precision = xtx + np.diag(prior)
-    chol = np.linalg.cholesky(precision)
-    half = np.linalg.solve(chol, xty)
-    mean = np.linalg.solve(chol.T, half)
-    alpha = ALPHA0 + n / 2.0
-    beta = BETA0 + 0.5 * float(yty - half @ half)
-    evidence = (-0.5 * n * math.log(2 * math.pi) + 0.5 * float(np.sum(np.log(prior))) - float(np.sum(np.log(np.diag(chol))))
-                + ALPHA0 * math.log(BETA0) - alpha * math.log(beta) + math.lgamma(alpha) - math.lgamma(ALPHA0))
-    return mean, chol, alpha, beta, evidence
-
-
-def _best_lambda(xtx, xty, yty, n) -> float:
-    """Evidence maximum over log10 lambda: coarse scan, then golden section."""
-    def score(v):
-        return _posterior(xtx, xty, yty, n, 10.0**v)[4]
-    grid = np.linspace(*LAMBDA_LOG10, 49)
-    k = int(np.argmax([score(v) for v in grid]))
-    a, b = grid[max(k - 1, 0)], grid[min(k + 1, len(grid) - 1)]
-    ratio = (math.sqrt(5) - 1) / 2
-    for _ in range(60):
-        c, d = b - ratio * (b - a), a + ratio * (b - a)
-        if score(c) >= score(d):
-            b = d
-        else:
-            a = c
-    return 10.0 ** ((a + b) / 2)
-
-
-def _whitened(m: np.ndarray, rho: float) -> np.ndarray:
-    out = m.copy()
-    out[0] = m[0] * math.sqrt(1 - rho * rho)
-    out[1:] = m[1:] - rho * m[:-1]
-    return out
-
-
-def fit_ar1(x: np.ndarray, y: np.ndarray) -> dict:
-    """Alternate whitening and the conjugate fit until the autocorrelation settles."""
-    def solve(rho):
-        xw, yw = _whitened(x, rho), _whitened(y, rho)
-        parts = (xw.T @ xw, xw.T @ yw, float(yw @ yw), len(yw))
-        lam = _best_lambda(*parts)
-        return lam, _posterior(*parts, lam)
-    rho, used = 0.0, 0
-    for used in range(1, MAX_ITERS + 1):
-        _, (mean, *_rest) = solve(rho)
-        e = y - x @ mean
-        new = float(np.clip(e[1:] @ e[:-1] / (e @ e), -1 + RHO_MARGIN, 1 - RHO_MARGIN)) if e @ e > 0 else 0.0
-        step, rho = abs(new - rho), new
-        if step < RHO_TOL:
-            break
-    lam, (mean, chol, alpha, beta, evidence) = solve(rho)
-    inv = np.linalg.solve(chol.T, np.linalg.solve(chol, np.eye(len(mean))))
-    return dict(rho=rho, lam=lam, mean=mean, cov=inv, alpha=alpha, beta=beta, evidence=evidence, iterations=used, converged=step < RHO_TOL)
-
-
-def _train(pdf: pd.DataFrame, time: str, outcome: str, drivers: Sequence[str], end):
-    pdf = pdf.sort_values(time)
-    raw, y, t = pdf[list(drivers)].to_numpy(float), pdf[outcome].to_numpy(float), pdf[time].to_numpy()
-    mask = t <= end
-    mu, sd = raw[mask].mean(axis=0), raw[mask].std(axis=0)
-    x = np.column_stack([np.ones(len(y)), (raw - mu) / sd])
-    return t, x, y, mask, mu, sd, fit_ar1(x[mask], y[mask])
-
-
-def trajectory(pdf: pd.DataFrame, time: str, outcome: str, drivers: Sequence[str], end) -> pd.DataFrame:
-    """Predictive mean and 95 % band for every period, anchored at the last training residual."""
-    t, x, y, mask, _, _, f = _train(pdf, time, outcome, drivers, end)
-    crit = t_quantile(0.975, 2 * f["alpha"])
-    last = x[mask][-1]
-    eps = float(y[mask][-1] - last @ f["mean"])
-    h = np.where(mask, 0, t - end).astype(float)
-    decay = np.where(mask, 0.0, f["rho"] ** np.where(mask, 1.0, h))
-    mean = x @ f["mean"] + decay * eps
-    noise = np.where(mask, 1.0, 1.0 - f["rho"] ** (2 * h)) / (1 - f["rho"] ** 2)
-    z = x - decay[:, None] * last
-    half = crit * np.sqrt(f["beta"] / f["alpha"] * (noise + np.einsum("ij,jk,ik->i", z, f["cov"], z)))
-    return pd.DataFrame({"t": t, "observed": y, "predicted": mean, "lower": mean - half, "upper": mean + half, "in_sample": mask})
+# -- conjugate fit from lagged cross products -------------------------------------
+#
+# With rows m = (1, drivers, outcome), the whitened cross products at any rho are
+#   G(rho) = S0 - rho (S1 + S1') + rho^2 (S0 - first first' - last last'),
+# where S0 sums m m' and S1 sums m and the row before. One aggregate of S0 and S1, cut at the origins,
+# serves every origin, rho and lambda; only systems as wide as the design are solved.
+
+_FIT = ("origin int, n_train long, rho double, log10_lambda double, alpha double, beta double, evidence double, iterations int, converged boolean, "
+        "mean array<double>, cov array<double>, mu array<double>, sd array<double>, last array<double>, eps double")
+
+
+def _products(design: DataFrame, time: str, outcome: str, drivers: Sequence[str], origins: Sequence[int]) -> DataFrame:
+    """(origin, n, s0, s1, first, last, center): sums up to every origin, of columns less their overall means."""
+    center = design.agg(F.struct(*[F.avg(c).alias(c) for c in (*drivers, outcome)]).alias("c")).scalar()
+    w = Window.orderBy("t")  # one row per period of the calendar
+    row = F.array(F.lit(1.0), *[F.col(c) - center[c] for c in (*drivers, outcome)])
+    rows = design.select(F.col(time).alias("t"), row.alias("m")).withColumn("b", F.lag("m").over(w))
+    k = len(drivers) + 2
+    cut = F.array(*[F.lit(int(o)) for o in sorted(origins)])
+    rows = rows.withColumn("segment", F.array_min(F.filter(cut, lambda o: o >= F.col("t")))).where("segment is not null")
+    at = lambda c, i: F.col(c)[i]
+    sums = rows.groupBy("segment").agg(
+        F.count("*").alias("n"), F.array(*[F.sum(at("m", i) * at("m", j)) for i in range(k) for j in range(k)]).alias("s0"),
+        F.array(*[F.coalesce(F.sum(at("m", i) * at("b", j)), F.lit(0.0)) for i in range(k) for j in range(k)]).alias("s1"),
+        F.min_by("m", "t").alias("first"), F.max_by("m", "t").alias("last"), F.min("t").alias("from"), F.max("t").alias("to"))
+    every = design.sparkSession.createDataFrame([(int(o),) for o in origins], "origin int")  # as many rows as origins were asked for
+    add = lambda c: F.array(*[F.sum(at(c, i)) for i in range(k * k)]).alias(c)
+    upto = sums.join(every, F.col("segment") <= F.col("origin")).groupBy("origin").agg(
+        F.sum("n").alias("n"), add("s0"), add("s1"), F.min_by("first", "from").alias("first"), F.max_by("last", "to").alias("last"))
+    return upto.withColumn("center", F.array(*[center[c] for c in (*drivers, outcome)]))
+
+
+class _Products:
+    """Cross products of one training series after its drivers are scaled by its own moments."""
+
+    def __init__(self, n, s0, s1, first, last, center) -> None:
+        k = len(first)
+        s0, s1 = np.reshape(s0, (k, k)), np.reshape(s1, (k, k))
+        d, self.n = k - 2, int(n)
+        mean = s0[0, 1:1 + d] / n
+        self.sd = np.sqrt(np.maximum(np.diag(s0)[1:1 + d] / n - mean**2, 0.0))
+        self.mu = mean + np.asarray(center)[:d]
+        move = np.eye(k)  # row -> (1, scaled drivers, outcome as it was)
+        move[1:1 + d, 0], move[range(1, 1 + d), range(1, 1 + d)] = -mean / self.sd, 1.0 / self.sd
+        move[-1, 0] = center[-1]
+        self.s0, self.s1 = move @ s0 @ move.T, move @ s1 @ move.T
+        self.first, self.last = move @ np.asarray(first), move @ np.asarray(last)
+
+    def whitened(self, rho: float) -> np.ndarray:
+        ends = np.outer(self.first, self.first) + np.outer(self.last, self.last)
+        return self.s0 - rho * (self.s1 + self.s1.T) + rho * rho * (self.s0 - ends)
+
+    def autocorrelation(self, mean: np.ndarray) -> float:
+        c = np.append(-mean, 1.0)
+        total = c @ self.s0 @ c
+        return float(np.clip(c @ self.s1 @ c / total, RHO_MARGIN - 1, 1 - RHO_MARGIN)) if total > 0 else 0.0
+
+
+def _posterior(g: np.ndarray, n: int, lam: float):
+    """Mean, covariance scale, shape, rate and log evidence of the conjugate regression with products `g` of (X, y)."""
+    prior = np.r_[1.0 / V0, np.full(len(g) - 2, lam)]
+    precision = g[:-1, :-1] + np.diag(prior)
+    mean = np.linalg.solve(precision, g[:-1, -1])
+    alpha, beta = ALPHA0 + n / 2.0, BETA0 + 0.5 * float(g[-1, -1] - g[:-1, -1] @ mean)
+    evidence = (0.5 * (np.log(prior).sum() - np.linalg.slogdet(precision)[1] - n * math.log(2 * math.pi)) + ALPHA0 * math.log(BETA0)
+                - alpha * math.log(beta) + math.lgamma(alpha) - math.lgamma(ALPHA0))
+    return mean, np.linalg.inv(precision), alpha, beta, float(evidence)
+
+
+def _best_lambda(g: np.ndarray, n: int) -> float:
+    """Lambda of the greatest evidence: ever finer grids of log10 lambda around the best point."""
+    lo, hi = LAMBDA_LOG10
+    while hi - lo > 1e-10:
+        grid = np.linspace(lo, hi, 25)
+        k = int(np.argmax([_posterior(g, n, 10.0**v)[4] for v in grid]))
+        lo, hi = grid[max(k - 1, 0)], grid[min(k + 1, 24)]
+    return 10.0 ** ((lo + hi) / 2)
+
+
+def settled(p: _Products) -> dict:
+    """The rho that the residuals of its own fit return, found from the products alone, and the fit at it."""
+    rho, rounds, moved = 0.0, 0, math.inf
+    while moved >= RHO_TOL and rounds < MAX_ITERS:
+        g = p.whitened(rho)
+        back = p.autocorrelation(_posterior(g, p.n, _best_lambda(g, p.n))[0])
+        rho, moved, rounds = back, abs(back - rho), rounds + 1
+    g = p.whitened(rho)
+    lam = _best_lambda(g, p.n)
+    mean, cov, alpha, beta, evidence = _posterior(g, p.n, lam)
+    return dict(rho=rho, lam=lam, mean=mean, cov=cov, alpha=alpha, beta=beta, evidence=evidence, iterations=rounds, converged=moved < RHO_TOL)
+
+
+def fits(design: DataFrame, time: str, outcome: str, drivers: Sequence[str], origins: Sequence[int]) -> DataFrame:
+    """One row per origin: the model of the rows up to it."""
+    def solve(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                p = _Products(r.n, r.s0, r.s1, r.first, r.last, r.center)
+                f = settled(p)
+                eps = float(p.last[-1] - p.last[:-1] @ f["mean"])
+                rows.append((r.origin, r.n, f["rho"], math.log10(f["lam"]), f["alpha"], f["beta"], f["evidence"], f["iterations"], f["converged"],
+                             f["mean"].tolist(), f["cov"].ravel().tolist(), p.mu.tolist(), p.sd.tolist(), p.last[:-1].tolist(), eps))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _FIT.split(", ")])
+
+    return _products(design, time, outcome, drivers, origins).mapInPandas(solve, _FIT)
+
+
+def _critical(alpha: pd.Series) -> pd.Series:
+    return alpha.map(lambda a: t_quantile(0.975, 2 * a))
+
+
+def _with_critical(models: DataFrame) -> DataFrame:
+    return models.withColumn("crit", F.pandas_udf(_critical, "double")("alpha"))
 
 
 def fitted_model(design: DataFrame, time: str, outcome: str, drivers: Sequence[str], end: int) -> DataFrame:
     """Sensitivity per driver in natural units with Student-t intervals, plus rho and lambda."""
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, _, _, _, _, sd, f = _train(pdf, time, outcome, drivers, end)
-        crit = t_quantile(0.975, 2 * f["alpha"])
-        rows = []
-        for i, d in enumerate(drivers):
-            v = f["cov"][i + 1, i + 1]
-            mean, half = f["mean"][i + 1] / sd[i], crit * math.sqrt(f["beta"] / f["alpha"] * v) / sd[i]
-            rows.append((d, mean, math.sqrt(f["beta"] / (f["alpha"] - 1) * v) / sd[i], mean - half, mean + half, f["rho"], math.log10(f["lam"]), f["evidence"], f["iterations"], f["converged"]))
-        return pd.DataFrame(rows, columns=["driver", "mean", "sd", "ci_low", "ci_high", "rho", "log10_lambda", "evidence", "iterations", "converged"])
-
-    schema = "driver string, mean double, sd double, ci_low double, ci_high double, rho double, log10_lambda double, evidence double, iterations int, converged boolean"
-    return design.groupBy(F.lit(0).alias("_series")).applyInPandas(solve, schema)  # calendar-bounded series
+    k, m = len(drivers) + 1, _with_critical(fits(design, time, outcome, drivers, [end]))
+    v = lambda i: F.col("cov")[(i + 1) * (k + 1)]
+    mean = lambda i: F.col("mean")[i + 1] / F.col("sd")[i]
+    half = lambda i: F.col("crit") * F.sqrt(F.col("beta") / F.col("alpha") * v(i)) / F.col("sd")[i]
+    rows = F.array(*[F.struct(F.lit(d).alias("driver"), mean(i).alias("mean"), (F.sqrt(F.col("beta") / (F.col("alpha") - 1) * v(i)) / F.col("sd")[i]).alias("sd"),
+                              (mean(i) - half(i)).alias("ci_low"), (mean(i) + half(i)).alias("ci_high")) for i, d in enumerate(drivers)])
+    return m.select(F.inline(rows), "rho", "log10_lambda", "evidence", "iterations", "converged")
 
 
 def posterior(design: DataFrame, time: str, outcome: str, drivers: Sequence[str], end: int) -> DataFrame:
     """Posterior of the scaled coefficients: mean, scale, shape and rate, with evidence and lambda."""
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, _, _, _, _, _, f = _train(pdf, time, outcome, drivers, end)
-        return pd.DataFrame({
-            "term": ["intercept", *drivers], "mean": f["mean"], "scale": np.sqrt(np.diag(f["cov"])), "alpha": f["alpha"], "beta": f["beta"],
-            "evidence": f["evidence"], "log10_lambda": math.log10(f["lam"])})
-
-    schema = "term string, mean double, scale double, alpha double, beta double, evidence double, log10_lambda double"
-    return design.groupBy(F.lit(0).alias("_series")).applyInPandas(solve, schema)  # calendar-bounded series
+    k = len(drivers) + 1
+    terms = F.array(*[F.struct(F.lit(t).alias("term"), F.col("mean")[i].alias("mean"), F.sqrt(F.col("cov")[i * (k + 1)]).alias("scale"))
+                      for i, t in enumerate(("intercept", *drivers))])
+    return fits(design, time, outcome, drivers, [end]).select(F.inline(terms), "alpha", "beta", "evidence", "log10_lambda")
 
 
 def origin_fits(design: DataFrame, time: str, outcome: str, drivers: Sequence[str], origins: Sequence[int]) -> DataFrame:
     """Fit record of every origin: training length, rho, lambda, iterations, convergence."""
-    spread = design.withColumn("origin", F.explode(F.array(*[F.lit(int(o)) for o in origins]))).where(F.col(time) <= F.col("origin"))
+    return fits(design, time, outcome, drivers, origins).select("origin", "n_train", "rho", "log10_lambda", "iterations", "converged")
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        origin = int(pdf["origin"].iloc[0])
-        f = _train(pdf, time, outcome, drivers, origin)[-1]
-        return pd.DataFrame([(origin, len(pdf), f["rho"], math.log10(f["lam"]), f["iterations"], f["converged"])],
-                            columns=["origin", "n_train", "rho", "log10_lambda", "iterations", "converged"])
 
-    return spread.groupBy("origin").applyInPandas(solve, "origin int, n_train long, rho double, log10_lambda double, iterations int, converged boolean")
+def _paths(design: DataFrame, models: DataFrame, time: str, outcome: str, drivers: Sequence[str], condition) -> DataFrame:
+    """Predictive mean and 95 % band of every period and model, anchored at the last training residual."""
+    k = len(drivers) + 1
+    both = design.select(F.col(time).cast("long").alias("t"), F.col(outcome).alias("observed"), *drivers).join(_with_critical(models), condition)
+    inside, steps = F.col("t") <= F.col("origin"), (F.col("t") - F.col("origin")).cast("double")
+    x = [F.lit(1.0), *[(F.col(d) - F.col("mu")[i]) / F.col("sd")[i] for i, d in enumerate(drivers)]]
+    decay = F.when(inside, F.lit(0.0)).otherwise(F.pow("rho", steps))
+    noise = F.when(inside, F.lit(1.0)).otherwise(1.0 - F.pow("rho", 2.0 * steps)) / (1.0 - F.col("rho") * F.col("rho"))
+    z = [x[i] - decay * F.col("last")[i] for i in range(k)]
+    spread = sum((z[i] * z[j] * F.col("cov")[i * k + j] for i in range(k) for j in range(k)), F.lit(0.0))
+    mean = sum((x[i] * F.col("mean")[i] for i in range(k)), F.lit(0.0)) + decay * F.col("eps")
+    half = F.col("crit") * F.sqrt(F.col("beta") / F.col("alpha") * (noise + spread))
+    return both.select("origin", "t", "observed", mean.alias("predicted"), (mean - half).alias("lower"), (mean + half).alias("upper"), inside.alias("in_sample"))
 
 
 def predicted(design: DataFrame, time: str, outcome: str, drivers: Sequence[str], end: int) -> DataFrame:
-    schema = "t long, observed double, predicted double, lower double, upper double, in_sample boolean"
-    return design.groupBy(F.lit(0).alias("_series")).applyInPandas(lambda pdf: trajectory(pdf, time, outcome, drivers, end), schema)
+    return _paths(design, fits(design, time, outcome, drivers, [end]), time, outcome, drivers, F.col("origin") == end).drop("origin")
 
 
 def rolling_origin(design: DataFrame, time: str, outcome: str, drivers: Sequence[str], origins: Sequence[int], horizon: int) -> DataFrame:
-    """Forecasts of every origin; each origin is one group, so origins run in parallel."""
-    spread = design.withColumn("origin", F.explode(F.array(*[F.lit(int(o)) for o in origins]))).where(F.col(time) <= F.col("origin") + horizon)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        origin = int(pdf["origin"].iloc[0])
-        out = trajectory(pdf, time, outcome, drivers, origin)
-        out = out[out["t"] > origin]
-        return out.assign(origin=origin, horizon=out["t"] - origin)[["origin", "horizon", "t", "observed", "predicted", "lower", "upper"]]
-
-    p = spread.groupBy("origin").applyInPandas(solve, "origin int, horizon long, t long, observed double, predicted double, lower double, upper double")
+    """Forecasts of every origin up to the horizon; rows meet only the origins that forecast them."""
+    ahead = (F.col("t") > F.col("origin")) & (F.col("t") <= F.col("origin") + horizon)
+    p = _paths(design, fits(design, time, outcome, drivers, origins), time, outcome, drivers, ahead).withColumn("horizon", F.col("t") - F.col("origin"))
+    p = p.select("origin", "horizon", "t", "observed", "predicted", "lower", "upper")
     width = F.col("upper") - F.col("lower")
     score = width + 40.0 * F.greatest(F.col("lower") - F.col("observed"), F.lit(0.0)) + 40.0 * F.greatest(F.col("observed") - F.col("upper"), F.lit(0.0))
     return p.withColumns({"error": F.col("predicted") - F.col("observed"), "width": width, "covered": F.col("observed").between(F.col("lower"), F.col("upper")), "interval_score": score})

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -148,17 +150,39 @@ def test_bands_widen_with_horizon_and_origins_do_not_look_ahead(spark):
 def test_posterior_evidence_and_whitening(spark):
     rng = np.random.default_rng(0)
     x, y = np.column_stack([np.ones(12), rng.normal(size=12)]), rng.normal(size=12)
-    mean, chol, alpha, beta, ev = G._posterior(x.T @ x, x.T @ y, float(y @ y), 12, 2.0)
+    both = np.column_stack([x, y])
+    mean, _, alpha, beta, ev = G._posterior(both.T @ both, 12, 2.0)
     prior = np.diag([1 / G.V0, 2.0])
     cov = np.eye(12) + x @ np.linalg.inv(prior) @ x.T  # marginal: multivariate t
-    import math
     quad = y @ np.linalg.solve(cov, y)
     want = (math.lgamma(alpha) - math.lgamma(G.ALPHA0) - 6 * math.log(2 * math.pi) - 0.5 * np.linalg.slogdet(cov)[1]
             + G.ALPHA0 * math.log(G.BETA0) - alpha * math.log(G.BETA0 + 0.5 * quad))
     assert ev == pytest.approx(want, rel=1e-5)
     s = spark.createDataFrame(pd.DataFrame({"t": range(12), "v": y}))
     got = G.whiten(s, "t", ["v"], 0.3).orderBy("t").toPandas().v
-    np.testing.assert_allclose(got, G._whitened(y, 0.3))
+    want = np.r_[y[0] * math.sqrt(1 - 0.09), y[1:] - 0.3 * y[:-1]]
+    np.testing.assert_allclose(got, want)
+
+
+def test_lagged_products_give_the_whitened_fit_of_every_origin(spark):
+    rng = np.random.default_rng(8)
+    t = np.arange(60)
+    a, b = rng.normal(5, 2, 60), np.cumsum(rng.normal(size=60))
+    noise = np.zeros(60)
+    for k in range(1, 60):
+        noise[k] = 0.6 * noise[k - 1] + rng.normal(0, 0.3)
+    y = 2 + 0.5 * a - 0.2 * b + noise
+    d = spark.createDataFrame(pd.DataFrame({"t": t, "y": y, "a": a, "b": b}))
+    rows = {r.origin: r for r in G._products(d, "t", "y", ["a", "b"], [30, 59]).collect()}
+    for origin, r in rows.items():
+        p = G._Products(r.n, r.s0, r.s1, r.first, r.last, r.center)
+        raw = np.column_stack([a, b])[: origin + 1]
+        m = np.column_stack([np.ones(origin + 1), (raw - raw.mean(axis=0)) / raw.std(axis=0), y[: origin + 1]])
+        w = np.vstack([m[0] * math.sqrt(1 - 0.25), m[1:] - 0.5 * m[:-1]])
+        np.testing.assert_allclose(p.whitened(0.5), w.T @ w, atol=1e-8)
+        f = G.settled(p)
+        e = m[:, -1] - m[:, :-1] @ f["mean"]
+        assert f["converged"] and f["rho"] == pytest.approx(e[1:] @ e[:-1] / (e @ e), abs=1e-6)
 
 
 def test_gap_in_series_is_reported(spark):
@@ -166,16 +190,16 @@ def test_gap_in_series_is_reported(spark):
     assert [tuple(r) for r in G.gaps(s, "t").collect()] == [(5, 3)]
 
 
-def test_contracts_and_groups():
-    c = Q.Contract("impact", "v1", "degC", "mean", "slope")
-    assert c.definition_hash != Q.Contract("impact", "v1", "degC", "mean", "slope x").definition_hash
-    with pytest.raises(ValueError):
-        Q.Contract("impact_adjusted", "v1", "u", "r", "d")
-    with pytest.raises(ValueError):
-        Q.Contract("impact", "v1", " ", "r", "d")
-    Q.require_registry([c], ["impact"], "v1")
-    with pytest.raises(ValueError):
-        Q.require_registry([c], ["impact"], "v2")
+def test_registry_and_groups(spark):
+    fields = ["name", "version", "units"]
+    good = spark.createDataFrame([("impact", "v1", "degC"), ("share", "v1", "1")], ", ".join(f"{c} string" for c in fields))
+    assert Q.registry_problems(good, fields, ["impact", "share"], "v1").isEmpty()
+    bad = spark.createDataFrame([("impact_adjusted", "v1", "u"), ("impact", "v2", " "), ("impact", "v1", None)], ", ".join(f"{c} string" for c in fields))
+    found = {tuple(r) for r in Q.registry_problems(bad, fields, ["impact", "share"], "v1").collect()}
+    assert found == {("impact_adjusted", "ambiguous name"), ("impact_adjusted", "not expected"), ("impact", "other version"), ("impact", "blank field"), ("impact", "repeated"),
+                     ("share", "missing")}
+    hashes = [r.definition_hash for r in Q.definition_hashes(bad, fields).collect()]
+    assert len(set(hashes)) == 3
     with pytest.raises(ValueError):
         Q.require_disjoint({"a": ["x"], "b": ["x"]})
 
