@@ -14,8 +14,7 @@ def dispersion(df: DataFrame, value: str, weight: Column | None = None) -> DataF
     x = F.col(value)
     w = F.lit(1.0) if weight is None else weight
     mean = F.sum(w * x) / F.sum(w)
-    mu = df.agg(mean.alias("m")).scalar()
-    var = F.sum(w * (x - mu) * (x - mu)) / F.sum(w)
+    var = F.var_pop(value) if weight is None else F.greatest(F.sum(w * x * x) / F.sum(w) - mean * mean, F.lit(0.0))
     return df.agg(F.count(value).alias("n"), mean.alias("mean"), var.alias("variance"),
                   (F.sqrt(var) / F.nullif(mean, F.lit(0.0))).alias("cv"))
 

@@ -125,10 +125,9 @@ def representation_equivalence(spark, sf):
 def band_scan(spark, sf):
     stamp = F.year("month") + (F.month("month") - 0.5) / 12.0
     field = V.with_zone(V.cells(spark, sf)).select("ilat", stamp.alias("t"), F.col("clat").alias("lat"), F.col("clon").alias("lon"), "value")
-    folder = T.shared_folder(spark, "grid").removeprefix("file:")
-    # One path per latitude row (the axis is fixed) reaches the driver.
-    paths = [r["path"] for r in GR.write_band_files(field, folder).collect()]
-    grid = GR.read_grid(spark, sorted(paths), "field", 1)
+    folder = T.shared_folder(spark, "grid")
+    GR.write_files(GR.band_files(field), "ilat", folder)
+    grid = GR.read_grid_files(spark, folder, "field")
     row = F.round((F.col("lat") + 85.0) / 10.0).cast("bigint")
     return grid.where("value is not null and not isnan(value)").groupBy(row.alias("ilat")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 3).alias("mean_value"))
 
@@ -260,8 +259,8 @@ CODES = "SELECT ilat, ilon, CAST(CASE WHEN nk IS NULL THEN 0 ELSE nk + 1 END AS
 def _image_cells(spark, sf, zipped):
     """Zone codes written as one image per latitude row by the task that owns it, then read back."""
     field = V.mask(spark, sf).select("ilat", "ilon", "clat", F.coalesce(F.col("nk") + 1, F.lit(0)).alias("code"))
-    folder = T.shared_folder(spark, "image").removeprefix("file:")
-    GR.write_band_images(field, folder, 10.0, 36, zipped).agg(F.count("*")).collect()
+    folder = T.shared_folder(spark, "image")
+    GR.write_files(GR.band_images(field, 10.0, 36, zipped), "ilat", folder)
     cells = GR.read_geotiff(spark, folder, "band.tif" if zipped else None)
     return cells.select(F.round((F.col("lat") + 85.0) / 10.0).cast("bigint").alias("ilat"), F.round((F.col("lon") + 175.0) / 10.0).cast("bigint").alias("ilon"), "code")
 

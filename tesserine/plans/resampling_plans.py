@@ -122,6 +122,13 @@ def leave_one_out(spark, sf):
     return jackknife_shares(spark, sf).withColumn("rk", F.row_number().over(w).cast("bigint")).where("rk <= 10").select("group", "nk", "rk", r6("delta").alias("delta"))
 
 
+@query("V7_top_influence", f"WITH {JACK}, r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(abs(delta), 9) DESC, nk) AS rk FROM dl) SELECT grp AS \"group\", u.unit, rk, round(delta, 6)+0.0 AS delta, delta > 0 AS raises FROM r JOIN country u ON u.nk = r.nk WHERE rk <= 5", ("country",))
+def top_influence(spark, sf):
+    """Bars of the five units whose omission moves each group's share most."""
+    names = V.units(spark, sf).select("nk", "unit")
+    return leave_one_out(spark, sf).where("rk <= 5").join(names, "nk").select("group", "unit", "rk", "delta", (F.col("delta") > 0).alias("raises"))
+
+
 @query("B7_stability_summary")
 def stability_summary(spark, sf):
     d = design(spark, sf)
@@ -129,8 +136,13 @@ def stability_summary(spark, sf):
     needed = [c for cols in GROUPS.values() for c in cols] + ["warming"]
     shares = cut_lineage(L.group_shares(draws.join(d.select("nk", *needed), "nk").select("draw", "times", *needed), GROUPS, "warming", by=["draw"], weight=F.col("times")))
     ci = RS.percentile_interval(shares, "share", ["group"])
+    blocks = RS.block_draws(d, "nk", "zone", DRAWS, max_rows=V.unit_bound(spark, sf))
+    by_block = L.group_shares(blocks.join(d.select("nk", *needed), "nk").select("draw", "times", *needed), GROUPS, "warming", by=["draw"], weight=F.col("times"))
+    block_ci = RS.percentile_interval(cut_lineage(by_block), "share", ["group"]).select(
+        "group", r6("ci_low").alias("block_ci_low"), r6("ci_high").alias("block_ci_high"), F.col("n_valid").alias("n_valid_blocks"))
     point = L.group_shares(d, GROUPS, "warming").withColumnRenamed("share", "point")
-    return point.join(ci, "group").select("group", r6("point").alias("point"), r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"), "n_valid")
+    return point.join(ci, "group").join(block_ci, "group").select(
+        "group", r6("point").alias("point"), r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"), "n_valid", "block_ci_low", "block_ci_high", "n_valid_blocks")
 
 
 @query("B8_draw_diagnostics", f"WITH {draws_sql('natrend', 'nk')} SELECT CAST(draw AS BIGINT) AS draw, count(*) AS n_distinct, round(sum(times)*sum(times)*1.0/sum(times*times), 6) AS ess FROM dr GROUP BY 1", ("natrend",))

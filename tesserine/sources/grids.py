@@ -155,20 +155,42 @@ def classic_bytes(variable: str, time: np.ndarray, lat: np.ndarray, lon: np.ndar
     return head + variables(begin) + b"".join(a.tobytes() for _, a in axes) + data.tobytes() + b"\0" * ((-data.nbytes) % 4)
 
 
-def write_band_files(cells: DataFrame, folder: str) -> DataFrame:
-    """One file per latitude row, written by the task that owns the row; returns (ilat, path)."""
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        import os
+def write_files(contents: DataFrame, name: str, folder: str) -> None:
+    """One file per row of (name, content) in a folder of its own, through Spark's writer, so on any file system it knows.
 
-        row = int(pdf["ilat"].iloc[0])
+    A newline follows the content; the formats here find their parts by offset and do not see it.
+    """
+    contents.select(name, F.col("content").cast("string").alias("value")).write.partitionBy(name).text(folder)
+
+
+def band_files(cells: DataFrame) -> DataFrame:
+    """(ilat, content): a classic NetCDF file of every latitude row, made by the task that owns the row."""
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot(index="t", columns="lon", values="value").sort_index()
-        path = f"{folder}/band-{row}.nc"
-        os.makedirs(folder, exist_ok=True)
-        with open(path, "wb") as handle:
-            handle.write(classic_bytes("field", wide.index.to_numpy(), np.array([pdf["lat"].iloc[0]]), wide.columns.to_numpy(), wide.to_numpy()[:, None, :]))
-        return pd.DataFrame({"ilat": [row], "path": [path]})
+        content = classic_bytes("field", wide.index.to_numpy(), np.array([pdf["lat"].iloc[0]]), wide.columns.to_numpy(), wide.to_numpy()[:, None, :])
+        return pd.DataFrame({"ilat": [int(pdf["ilat"].iloc[0])], "content": [content]})
+
+    return cells.groupBy("ilat").applyInPandas(make, "ilat bigint, content binary")
+
+
+def read_grid_files(spark: SparkSession, folder: str, variable: str) -> DataFrame:
+    """`var(time, lat, lon)` of all classic NetCDF files under a folder on any file system; one file to a task at a time."""
+    def decode(batches):
+        for pdf in batches:
+            for content in pdf["content"]:
+                handle = io.BytesIO(content)
+                header = _Header(handle)
+                shape, dtype, size, begin = header.variables[variable]
+                n_time, n_lat, n_lon = (header.dims[d][1] for d in shape)
+                time, lat, lon = (_axis(handle, header, header.dims[d][0]) for d in shape)
+                la, lo = (a.astype("f8").ravel() for a in np.meshgrid(lat, lon, indexing="ij"))
+                for t in range(n_time):
+                    handle.seek(begin + size * t * n_lat * n_lon)
+                    block = np.frombuffer(handle.read(size * n_lat * n_lon), dtype=dtype).astype("f8")
+                    yield pd.DataFrame({"time": float(time[t]), "lat": la, "lon": lo, "value": block})
 
-    return cells.groupBy("ilat").applyInPandas(write, "ilat bigint, path string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("content")
+    return files.mapInPandas(decode, "time double, lat double, lon double, value double")
 
 
 # -- single-band GeoTIFF -----------------------------------------------------------
@@ -203,7 +225,7 @@ def geotiff_cells(payload: bytes) -> pd.DataFrame:
 
 def read_geotiff(spark: SparkSession, path: str, zip_member: str | None = None) -> DataFrame:
     """Images (or the named member of zip archives) under `path` as (lat, lon, code), one task per file."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
 
     def decode(batches):
         for pdf in batches:
@@ -246,23 +268,16 @@ def conform_axes(df: DataFrame, renames: dict[str, str], constant: list[str]) ->
     return df.drop(*constant).withColumnsRenamed(renames)
 
 
-def write_band_images(cells: DataFrame, folder: str, step: float, n_lon: int, zipped: bool) -> DataFrame:
-    """One image (or zip archive holding it) per latitude row of `code`; returns (ilat, path)."""
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        import os
-
-        row = int(pdf["ilat"].iloc[0])
+def band_images(cells: DataFrame, step: float, n_lon: int, zipped: bool) -> DataFrame:
+    """(ilat, content): an image, or a zip archive that holds it, of every latitude row of `code`."""
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
         codes = np.zeros((1, n_lon), dtype="i8")
         codes[0, pdf["ilon"].to_numpy()] = pdf["code"].to_numpy()
-        raw = geotiff_bytes(codes, step, -180.0, float(pdf["clat"].iloc[0]) + step / 2)
-        os.makedirs(folder, exist_ok=True)
-        path = f"{folder}/band-{row}.{'zip' if zipped else 'tif'}"
+        content = geotiff_bytes(codes, step, -180.0, float(pdf["clat"].iloc[0]) + step / 2)
         if zipped:
-            with zipfile.ZipFile(path, "w") as archive:
-                archive.writestr("band.tif", raw)
-        else:
-            with open(path, "wb") as handle:
-                handle.write(raw)
-        return pd.DataFrame({"ilat": [row], "path": [path]})
-
-    return cells.groupBy("ilat").applyInPandas(write, "ilat bigint, path string")
+            with zipfile.ZipFile(packed := io.BytesIO(), "w") as archive:
+                archive.writestr("band.tif", content)
+            content = packed.getvalue()
+        return pd.DataFrame({"ilat": [int(pdf["ilat"].iloc[0])], "content": [content]})
+
+    return cells.groupBy("ilat").applyInPandas(make, "ilat bigint, content binary")
