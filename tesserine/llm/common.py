@@ -83,6 +83,21 @@ def sent(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= SENT_ROWS else keys.hint("shuffle_hash")
 
 
+def halves(md5: Column) -> list[Column]:
+    """A digest as two longs, to be sent or joined at sixteen bytes."""
+    return [F.conv(F.substring(md5, at, 15), 16, 10).cast("long").alias(name) for at, name in ((1, "__k1"), (16, "__k2"))]
+
+
+def with_texts(docs: DataFrame, md5: Column, texts: DataFrame, how: str) -> DataFrame:
+    """`docs` whose text digest is (left_semi) or is not (left_anti) among the digests `texts` (column text_md5).
+
+    The digests go to the rows while their counted number allows it; whole texts move only beyond that.
+    """
+    keys = saved(texts.select(*halves(F.col("text_md5"))).distinct(), "digests")
+    a, b = halves(md5)
+    return docs.join(sent(keys), (a == F.col("__k1")) & (b == F.col("__k2")), how)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the edges (a, b): the label is the least node that can be reached.
 

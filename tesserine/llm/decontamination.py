@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import SENT_ROWS, query, saved, table
+from tesserine.llm.common import SENT_ROWS, query, saved, table, with_texts
 
 #: Words of a shingle, similarity that counts as a leak, bits by which fingerprints may differ.
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
@@ -116,8 +116,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
 
 def _windows(texts: DataFrame, starts: DataFrame, items: DataFrame, weights: DataFrame) -> DataFrame:
     # (2) windows at those places, from one copy of every text that has any
-    found = starts.select("text_md5").distinct()
-    some = texts.withColumn("text_md5", F.md5("text")).join(found, "text_md5", "left_semi").dropDuplicates(["text_md5"])
+    some = with_texts(texts, F.md5("text"), starts, "left_semi").withColumn("text_md5", F.md5("text")).dropDuplicates(["text_md5"])
     cut = some.select("text_md5", _split("text").alias("words")).join(starts, "text_md5")
     place = cut.select("text_md5", "n", F.explode("starts").alias("start"), "words").where((F.col("start") >= 0) & (F.col("start") < F.size("words")))
     windows = saved(place.select("text_md5", "n", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("words")).withColumn(
@@ -150,8 +149,7 @@ def _weighted(rows: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **names: str) -> DataFrame:
     """The rows of `docs` whose text leaks no item."""
-    gone = leaks(docs, benchmark, text_col=text_col, **names).select(F.col("text_md5").alias("__md5")).distinct()
-    return docs.join(gone, F.md5(F.col(text_col)) == F.col("__md5"), "left_anti")
+    return with_texts(docs, F.md5(F.col(text_col)), leaks(docs, benchmark, text_col=text_col, **names), "left_anti")
 
 
 @query("op4_simhash_windows")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesserine.llm.common import query, saved, table
+from tesserine.llm.common import query, saved, table, with_texts
 
 #: The formats, in the order that breaks ties. The keyword's letters count in either case, ASCII only.
 KEYWORD = "(?:" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY])"
@@ -101,8 +101,9 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", **na
     kept = F.transform("__cuts", lambda c: F.when(c["start"] >= c["at"], F.concat(
         text.substr((c["at"] + 1).cast("int"), (c["start"] - c["at"]).cast("int")), F.lit(mask))).otherwise(F.lit("")))
     whole = F.concat(F.array_join(kept, ""), text.substr((F.col("__rest") + 1).cast("int"), F.length(text)))
-    joined = docs.withColumn("__md5", F.md5(F.coalesce(text, F.lit("")))).join(cuts.withColumnRenamed("text_md5", "__md5"), "__md5", "left")
-    return joined.withColumn(text_col, F.when(F.col("__cuts").isNull(), text).otherwise(whole)).select(*docs.columns)
+    cuts, md5 = saved(cuts, "cuts"), F.md5(F.coalesce(text, F.lit("")))
+    hit = with_texts(docs, md5, cuts, "left_semi").join(cuts.withColumnRenamed("text_md5", "__md5"), md5 == F.col("__md5"))
+    return hit.withColumn(text_col, whole).select(*docs.columns).union(with_texts(docs, md5, cuts, "left_anti"))
 
 
 @query("op3_secret_ownership")
