@@ -77,6 +77,22 @@ def training_moments(spark, sf):
     return G.standardise(d, ["spend"], F.col("t") <= TRAIN_END).select("t", r6("spend", 5).alias("spend"))
 
 
+TERMS = ("one", *DRIVERS, "y")
+_CENTRED = ", ".join(["1.0::DOUBLE AS one", *[f"{c} - (SELECT avg({c}) FROM ds) AS {c}" for c in TERMS[1:]]])
+_LAGGED = ", ".join(f"lag({c}) OVER (ORDER BY t) AS b_{c}" for c in TERMS)
+_PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(sum({a}*{b}), 5)+0.0 AS same, round(sum({a}*b_{b}), 5)+0.0 AS lagged FROM w" for a in TERMS for b in TERMS)
+
+
+@query("G7_lagged_products", f"WITH {MONTHS}, z AS (SELECT t, {_CENTRED} FROM ds), w AS (SELECT *, {_LAGGED} FROM z WHERE t <= {TRAIN_END}) {_PAIRS}", ("panel",))
+def lagged_products(spark, sf):
+    """Cross products of a row with itself and with the row before: all that every fit needs of the series."""
+    k = len(TERMS)
+    p = G._products(design(spark, sf), "t", "y", DRIVERS, [TRAIN_END])
+    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("s0")[i * k + j].alias("same"), F.col("s1")[i * k + j].alias("lagged"))
+                      for i, a in enumerate(TERMS) for j, b in enumerate(TERMS)])
+    return p.select(F.inline(cells)).select("a", "b", r6("same", 5).alias("same"), r6("lagged", 5).alias("lagged"))
+
+
 @query("G7_conjugate_ar1_fit")
 def conjugate_fit(spark, sf):
     m = G.fitted_model(design(spark, sf), "t", "y", DRIVERS, TRAIN_END)

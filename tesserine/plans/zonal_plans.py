@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserine.functions import columns as C
 from tesserine.functions.distributions import chi2_one_p, f_p
+from tesserine.operators import inequality as I
 from tesserine.operators import ordering as O
 from tesserine.operators import tables as B
 from tesserine.operators import zonal as Z
@@ -197,15 +198,42 @@ def latitude_structure(spark, sf):
     return V.strend(spark, sf).groupBy(b.cast("bigint").alias("bin"), C.hemisphere("lat").alias("hemisphere")).agg(F.count("*").alias("n"), r6(F.avg("ols_slope")).alias("mean"))
 
 
-@query("A48_distribution", """WITH m AS (SELECT avg(ols_slope) AS mu, stddev_pop(ols_slope) AS sd FROM trend) SELECT count(*) AS n, round(any_value(mu), 6)+0.0 AS mean, round(stddev_samp(ols_slope), 6) AS sd, round(sqrt(avg(ols_slope*ols_slope)), 6) AS rmse, round(avg(abs(ols_slope)), 6) AS mae,
- round(avg(pow((ols_slope-mu)/sd, 3)), 5)+0.0 AS skew, round(avg(pow((ols_slope-mu)/sd, 4)) - 3, 5)+0.0 AS kurtosis, round(quantile_cont(ols_slope, 0.05), 6)+0.0 AS p5, round(quantile_cont(ols_slope, 0.5), 6)+0.0 AS p50, round(quantile_cont(ols_slope, 0.95), 6)+0.0 AS p95 FROM trend, m""", ("trend",))
+LEVELS = (1, 5, 10, 25, 50, 75, 90, 95, 99)
+LEVELS_SQL = ", ".join(f"round(quantile_cont(ols_slope, {p / 100}), 6)+0.0 AS p{p}" for p in LEVELS)
+
+
+@query("A48_distribution", f"""WITH m AS (SELECT avg(ols_slope) AS mu, stddev_pop(ols_slope) AS sd FROM trend),
+ s AS (SELECT count(*) AS k, avg(pow((ols_slope-mu)/sd, 3)) AS g, avg(pow((ols_slope-mu)/sd, 4)) - 3 AS h FROM trend, m)
+ SELECT count(*) AS n, round(any_value(exp(-k/12.0*(g*g + h*h/4))), 6)+0.0 AS jarque_bera_p, round(any_value(mu), 6)+0.0 AS mean, round(stddev_samp(ols_slope), 6) AS sd, round(sqrt(avg(ols_slope*ols_slope)), 6) AS rmse, round(avg(abs(ols_slope)), 6) AS mae,
+ round(any_value(g), 5)+0.0 AS skew, round(any_value(h), 5)+0.0 AS kurtosis, {LEVELS_SQL} FROM trend, m, s""", ("trend",))
 def distribution(spark, sf):
     t = cut_lineage(V.trend(spark, sf))
     e = F.col("ols_slope")
-    q = O.quantiles(t, "ols_slope", (0.05, 0.5, 0.95), ("p5", "p50", "p95")).withColumn("_k", F.lit(1))
+    names = [f"p{p}" for p in LEVELS]
+    q = O.quantiles(t, "ols_slope", [p / 100 for p in LEVELS], names).withColumn("_k", F.lit(1))
+    # Chi-square with two degrees of freedom has the tail exp(-x / 2).
+    bera = F.count("*") / 6.0 * (F.skewness(e) * F.skewness(e) + F.kurtosis(e) * F.kurtosis(e) / 4)
     m = t.agg(F.count("*").alias("n"), r6(F.avg(e)).alias("mean"), F.round(F.stddev_samp(e), 6).alias("sd"), F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"),
-              F.round(F.avg(F.abs(e)), 6).alias("mae"), r6(F.skewness(e), 5).alias("skew"), r6(F.kurtosis(e), 5).alias("kurtosis")).withColumn("_k", F.lit(1))
-    return m.join(q, "_k").drop("_k").withColumns({c: r6(c) for c in ("p5", "p50", "p95")})
+              F.round(F.avg(F.abs(e)), 6).alias("mae"), r6(F.skewness(e), 5).alias("skew"), r6(F.kurtosis(e), 5).alias("kurtosis"), r6(F.exp(-bera / 2)).alias("jarque_bera_p")).withColumn("_k", F.lit(1))
+    return m.join(q, "_k").drop("_k").withColumns({c: r6(c) for c in names})
+
+
+SPREAD = ("abs_lat", "acct", "slope", "n_obs")
+SPREAD_SQL = " UNION ALL ".join(f"SELECT '{n}' AS measure, abs(ols_slope - b) AS y, {x}::DOUBLE AS x FROM strend, k" for n, x in zip(
+    SPREAD, ("abs(lat)", "acct", "ols_slope", "n_obs"), strict=True))
+
+
+@query("A49_rank_spread", f"""WITH k AS (SELECT avg(ols_slope) AS b FROM strend), l AS ({SPREAD_SQL}),
+ r AS (SELECT measure, rank() OVER (PARTITION BY measure ORDER BY y) + (count(*) OVER (PARTITION BY measure, y) - 1)/2.0 AS ry,
+  rank() OVER (PARTITION BY measure ORDER BY x) + (count(*) OVER (PARTITION BY measure, x) - 1)/2.0 AS rx FROM l)
+ SELECT measure, count(*) AS n, round(corr(rx, ry), 6)+0.0 AS rho FROM r GROUP BY 1""", ("strend",))
+def rank_spread(spark, sf):
+    """Rank correlation of the absolute residual with four columns, all in one long table."""
+    t = cut_lineage(V.strend(spark, sf))
+    middle = t.agg(F.avg("ols_slope")).scalar()
+    columns = zip(SPREAD, (F.abs("lat"), F.col("acct"), F.col("ols_slope"), F.col("n_obs").cast("double")), strict=True)
+    rows = t.select(F.abs(F.col("ols_slope") - middle).alias("y"), F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), c.alias("x")) for n, c in columns])).alias("m"))
+    return I.spearman(rows.select("y", "m.*"), "x", "y", by=["measure"]).select("measure", "n", r6("rho").alias("rho"))
 
 
 @query("A49_heteroscedasticity", "SELECT count(*) AS n, round(regr_r2(ols_slope*ols_slope, abs(lat))*count(*), 6) AS lm FROM strend", ("strend",))
@@ -213,7 +241,13 @@ def heteroscedasticity(spark, sf):
     return V.strend(spark, sf).agg(F.count("*").alias("n"), F.round(F.regr_r2(F.col("ols_slope") * F.col("ols_slope"), F.abs("lat")) * F.count("*"), 6).alias("lm"))
 
 
-@query("A49_heteroscedasticity_p")
+def one_degree_p_sql(x: str) -> str:
+    """Tail of chi-square with one degree of freedom at `x`, by the power series of the error function (x below about 30)."""
+    z = f"sqrt({x}/2)"
+    return f"1 - 2/sqrt(pi())*list_sum(list_transform(range(0, 90), lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END)*pow({z}, 2*k + 1)/(gamma(k + 1)*(2*k + 1))))"
+
+
+@query("A49_heteroscedasticity_p", f"WITH m AS (SELECT regr_r2(ols_slope*ols_slope, abs(lat))*count(*) AS lm FROM strend) SELECT round(lm, 6)+0.0 AS lm, round({one_degree_p_sql('lm')}, 6)+0.0 AS p FROM m", ("strend",))
 def heteroscedasticity_p(spark, sf):
     return V.strend(spark, sf).agg((F.regr_r2(F.col("ols_slope") * F.col("ols_slope"), F.abs("lat")) * F.count("*")).alias("lm")).select(r6("lm").alias("lm"), r6(chi2_one_p("lm")).alias("p"))
 
