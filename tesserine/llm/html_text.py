@@ -27,7 +27,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search alert aler
 NAMED = frozenset(("ad ads adv advert advertisement advertising adbox adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr "
                    "notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar sidebars aside rail menu "
                    "nav navbar navigation breadcrumb breadcrumbs footer masthead header topbar toolbar share sharing social related recommended "
-                   "recommendations comment comments commentlist disqus replies respond discussion login search pagination pager widget widgets skip").split())
+                   "recommendations comment comments commentlist disqus replies respond discussion login search pagination pager widget widgets skip header toc").split())
+#: Of an article element only these say that it is none; beside these, a header belongs to the article; words that start or end so tell a state.
+OTHER_ARTICLES = frozenset("comment comments reply related recommended promo teaser sponsored".split())
+OWN_HEADERS = frozenset("post entry article content story".split())
+_STATES = re.compile(r"(?:has|with|without|no|is|js)-|.*-(?:open|closed|active|enabled|disabled|status)$")
 #: A start tag closes these open elements.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
           "tbody": {"tbody", "thead", "tr", "td", "th"}}
@@ -54,12 +58,16 @@ def _boxed(tag: str, attributes: str) -> bool:
     """Whether an element's name or attributes say that it holds no article text."""
     if tag in DROPPED:
         return True
-    if not attributes.strip() or tag in ("html", "body", "main", "article"):
+    if not attributes.strip() or tag in ("html", "body", "main"):
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not NAMED.isdisjoint(_NAMES.split(value)):
-            return True
+        if name in ("class", "id"):
+            for word in value.split():
+                parts = set() if _STATES.match(word) else {p.rstrip("0123456789") for p in _NAMES.split(word)}
+                found = parts & (OTHER_ARTICLES if tag == "article" else NAMED)
+                if found and not (found == {"header"} and parts & OWN_HEADERS):
+                    return True
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -125,7 +133,7 @@ def _prune(root: Node) -> list[Node]:
     order = _in_order(root)
     holds = set()
     for node in order:
-        if node.tag in ("article", "main"):
+        if node.tag in ("article", "main") and not node.boxed:
             up = node.parent
             while up is not None and id(up) not in holds:
                 holds.add(id(up))
@@ -203,11 +211,20 @@ def _article(order: list[Node]) -> list[Node]:
     if best.parent is None:
         return [best]
     least = max(10.0, 0.2 * most)
-    kept = []
+    kept: list[Node] = []
+    headings: list[Node] = []  # those that stand right before the best container are its titles
     for x in best.parent.items:
-        if x is best:
-            kept.append(x)
-        elif not isinstance(x, str) and not _link_list(x):
+        if not isinstance(x, str) and x.tag in ("h1", "h2", "h3") and not x.links:
+            headings.append(x)
+        elif x is best:
+            kept += [*headings, x]
+        elif isinstance(x, str) and x.strip() or not isinstance(x, str) and x.chars:
+            headings = []
+        if isinstance(x, str) or x is best:
+            continue
+        if x.tag in ("h1", "h2", "h3"):
+            continue
+        if not _link_list(x):
             text = _paragraph(x) if x.tag == "p" else ""
             if x.tag not in ("main", "html") and x.points >= least or len(text) > 80 and x.linked < 0.25 * x.chars:
                 kept.append(x)

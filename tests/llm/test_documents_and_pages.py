@@ -169,6 +169,12 @@ def test_main_text_of_a_page_without_article_element():
 
 
 @pytest.mark.parametrize(("page", "text"), [
+    ("<body><div id=header>Site</div><h1>Title</h1><div class='content has-sidebar'><p>One, two, three.</p><p>Four, five.</p></div><div class='ad-slot-2'><p>Buy, buy, buy, buy, buy</p></div></body>",
+     "Title\nOne, two, three.\nFour, five."),
+    ("<article><p>Story, short.</p></article><div id='comments'><ol><li><article class='comment-body'><p>A comment, much, much, much longer than the story, on and on, and on.</p></article></ol></div>",
+     "Story, short."),
+    ("<main><div class='entry-header'><h1>T</h1></div><p>a, b</p></main><div class=sidebar><p>x, y, z, x, y, z, x, y, z</p></div>", "T\na, b"),
+    ("<body><div role=navigation>menu</div><div class=cookie-banner>ok?</div><p>a, b<ul><li>x<li>y</ul><table><tr><td>1<td>2</table></body>", "a, b\nx\ny\n1\n2"),
     (None, ""), ("", ""), ("   ", ""), ("just text & more", "just text & more"), ("<p>a<br>b  c", "a b c"), ("<article><h1>H</h1><p><b>x<br></article>", "H\nx"),
     ("<!-- open <p>x", ""), ("<p>1 < 2 and <3</p>", "1 < 2 and <3"), ("<script>x", ""), ("<body><nav>n</nav></body>", ""), ("<p title='a>b'>t</p>", "t"), ("<p>x</p></div></div>", "x")])
 def test_main_text_edges(page, text):
