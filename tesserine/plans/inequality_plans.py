@@ -104,9 +104,9 @@ def projections(spark, sf):
         "nk", "warming", "warming_people", "warming_area", "resp", "resp_cons", "resp_win"))
 
 
-def coefficient_sql(x: str, y: str) -> str:
+def coefficient_sql(x: str, y: str, src: str = "pr") -> str:
     return (f"(SELECT abs(1 - 2*sum(({x}/rx)*(2*cy - {y})/ry/2)) FROM (SELECT {x}, {y}, sum({y}) OVER (ORDER BY {x}, nk ROWS UNBOUNDED PRECEDING) AS cy, "
-            f"sum({x}) OVER () AS rx, sum({y}) OVER () AS ry FROM pr))")
+            f"sum({x}) OVER () AS rx, sum({y}) OVER () AS ry FROM {src}))")
 
 
 def rho_sql(x: str, y: str, src: str = "pr") -> str:
@@ -240,6 +240,26 @@ def cross_product_metrics(spark, sf):
                     rho(common, "resp", "warming").alias("rho_first_common"), rho(common, "resp", "second").alias("rho_second"), rho(common, "warming", "second").alias("rho_products"))
 
 
+#: Lens, its column, support, and the table expression that holds the support.
+LENSES = (("station", "warming", "own", "xp"), ("people", "warming_people", "own", "xp"), ("second product", "second", "own", "xc"),
+          ("station", "warming", "common", "xc"), ("people", "warming_people", "common", "xc"))
+LENS_SQL = " UNION ALL ".join(
+    f"SELECT '{lens}' AS lens, '{support}' AS support, (SELECT count({y}) FROM {src}) AS n, round({rho_sql('resp', y, src)}, 6)+0.0 AS rho, "
+    f"round({coefficient_sql('resp', y, src)}, 6)+0.0 AS coefficient" for lens, y, support, src in LENSES)
+
+
+@query("C8_lens_metrics", f"WITH {XP} {LENS_SQL}", PROJ_VIEWS + ("zonal",))
+def lens_metrics(spark, sf):
+    """Rank correlation and concentration coefficient of every lens, on its own units and on those of both products."""
+    n, both, out = V.unit_bound(spark, sf), cross_products(spark, sf), None
+    for lens, y, support, src in LENSES:
+        df = both if src == "xp" else both.where("second is not null")
+        row = I.spearman(df, "resp", y, max_rows=n).select(F.lit(lens).alias("lens"), F.lit(support).alias("support"), "n", r6("rho").alias("rho"), F.lit(1).alias("_k"))
+        row = row.join(I.concentration_coefficient(df, "resp", y, n).select(r6("coefficient").alias("coefficient"), F.lit(1).alias("_k")), "_k").drop("_k")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # -- strata --------------------------------------------------------------------
 
 TIERS = """q AS (SELECT quantile_cont(wealth, 0.25) AS a, quantile_cont(wealth, 0.5) AS b, quantile_cont(wealth, 0.75) AS c FROM wealth),

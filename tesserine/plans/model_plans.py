@@ -117,20 +117,38 @@ def country_design(spark, sf):
     return design(spark, sf).select("unit", "zone", F.round("warming", 6).alias("warming"), F.round("log_pop", 6).alias("log_pop"), F.round("wealth", 4).alias("wealth"))
 
 
-@query("M11_decompositions")
-def decompositions(spark, sf):
+def _samples(spark, sf):
+    """The area outcome on the units with enough cells, the station outcome on the same units, and on all units."""
     d = design(spark, sf)
-    parts = {"station": (d, "warming"), "area, same sample": (d, "warming_area"), "area, northern": (d.where("lat >= 0"), "warming_area")}
+    enough = V.zonal(spark, sf).where("nk is not null").groupBy("nk").agg(F.count("*").alias("c")).where("c >= 22").select("nk")
+    primary = cut_lineage(d.join(enough, "nk", "left_semi"))
+    return {"area": (primary, "warming_area"), "station, same units": (primary, "warming"), "station, all units": (d, "warming")}
+
+
+def _decomposed(spark, sf, groups):
     out = None
-    for name, (frame, y) in parts.items():
-        s = L.group_shares(frame, GROUPS, y).withColumn("sample", F.lit(name))
+    for name, (frame, y) in _samples(spark, sf).items():  # three samples
+        s = L.group_shares(frame, groups, y).withColumn("sample", F.lit(name))
         out = s if out is None else out.unionByName(s)
     return out.select("sample", "group", r6("share").alias("share"))
 
 
-@query("M11_reduced_decompositions", f"""WITH {DESIGN}, q AS (SELECT yx*yx AS r1, ya*ya AS r2, (yx*yx + ya*ya - 2*yx*ya*xa)/(1 - xa*xa) AS r12 FROM (SELECT corr(warming, abs_lat) AS yx, corr(warming, wealth) AS ya, corr(abs_lat, wealth) AS xa FROM dg)) """ + SHARES2.format(a="geography", b="socioeconomic"), ("country",))
+@query("M11_decompositions")
+def decompositions(spark, sf):
+    return _decomposed(spark, sf, GROUPS)
+
+
+SAMPLES = DESIGN + """, pr AS (SELECT * FROM dg WHERE nk IN (SELECT nk FROM zonal WHERE nk IS NOT NULL GROUP BY 1 HAVING count(*) >= 22)),
+ l AS (SELECT 'area' AS sample, warming_area AS y, abs_lat AS x, wealth AS a FROM pr UNION ALL SELECT 'station, same units', warming, abs_lat, wealth FROM pr
+  UNION ALL SELECT 'station, all units', warming, abs_lat, wealth FROM dg),
+ c AS (SELECT sample, corr(y, x) AS yx, corr(y, a) AS ya, corr(x, a) AS xa FROM l GROUP BY 1),
+ q AS (SELECT sample, yx*yx AS r1, ya*ya AS r2, (yx*yx + ya*ya - 2*yx*ya*xa)/(1 - xa*xa) AS r12 FROM c)"""
+
+
+@query("M11_reduced_decompositions", f"""WITH {SAMPLES} SELECT sample, 'geography' AS "group", round((r1 + r12 - r2)/2, 6)+0.0 AS share FROM q
+ UNION ALL SELECT sample, 'socioeconomic', round((r2 + r12 - r1)/2, 6)+0.0 FROM q UNION ALL SELECT sample, 'residual', round(1 - r12, 6)+0.0 FROM q""", ("country", "zonal"))
 def reduced_decompositions(spark, sf):
-    return L.group_shares(design(spark, sf), {"geography": ["abs_lat"], "socioeconomic": ["wealth"]}, "warming").select("group", r6("share").alias("share"))
+    return _decomposed(spark, sf, {"geography": ["abs_lat"], "socioeconomic": ["wealth"]})
 
 
 @query("M12_model_residuals", f"WITH {ONE} SELECT site, round(e, 6)+0.0 AS residual FROM er", SITE_VIEWS)
