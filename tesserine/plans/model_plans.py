@@ -208,6 +208,33 @@ def redundancy(spark, sf):
     return L.redundancy(d, ["x", "a"], "xa").select(r6("r2").alias("r2"), r6("adjusted_r2").alias("adjusted_r2"), r6("vif", 5).alias("vif"), F.col("rank").cast("bigint").alias("rank"), F.col("rank_with_target").cast("bigint").alias("rank_with_target"))
 
 
+_RANKED = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1)/2.0 AS r_{c}" for c in ("xa", "x", "a"))
+
+
+@query("M17_redundancy_parts", f"""WITH {SITE}, z AS (SELECT *, x*a AS xa FROM sd), k AS (SELECT *, {_RANKED} FROM z)
+ SELECT 'x' AS "column", round(corr(xa, x), 6)+0.0 AS pearson, round(corr(r_xa, r_x), 6)+0.0 AS spearman, round(regr_r2(xa, x), 6)+0.0 AS r2_alone FROM k
+ UNION ALL SELECT 'a', round(corr(xa, a), 6)+0.0, round(corr(r_xa, r_a), 6)+0.0, round(regr_r2(xa, a), 6)+0.0 FROM k""", SITE_VIEWS)
+def redundancy_parts(spark, sf):
+    """How each predictor alone goes with the added column."""
+    from tesserine.operators.inequality import spearman
+    d = cut_lineage(site_design(spark, sf).withColumn("xa", F.col("x") * F.col("a")))
+    long = d.select("xa", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in ("x", "a")])).alias("m")).select("xa", "m.*")
+    plain = long.groupBy("column").agg(r6(F.corr("xa", "v")).alias("pearson"), r6(F.regr_r2("xa", "v")).alias("r2_alone"))
+    return plain.join(spearman(long, "v", "xa", by=["column"]).select("column", r6("rho").alias("spearman")), "column")
+
+
+@query("M17_level_summaries", f"WITH {SITE} SELECT u.zone, count(*) AS n, round(avg(x*a), 6)+0.0 AS mean, round(stddev_samp(x*a), 6)+0.0 AS sd FROM sd JOIN units u USING (nk) GROUP BY 1", tuple(dict.fromkeys((*SITE_VIEWS, "units"))))
+def level_summaries(spark, sf):
+    d = site_design(spark, sf).select("nk", (F.col("x") * F.col("a")).alias("xa")).join(V.units(spark, sf), "nk")
+    return d.groupBy("zone").agg(F.count("*").alias("n"), r6(F.avg("xa")).alias("mean"), r6(F.stddev_samp("xa")).alias("sd"))
+
+
+@query("M17_condition_numbers")
+def condition_numbers(spark, sf):
+    d = site_design(spark, sf).withColumn("xa", F.col("x") * F.col("a"))
+    return L.redundancy(d, ["x", "a"], "xa").select(r6("cond_raw", 4).alias("cond_raw"), r6("cond_unit", 4).alias("cond_unit"))
+
+
 @query("M18_coalition_table", f"WITH {TWO} SELECT '' AS coalition, 0.0::DOUBLE AS r2 UNION ALL SELECT 'geography', round(r1, 6) FROM q UNION ALL SELECT 'economy', round(r2, 6) FROM q UNION ALL SELECT 'geography+economy', round(r12, 6) FROM q", SITE_VIEWS)
 def coalition_table(spark, sf):
     return L.coalition_table(site_design(spark, sf), {"geography": ["x"], "economy": ["a"]}, "y").select("coalition", r6("r2").alias("r2"))
