@@ -165,6 +165,40 @@ def partition_quality(spark, sf):
                                share(F.col("n_months") < 50).alias("share_sparse"), F.min("n_months").alias("min_months"), F.max("n_months").alias("max_months"))
 
 
+#: Support classes of a cell by its months, and the distance its value would travel: one text for both engines.
+_NATIVE, _FILLED, _OPEN = "n_months >= 60", "n_months >= 50 AND n_months < 60", "n_months < 50"
+_AWAY = "((60 - n_months)*111.195)"
+
+
+def partition_measures(a: str) -> dict[str, str]:
+    """Aggregates of an area partition over cells with area `a`, n_months, slope and mean_value."""
+    def area(cond: str) -> str:
+        return f"sum(CASE WHEN {cond} THEN {a} ELSE 0.0 END)"
+
+    def count(cond: str) -> str:
+        return f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END)"
+
+    def mean(value: str, cond: str) -> str:
+        return f"sum(CASE WHEN {cond} THEN {a}*{value} ELSE 0.0 END)/nullif({area(cond)}, 0.0)"
+
+    covered, border = "n_months >= 50", f"({_FILLED}) AND ilat % 2 = 1"
+    areas = {"total": f"sum({a})", "native": area(_NATIVE), "filled": area(_FILLED), "open": area(_OPEN), "cross_border": area(border)}
+    out = {f"{k}_area": v for k, v in areas.items()} | {f"{k}_fraction": f"{areas[k]}/sum({a})" for k in ("native", "filled", "open")}
+    out |= {"coverage": f"{area(covered)}/sum({a})", "n_native": count(_NATIVE), "n_filled": count(_FILLED), "n_open": count(_OPEN), "n_cross_border": count(border)}
+    out |= {"mean_distance": f"avg(CASE WHEN {_FILLED} THEN {_AWAY} END)", "area_mean_distance": mean(_AWAY, _FILLED), "max_distance": f"max(CASE WHEN {_FILLED} THEN {_AWAY} END)"}
+    out |= {"native_value": mean("slope", _NATIVE), "covered_value": mean("slope", covered), "shift": f"{mean('slope', covered)} - {mean('slope', _NATIVE)}"}
+    return out | {"native_level": mean("mean_value", _NATIVE), "native_months": mean("n_months", _NATIVE), "full_share": f"{area('n_months >= 70')}/nullif({area(_NATIVE)}, 0.0)"}
+
+
+_MEASURES = ", ".join(f"round(({e})::DOUBLE, 6)+0.0 AS {n}" for n, e in partition_measures(f"({AREA})").items())
+
+
+@query("A45_partition_measures", f"SELECT nk, {_MEASURES} FROM zonal WHERE nk IS NOT NULL GROUP BY 1", ("zonal",))
+def partition_audit(spark, sf):
+    z = classed(spark, sf)
+    return z.groupBy("nk").agg(*[(F.round(F.expr(e).cast("double"), 6) + F.lit(0.0)).alias(n) for n, e in partition_measures("a").items()])
+
+
 # -- diagnostics ---------------------------------------------------------------
 
 ANOVA = """z AS (SELECT u.zone, t.ols_slope AS e FROM strend t JOIN units u ON u.nk = t.nk), g AS (SELECT zone, count(*) AS n, avg(e) AS m FROM z GROUP BY 1), a AS (SELECT avg(e) AS mu, count(*) AS n FROM z),
