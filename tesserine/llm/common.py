@@ -36,6 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, after setting how many rows travel to Python at a time in its session: rows here hold whole texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    return df
+
+
 def shared_folder(spark: SparkSession, tag: str) -> str:
     """A new folder under `spark.checkpoint.dir`, which driver and executors share."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import query, table
+from tesserine.llm.common import query, small_batches, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -281,7 +281,7 @@ def extracted(html: Column) -> Column:
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """`pages` with the main text added. Pages are independent: null ids, repeated rows and empty tables need no care."""
-    return pages.withColumn(out, extracted(F.col(html_col)))
+    return small_batches(pages).withColumn(out, extracted(F.col(html_col)))
 
 
 @query("op2_tree_scored_text")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import components, query, saved, sent, table
+from tesserine.llm.common import components, query, saved, sent, small_batches, table
 
 #: Permutations, and the greatest probability with which a pair at the threshold may share no band.
 HASHES, MISSED = 280, 1e-6
@@ -26,7 +26,7 @@ HASHES, MISSED = 280, 1e-6
 BITS, ERRORS = 2, 5.0
 #: Members of a block when a large bucket is opened.
 BLOCK = 256
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _draw = np.random.default_rng(20_240_601)
 _MULTIPLY = _draw.integers(1, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -110,6 +110,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, rows: in
                     pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets], pa.string()),
                     _list([none if b is None else band_keys(b, rows) for b in best]), _list([none if b is None else packed_bits(b) for b in best])],
                     ["id", "n", "fp", "bands", "bits"])
+        _known.clear()  # the worker goes on to other stages
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
         sign, "id long, n long, fp string, bands array<long>, bits array<long>")
@@ -122,6 +123,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 sets = [shingle_set(t, width) for t in batch.column(0).slice(at, 1000).to_pylist()]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()), _list([s.view(np.int64) for s in sets])], ["fp", "set"])
+        _known.clear()
 
     return docs.select("text").mapInArrow(collect, "fp string, set array<long>")
 
@@ -147,7 +149,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lead to. Null text counts as empty: no set, linked with nothing. A null id never is a component_id while another id is in the
     component; rows that repeat an id are one document, so all of them are kept or none. Other columns are not read.
     """
-    signed = saved(signatures(docs, id_col, text_col, width, band_rows(percent)), "signatures")
+    signed = saved(signatures(small_batches(docs), id_col, text_col, width, band_rows(percent)), "signatures")
     classes = signed.where("n > 0").groupBy("fp", "n").agg(
         F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")

@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import query, ranked_in_buckets, row_buckets, saved, table
+from tesserine.llm.common import query, ranked_in_buckets, row_buckets, saved, small_batches, table
 
 #: Words whose ids a worker remembers, and characters of text that are split at a time.
-REMEMBERED, SPLIT_AT = 600_000, 1_000_000
+REMEMBERED, SPLIT_AT = 400_000, 500_000
 #: A special token of the vocabulary, by its id; it never comes out of a word without `<|`.
 PARTING = 49407
 _TAIL = b".,;:!?|%*&$#"
@@ -220,7 +220,7 @@ def ranges(plan_rows: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
 def pack(docs: DataFrame, spec: str, capacity: int = 4096, end_id: int = 1, **names: str) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    cut = saved(pieces(docs, spec, capacity, end_id, **names), "pieces")
+    cut = saved(pieces(small_batches(docs), spec, capacity, end_id, **names), "pieces")
     # at most one row per length, so at most `capacity` rows
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = ranges(plan(counts, capacity))

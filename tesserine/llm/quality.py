@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesserine.llm.common import query, saved, table
+from tesserine.llm.common import query, saved, small_batches, table
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -198,7 +198,7 @@ def estimates(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     whose stratum no row passes them, have no estimate. Other columns are not read. An empty table gives empty results.
     """
     lang, source = _key(F.col(lang_col), F.col(source_col))
-    rows = docs.select(F.col(id_col).alias("id"), lang.alias("l"), source.alias("s"), measured(F.col(text_col)).alias("m"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), lang.alias("l"), source.alias("s"), measured(F.col(text_col)).alias("m"))
     rows = saved(rows.withColumn("ok", ~_base_failed(F.col("m"))), "measured")
     strata = saved(_strata(rows), "strata")
     x = saved(rows.where("ok").join(strata, ["l", "s"]).select("stratum", F.col("m.x").alias("x")), "vectors")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import query, saved, sent, table
+from tesserine.llm.common import query, saved, sent, small_batches, table
 
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Labelled documents that a fit may use, folds of the out-of-fold predictions, words of a model, documents a word must be in,
@@ -167,7 +167,7 @@ def scored(docs: DataFrame, chain: Chain, categories: list[str], thresholds: lis
         return pd.DataFrame(p, columns=[f"p_{c}" for c in categories])
 
     p = F.pandas_udf(score, ", ".join(f"`p_{c}` double" for c in categories))(F.col(text_col))
-    out = docs.withColumn("__p", p)
+    out = small_batches(docs).withColumn("__p", p)
     for c, threshold in zip(categories, thresholds, strict=True):
         out = out.withColumn(f"p_{c}", F.col("__p")[f"p_{c}"]).withColumn(c, F.col("__p")[f"p_{c}"] > threshold)
     return out.drop("__p")

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import SENT_ROWS, query, saved, shared_folder, table
+from tesserine.llm.common import SENT_ROWS, query, saved, shared_folder, small_batches, table
 
 #: Fixed values of the formats: magic numbers of a frame, of the dictionary's skippable frame, and an empty skippable frame.
 FRAME, DICTIONARY, EMPTY = 0xFD2FB528, 0x184D2A5D, "P*M\x18\x00\x00\x00\x00"
@@ -114,7 +114,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     without an id among them, revisit it. If none has an id, all are responses; rows that repeat the greatest id are responses too.
     Null html is an empty payload, a null url is left out, an empty table writes no record; other columns are not read.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
+    rows = small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html"))
     total = rows.agg(F.sum("size")).first()[0] or 0
     groups = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("n"))
