@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
-Every benchmark item is held against windows of its own length in words. A window that can reach the similarity shares a shingle
-with the item, so windows are cut where a shingle of an item of that length stands in a text: at the place the item would begin,
-give or take the shift that the similarity allows. Windows and items get 64-bit SimHash fingerprints. Fingerprints within
+Every benchmark item is held against windows of its own length in words, cut short by the text's end. A window that reaches the
+similarity holds that share of the item's weight or more, so windows are cut at every place where the shingles of items of that
+length add up to it; what the weights and the text's ends allow needs no bound of its own. Windows and items get 64-bit SimHash fingerprints. Fingerprints within
 `RADIUS` bits agree in at least one of `RADIUS + 1` blocks, so the block index finds all of them among the items of that length;
 candidates are then compared exactly by weighted shingles. Equal windows are fingerprinted once.
 """
@@ -11,12 +11,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tesserine.llm.common import SENT_ROWS, query, saved, table, with_texts
 
 #: Words of a shingle, similarity that counts as a leak, bits by which fingerprints may differ.
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
 BITS = 64
+#: An item's whole weight when the parts of its shingles are added up: whole numbers, rounded up, so that a sum is never too small.
+WHOLE = 10**9
 #: Words are runs of letters and digits, in small letters: case and punctuation do not hide a leak.
 APART = r"[^\p{L}\p{N}]+"
 
@@ -80,21 +83,36 @@ def _grams(words: Column) -> Column:
     return F.inline(F.when(n > 0, F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("pos"), *later)))
 
 
-def _standing(texts: DataFrame, items: DataFrame) -> DataFrame:
-    """(text_md5, n, start): where an item of n words would begin for a shingle of it to stand where it stands in a text."""
+def _standing(texts: DataFrame, known: DataFrame) -> DataFrame | None:
+    """(text_md5, n, pos, part): where a shingle of an item of n words stands in a text, and the largest part of such an item's weight it is."""
     grams = texts.select(F.md5("text").alias("text_md5"), _split("text").alias("words")).select("text_md5", _grams(F.col("words")))
-    marks = saved(items.select("n", _grams(F.col("words"))).where(F.least("n", F.lit(SHINGLE)) + F.col("pos") <= F.col("n")).withColumnRenamed(
-        "pos", "at").distinct(), "marks")
+    each = known.select("n", "total", F.explode(F.arrays_zip("shingles", "weights")).alias("s"))
+    marks = saved(each.groupBy("n", F.split("s.shingles", " ").alias("w")).agg(F.max(F.ceil(F.col("s.weights") / F.col("total") * WHOLE)).alias("part")), "marks")
     out = None
-    for r in marks.groupBy(F.least("n", F.lit(SHINGLE)).alias("span")).agg(F.count("*").alias("rows")).collect():  # at most SHINGLE spans
+    for r in marks.groupBy(F.size("w").alias("span")).agg(F.count("*").alias("rows")).collect():  # at most SHINGLE spans
         names = [f"w{k + 1}" for k in range(r["span"])]
-        some = marks.where(F.least("n", F.lit(SHINGLE)) == r["span"]).select(*names, "n", "at").distinct()
+        some = marks.where(F.size("w") == r["span"]).select(*[F.col("w")[k].alias(name) for k, name in enumerate(names)], "n", "part")
         found = grams.where(F.col(names[-1]).isNotNull()).join(F.broadcast(some) if r["rows"] <= SENT_ROWS else some, names)
-        found = found.select("text_md5", "n", (F.col("pos") - F.col("at")).alias("start"))
+        found = found.select("text_md5", "n", "pos", "part")
         out = found if out is None else out.union(found)
     return out
 
 
+def _starts(hits: DataFrame) -> DataFrame:
+    """(text_md5, n, starts): every start of a window of n words whose shingles can reach `SIMILARITY` with an item of that length.
+
+    A window of that similarity holds at least as large a share of the item's weight. A shingle counts for the windows that begin up
+    to n - SHINGLE words before it and not before the text, so the sum over a window changes only where one enters or leaves.
+    """
+    first = F.greatest(F.col("pos") - F.col("n") + F.least("n", F.lit(SHINGLE)), F.lit(0))
+    change = hits.distinct().select("text_md5", "n", F.inline(F.array(
+        F.struct(first.alias("start"), F.col("part").alias("by")), F.struct((F.col("pos") + 1).alias("start"), (-F.col("part")).alias("by")))))
+    line = Window.partitionBy("text_md5", "n").orderBy("start")  # rows of one start count together
+    sums = change.select("text_md5", "n", "start", F.sum("by").over(line).alias("held"), F.lead("start").over(line).alias("next"))
+    runs = sums.where((F.col("held") >= int(SIMILARITY * WHOLE) - 1) & (F.col("next") > F.col("start")))
+    return runs.groupBy("text_md5", "n").agg(F.flatten(F.collect_list(F.sequence("start", F.col("next") - 1))).alias("starts"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(text_md5, item, start, n_words, similarity): the most similar window of each text for every item it leaks, the first one of equals.
 
@@ -103,28 +121,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
     """
     items = saved(benchmark_items(benchmark, item_id, item_text), "items")
     weights = saved(shingle_weights(items), "weights")
+    known = saved(_weighted(items.select("item", "n", "shingles"), weights, ["item", "n"]), "fingerprints")
     # (1) where shingles of items stand in the texts: one pass over the words
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
-    hits = _standing(texts, items)
+    hits = _standing(texts, known)
     if hits is None:
         return items.select(F.lit("").alias("text_md5"), "item", F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"))
-    slack = F.ceil((F.greatest(F.col("n") - SHINGLE + 1, F.lit(1))) * ((1 - SIMILARITY) / (1 + SIMILARITY))).cast("int") + 1
-    starts = hits.distinct().select("text_md5", "n", F.explode(F.sequence(F.col("start") - slack, F.col("start") + slack)).alias("start"))
-    starts = saved(starts.groupBy("text_md5", "n").agg(F.collect_set("start").alias("starts")), "starts")
-    return _windows(texts, starts, items, weights)
+    return _windows(texts, saved(_starts(hits), "starts"), known, weights)
 
 
-def _windows(texts: DataFrame, starts: DataFrame, items: DataFrame, weights: DataFrame) -> DataFrame:
+def _windows(texts: DataFrame, starts: DataFrame, known: DataFrame, weights: DataFrame) -> DataFrame:
     # (2) windows at those places, from one copy of every text that has any
     some = with_texts(texts, F.md5("text"), starts, "left_semi").withColumn("text_md5", F.md5("text")).dropDuplicates(["text_md5"])
     cut = some.select("text_md5", _split("text").alias("words")).join(starts, "text_md5")
-    place = cut.select("text_md5", "n", F.explode("starts").alias("start"), "words").where((F.col("start") >= 0) & (F.col("start") < F.size("words")))
+    place = cut.select("text_md5", "n", F.explode("starts").alias("start"), "words")
     windows = saved(place.select("text_md5", "n", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("words")).withColumn(
         "window", F.xxhash64("n", F.array_join("words", " "))), "windows")
     # (3) fingerprints of distinct windows and of items
     distinct = windows.groupBy("window", "n").agg(F.first("words").alias("words")).withColumn("shingles", _shingles(F.filter("words", lambda w: w != "")))
     distinct = saved(_weighted(distinct.select("window", "n", "shingles"), weights, ["window", "n"]), "distinct")
-    known = saved(_weighted(items.select("item", "n", "shingles"), weights, ["item", "n"]), "fingerprints")
     blocks = lambda df, *names: df.select(*names, F.inline(_blocks(F.col("fingerprint"))))
     near = blocks(distinct, "window", "n", "fingerprint").join(blocks(known, "item", "n", F.col("fingerprint").alias("other")), ["n", "block", "value"])
     near = near.where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("other"))) <= RADIUS).select("window", "n", "item").distinct()

@@ -131,6 +131,23 @@ def test_leaks_match_every_window(spark, docs):
     assert left == set(texts) - {d for d, _ in want}
 
 
+def test_leaks_of_items_cut_by_the_ends_of_a_text(spark):
+    rng = np.random.default_rng(7)
+    fresh = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    plain, preamble, other = fresh(100), fresh(40), fresh(60)
+    lists = {1: plain, 2: fresh(150)} | {10 + k: preamble + fresh(60) for k in range(12)}
+    texts = {k: plain[k:] for k in range(10, 22)} | {100 + k: plain[:-k] for k in range(10, 22)} | {
+        30: plain[15:] + other[:1], 31: lists[2][22:], 32: other + plain[:85], 33: lists[10][40:], 34: lists[11][40:] + other[:3], 35: other[:20] + lists[12][40:],
+        36: plain[50:] + plain[:50], 37: preamble, 38: other[:5] + plain[:60] + ["x"] + plain[60:] + other[5:]}
+    items, texts = ({k: " ".join(w) for k, w in x.items()} for x in (lists, texts))
+    made = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = made.select("doc_id", F.md5("text").alias("text_md5")).join(
+        decontamination.leaks(made, spark.createDataFrame(list(items.items()), "item_id long, text string")), "text_md5").collect()
+    want = leaks_by_hand(texts, items)
+    assert {(r.doc_id, r.item): (r.similarity, r.start) for r in found} == want
+    assert {(k, 1) for k in (13, 15, 19, 36, 115)} | {(31, 2), (33, 10), (34, 11), (35, 12)} <= set(want) and 37 not in {d for d, _ in want}
+
+
 def test_leak_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
