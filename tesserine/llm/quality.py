@@ -23,12 +23,15 @@ from tesserine.llm.common import query, saved, small_batches, table
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-#: Statistics of the vector, and the least standard deviation that is believed of each: shares are compared on the arcsine scale.
+#: Statistics of the vector, and the standard deviation whose square is added to each variance: shares are compared on the arcsine scale.
+#: Digits alone, or duplicate lines alone, can pass `CUTOFF` (from 30 % on in a group that has none); repeats have a base rule of their own.
 STATISTICS = ("upper", "marks", "digits", "repeats", "duplicates", "log_word")
-FLOOR = (0.06, 0.03, 0.4, 0.4, 0.3, 0.15)
+FLOOR = (0.06, 0.03, 0.12, 0.15, 0.12, 0.15)
 P = len(STATISTICS)
 #: Characters of ordinary text that a short text's shares are mixed with, and its shares of capitals and marks.
 PRIOR, USUAL = 60, 0.03
+#: Lines without a copy that a text's lines are mixed with: one repeated line of five says little.
+PRIOR_LINES = 10
 #: Share of rows a concentration step keeps, steps, share of the reweighted step, and the squared distance
 #: that rejects: one normal row in a thousand.
 KEPT, STEPS, REWEIGHTED, CUTOFF = 0.75, 3, 0.975, 22.46
@@ -91,7 +94,7 @@ def measure(text: str) -> tuple:
     upper, lower, digits, _ = np.bincount(_kinds()[np.frombuffer(text.encode("utf-32-le"), np.uint32)], minlength=5)[1:5]
     marks = max(chars - upper - lower - digits, 0)
     usual = PRIOR * USUAL
-    shares = ((upper + usual) / (upper + lower + PRIOR), (marks + usual) / (chars + PRIOR), digits / (chars + PRIOR), repeats / n, duplicate / len(lines))
+    shares = ((upper + usual) / (upper + lower + PRIOR), (marks + usual) / (chars + PRIOR), digits / (chars + PRIOR), repeats / n, duplicate / (len(lines) + PRIOR_LINES))
     return n, chars, symbols, duplicate, repeats, [*(math.asin(math.sqrt(min(1.0, s))) for s in shares), math.log(chars / n)]
 
 

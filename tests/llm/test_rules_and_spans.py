@@ -78,6 +78,24 @@ def test_outliers_are_rejected_and_the_rest_kept(spark):
     assert {i for i, k in got.items() if not k} == set(range(0, 400, 50))
 
 
+def test_digits_and_duplicate_lines_reject_on_their_own(spark):
+    rng = np.random.default_rng(4)
+    word = lambda k: "".join(rng.choice(list("abcdefghij"), k))
+    rows = []
+    for i in range(400):
+        lines = [" ".join(word(rng.integers(2, 9)) for _ in range(4)).capitalize() + "." for _ in range(20)]
+        if i % 40 == 0:  # half of the characters are digits
+            lines = [" ".join("".join(rng.choice(list("0123456789"), len(w))) if k % 2 else w for k, w in enumerate(x.split())) for x in lines]
+        elif i % 40 == 1:  # the same short line after every line: no five words in a row come twice
+            lines = [x for y in lines for x in (y, "Read on.")]
+        elif i % 40 == 2:  # a date and one repeated line are no reason
+            lines = [*lines, lines[0], "On 12 May 2019."]
+        rows.append((i, "\n".join(lines), "en", "s"))
+    got = {r.id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {i for i in got if i % 40 in (0, 1)}
+
+
 def test_quality_edges_and_filter(spark, odd):
     rows = quality.quality(odd).collect()
     assert len(rows) == 8 and sum(r.n_words == 0 for r in rows) == 4 and all(r.base_failed for r in rows if r.n_words < 10)
