@@ -17,6 +17,8 @@ from tesserine.session import cut_lineage
 
 r6 = C.r6
 DRAWS = 199
+#: Draws of local statistics: a false-discovery label needs p-values well below a tenth of its level.
+LOCAL_DRAWS = 999
 
 
 def unit_points(spark, sf):
@@ -167,13 +169,13 @@ def local_moran(spark, sf):
 @query("P6_local_moran_p")
 def local_moran_p(spark, sf):
     p = unit_points(spark, sf)
-    return S.local_moran_p(p, S.knn_weights(p, "nk", 8), "nk", "warming", DRAWS, max_rows=V.unit_bound(spark, sf)).select("nk", r6("local_i").alias("local_i"), "quadrant", "p_value", "label")
+    return S.local_moran_p(p, S.knn_weights(p, "nk", 8), "nk", "warming", LOCAL_DRAWS, max_rows=V.unit_bound(spark, sf)).select("nk", r6("local_i").alias("local_i"), "quadrant", "p_value", "label")
 
 
 @query("P14_local_moran_fdr")
 def local_moran_fdr(spark, sf):
     p, n = unit_points(spark, sf), V.unit_bound(spark, sf)
-    local = cut_lineage(S.local_moran_p(p, S.knn_weights(p, "nk", 8), "nk", "warming", DRAWS, max_rows=n))
+    local = cut_lineage(S.local_moran_p(p, S.knn_weights(p, "nk", 8), "nk", "warming", LOCAL_DRAWS, max_rows=n))
     q = K.bh_adjust(local, "p_value", "q_value", max_rows=n)
     return q.select("nk", "label", "p_value", r6("q_value").alias("q_value"), F.when(F.col("q_value") <= 0.05, F.col("quadrant")).otherwise("ns").alias("fdr_label"))
 

@@ -239,3 +239,11 @@ def test_spatial_regression_against_dense_likelihood(spark, family):
     assert acc.a_static + acc.a_dependence + acc.a_innovation == pytest.approx(1.0)
     held = SR.cross_validated(df.withColumn("fold", F.col("id") % 3), "id", "y", ["a", "b"], [family], "fold", 6, [0, 1, 2])
     assert held.count() == n and held.where("prediction is null or isnan(prediction)").isEmpty()
+
+
+def test_local_p_values_come_from_the_reference_draws(spark):
+    from tesserine.plans import spatial_plans  # noqa: F401
+    from tesserine.plans.registry import QUERIES
+
+    p = [r.p_value for r in QUERIES["P14_local_moran_fdr"](spark, "/root/testdata/sf0.001").collect() if r.p_value is not None]
+    assert p and all(abs(x * 1000 - round(x * 1000)) < 1e-9 for x in p) and any(abs(x * 200 - round(x * 200)) > 1e-9 for x in p)
