@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tesserine.llm import chat, decontamination, html_text, near_duplicates, packing, quality, secrets, sharding, toxicity, warc  # noqa: F401
+from tesserine.llm import (  # noqa: F401
+    chat, decontamination, fill_in_middle, html_text, line_dedup, near_duplicates, packing, quality, secrets, sharding, toxicity, vector_codes, warc,
+)
 from tesserine.llm.common import ORACLES, QUERIES
 from tesserine.llm.sql import SQL
 

@@ -134,5 +134,61 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, (p * 16 // n)::INTEGER AS shard,
 FROM placed
 """
 
+LINES = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+each AS (SELECT rid, doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d),
+keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM each),
+often AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT rid) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(o.k) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (o.k IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN often o USING (k) GROUP BY rid
+"""
+
+MIDDLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+c AS (
+  SELECT *, len(l)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(l) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(l) + 1) AS y, ('0x' || h[25:32])::BIGINT % 100 AS z,
+    t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain FROM d),
+p AS (
+  SELECT *, CASE WHEN plain THEN 'plain' WHEN z < 50 THEN 'spm' ELSE 'psm' END AS form, array_to_string(l[1:least(x, y)], '') AS a,
+    array_to_string(l[least(x, y) + 1:greatest(x, y)], '') AS b, array_to_string(l[greatest(x, y) + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN NOT plain THEN length(a) END AS prefix_chars, CASE WHEN NOT plain THEN length(b) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || s || '<M>' || b ELSE '<S>' || s || '<P>' || a || '<M>' || b END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def _round(k: int) -> str:
+    """Assignment to the codebooks c{k}, and the codebooks after it."""
+    return f"""near{k} AS MATERIALIZED (
+  SELECT rid, part, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d FROM (
+    SELECT x.rid, x.part, c.entry, list_sum(list_transform(range(1, 5), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))::BIGINT AS d
+    FROM parts x JOIN c{k} c USING (part)) GROUP BY rid, part),
+mean{k} AS (
+  SELECT part, entry, count(*) AS n, [sum(v[1]), sum(v[2]), sum(v[3]), sum(v[4])] AS s FROM near{k} JOIN parts USING (rid, part) GROUP BY part, entry),
+c{k + 1} AS MATERIALIZED (
+  SELECT part, entry, CASE WHEN n IS NULL THEN c.v ELSE list_transform(s, lambda a: (a::BIGINT - (((a::BIGINT % n) + n) % n)) // n) END AS v
+  FROM c{k} c LEFT JOIN mean{k} USING (part, entry))"""
+
+
+CODES = f"""
+WITH fine AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, w) - 1 AS rid, vec_id, label, w FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda c: floor(c::DOUBLE * 256)::BIGINT) AS w FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)),
+parts AS MATERIALIZED (SELECT rid, part, w[part * 4 + 1:part * 4 + 4] AS v FROM fine, range(16) t(part)),
+c0 AS (SELECT part, rid AS entry, v FROM parts WHERE rid < 64),
+{_round(0)},
+{_round(1)},
+{_round(2)},
+book AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2),
+coded AS (
+  SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near2 GROUP BY rid)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN fine USING (rid), book
+"""
+
 SQL = {"op3_secret_ownership": SECRETS, "op4_simhash_windows": LEAKS, "op5_warc_zstd": ARCHIVES, "op7_incremental_chat": CHAT, "op8_bbit_minhash": NEAR,
-       "op9_interleaved_shards": SHARDS}
+       "op9_interleaved_shards": SHARDS, "op11_trie_vector_codes": CODES, "op12_hashed_line_dedup": LINES, "op13_swar_fill_in_middle": MIDDLE}
