@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from tesserine.llm.common import SENT_ROWS, query, saved, table, with_texts
 
 #: Words of a shingle, similarity that counts as a leak, bits by which fingerprints may differ.
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 22
 BITS = 64
 #: An item's whole weight when the parts of its shingles are added up: whole numbers, rounded up, so that a sum is never too small.
 WHOLE = 10**9
@@ -41,8 +41,12 @@ def _shingles(words: Column) -> Column:
 
 
 def _fingerprint(shingles: Column, weights: Column) -> Column:
-    """SimHash: bit b is set where the weights of shingles whose hash has it outweigh the others."""
-    pairs = F.zip_with(shingles, weights, lambda s, w: F.struct(F.xxhash64(s).alias("h"), w.alias("w")))
+    """SimHash: bit b is set where the votes of shingles whose hash has it outweigh the others.
+
+    A vote is the square root of the weight: angles follow squared votes, so fingerprints of two sets differ as their shared and whole
+    weights say, however unevenly the weights are spread. Plain weights would let one heavy shingle outvote a hundred light ones.
+    """
+    pairs = F.zip_with(shingles, weights, lambda s, w: F.struct(F.xxhash64(s).alias("h"), F.sqrt(w).alias("w")))
 
     def bit(b: Column) -> Column:
         votes = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.when(F.getbit(p["h"], b) == 1, p["w"]).otherwise(-p["w"]))
@@ -134,9 +138,8 @@ def _windows(texts: DataFrame, starts: DataFrame, known: DataFrame, weights: Dat
     # (2) windows at those places, from one copy of every text that has any
     some = with_texts(texts, F.md5("text"), starts, "left_semi").withColumn("text_md5", F.md5("text")).dropDuplicates(["text_md5"])
     cut = some.select("text_md5", _split("text").alias("words")).join(starts, "text_md5")
-    place = cut.select("text_md5", "n", F.explode("starts").alias("start"), "words")
-    windows = saved(place.select("text_md5", "n", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("words")).withColumn(
-        "window", F.xxhash64("n", F.array_join("words", " "))), "windows")
+    place = cut.select("text_md5", "n", F.inline(F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("words", s + 1, F.col("n")).alias("words")))))
+    windows = saved(place.withColumn("window", F.xxhash64("n", F.array_join("words", " "))), "windows")
     # (3) fingerprints of distinct windows and of items
     distinct = windows.groupBy("window", "n").agg(F.first("words").alias("words")).withColumn("shingles", _shingles(F.filter("words", lambda w: w != "")))
     distinct = saved(_weighted(distinct.select("window", "n", "shingles"), weights, ["window", "n"]), "distinct")

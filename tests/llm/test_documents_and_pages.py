@@ -148,6 +148,24 @@ def test_leaks_of_items_cut_by_the_ends_of_a_text(spark):
     assert {(k, 1) for k in (13, 15, 19, 36, 115)} | {(31, 2), (33, 10), (34, 11), (35, 12)} <= set(want) and 37 not in {d for d, _ in want}
 
 
+@pytest.mark.parametrize(("shared", "copies"), [(92, 10), (60, 6), (200, 24)])
+def test_leaks_of_items_with_a_shared_preamble(spark, shared, copies):
+    """Light shingles are shared and heavy ones differ: the fingerprints must still lead to every pair."""
+    rng = np.random.default_rng(shared)
+    words = [f"w{i}" for i in rng.integers(0, 10**6, shared)]
+    lists = {k: [*words, f"item{k}"] for k in range(copies)}
+    texts = {k: [*words, f"text{k}"] for k in range(20)} | {50 + k: [f"pre{k}", *words, "or", "so"] for k in range(20)}
+    items, texts = ({k: " ".join(w) for k, w in x.items()} for x in (lists, texts))
+    made = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = made.select("doc_id", F.md5("text").alias("text_md5")).join(
+        decontamination.leaks(made, spark.createDataFrame(list(items.items()), "item_id long, text string")), "text_md5").collect()
+    want = leaks_by_hand(texts, items)
+    got = {(r.doc_id, r.item) for r in found}
+    assert got <= set(want) and len(want) == 40 * copies and len(got) >= 0.99 * len(want)
+    # where several windows of a text are alike to an item, the best one may be missed for another
+    assert {(r.doc_id, r.item, r.similarity, want[r.doc_id, r.item]) for r in found if abs(r.similarity - want[r.doc_id, r.item][0]) > 1e-6} == set()
+
+
 def test_leak_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
