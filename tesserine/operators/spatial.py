@@ -12,12 +12,9 @@ from pyspark.sql import functions as F
 
 from tesserine.functions.columns import haversine_km, km_to_chord, unit_xyz
 from tesserine.operators.coupling import TIE_EPSILON, permuted
+from tesserine.operators.neighbours import TIE_DIGITS, closest_coordinates
 from tesserine.session import cut_lineage
 
-_FINEST_LEVEL = 12
-#: Distances equal to this many decimals of a kilometre are ties, resolved by identity.
-TIE_DIGITS = 4
-
 
 def _cube(x: Column | str, size: Column | float) -> Column:
     x = F.col(x) if isinstance(x, str) else x
@@ -79,31 +76,12 @@ def nearest(
 ) -> DataFrame:
     """The k nearest points of each query: (qkey, pkey, km, rank), ties by smallest point key.
 
-    Exact in one pass. A query reads the cubes around it at the level above the
-    finest one whose own cube holds more than k coordinates: that cube's diagonal
-    bounds the k-th distance below the side of the cubes read. `exclude` drops the
+    Exact: coordinates are searched in blocks of bounded size (see `neighbours`). `exclude` drops the
     query's own key ("self") or every point at its coordinate ("coordinate").
     """
     take = k + 1
     coords = points.groupBy("lat", "lon").agg(F.min(pkey).alias("_first"))
-    qcoords = queries.select("lat", "lon").distinct()
-    levels = F.explode(F.sequence(F.lit(0), F.lit(_FINEST_LEVEL))).alias("_l")
-
-    def leveled(df: DataFrame) -> DataFrame:
-        df = _with_xyz(df).select("*", levels)
-        size = F.lit(2.0) / F.pow(F.lit(2.0), F.col("_l"))
-        return df.withColumns({f"_c{c}": _cube(f"_{c}", size) for c in "xyz"})
-
-    cell = ["_l", "_cx", "_cy", "_cz"]
-    placed = leveled(coords)
-    counts = placed.groupBy(*cell).agg(F.count("*").alias("_n")).where(F.col("_n") > take)
-    own = leveled(qcoords).join(counts.select(*cell), cell, "left_semi")
-    finest = own.groupBy("lat", "lon").agg(F.max("_l").alias("_f"))
-    start = qcoords.join(finest, ["lat", "lon"], "left").withColumn("_l", F.greatest(F.coalesce(F.col("_f"), F.lit(0)) - 1, F.lit(0))).drop("_f")
-    size = F.lit(2.0) / F.pow(F.lit(2.0), F.col("_l"))
-    probes = _spread_cells(_with_xyz(start).withColumns({f"_c{c}": _cube(f"_{c}", size) for c in "xyz"})).drop("_x", "_y", "_z")
-    right = placed.select(*cell, F.col("lat").alias("plat"), F.col("lon").alias("plon"), "_first")
-    candidate = probes.join(right, cell).select("lat", "lon", "plat", "plon", "_first", haversine_km("lat", "lon", "plat", "plon").alias("km"))
+    candidate = closest_coordinates(queries, coords, take + 1)
     by_coord = Window.partitionBy("lat", "lon").orderBy(F.round("km", TIE_DIGITS), "_first")
     close = candidate.withColumn("_r", F.row_number().over(by_coord)).where(F.col("_r") <= take + 1)
     # A coordinate contributes at most its k+1 smallest keys; the limit applies before the shuffle.
