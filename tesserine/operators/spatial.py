@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 from tesserine.functions.columns import haversine_km, km_to_chord, unit_xyz
 from tesserine.operators.coupling import TIE_EPSILON, permuted
 from tesserine.operators.neighbours import TIE_DIGITS, closest_coordinates
+from tesserine.operators.pyramid import counts_within, ring_of, ring_sums
 from tesserine.session import cut_lineage
 
+#: Coordinates up to which all pairs are formed; more go through the pyramid, with the same result.
+PAIRED_DIRECTLY = 2_000
+
 
 def _cube(x: Column | str, size: Column | float) -> Column:
     x = F.col(x) if isinstance(x, str) else x
@@ -244,6 +248,18 @@ def local_moran_p(values: DataFrame, edges: DataFrame, key: str, value: str, dra
         "label", F.when(F.col("quadrant") == "unavailable", "unavailable").when(F.col("p_value") < 0.05, F.col("quadrant")).otherwise("ns"))
 
 
+def _direct_rings(sums: DataFrame, edges_km: list[float]) -> DataFrame:
+    """`ring_sums` of few coordinates, pair by pair."""
+    near = near_coordinates(sums, sums, edges_km[-1], half=True)
+    same = (F.col("lat") == F.col("blat")) & (F.col("lon") == F.col("blon"))
+    count = F.when(same, F.col("n") * (F.col("n") - 1)).otherwise(2 * F.col("n") * F.col("bn"))
+    cross = F.when(same, F.col("s") * F.col("s") - F.col("q")).otherwise(2.0 * F.col("s") * F.col("bs"))
+    square = F.when(same, 2.0 * (F.col("n") * F.col("q") - F.col("s") * F.col("s"))).otherwise(
+        2.0 * (F.col("bn") * F.col("q") + F.col("n") * F.col("bq") - 2.0 * F.col("s") * F.col("bs")))
+    return near.withColumns({"ring": ring_of(F.col("km"), edges_km), "_c": count, "_x": cross, "_d": square}).where(F.col("ring").isNotNull()).groupBy("ring").agg(
+        F.sum("_c").alias("c"), F.sum("_x").alias("x"), F.sum("_d").alias("d")).where("c > 0")
+
+
 def ring_statistics(points: DataFrame, value: str, edges_km: list[float]) -> DataFrame:
     """Per distance ring: pairs, Moran's I (binary weights) and semivariance.
 
@@ -254,30 +270,24 @@ def ring_statistics(points: DataFrame, value: str, edges_km: list[float]) -> Dat
     z = points.select("lat", "lon", (F.col(value) - mu).alias("z"))
     sums = cut_lineage(z.groupBy("lat", "lon").agg(F.count("*").alias("n"), F.sum("z").alias("s"), F.sum(F.col("z") * F.col("z")).alias("q")))
     total = sums.agg(F.struct(F.sum("n").alias("n"), F.sum("q").alias("q")).alias("t")).scalar()
-    near = near_coordinates(sums, sums, edges_km[-1], half=True)
-    same = (F.col("lat") == F.col("blat")) & (F.col("lon") == F.col("blon"))
-    count = F.when(same, F.col("n") * (F.col("n") - 1)).otherwise(2 * F.col("n") * F.col("bn"))
-    cross = F.when(same, F.col("s") * F.col("s") - F.col("q")).otherwise(2.0 * F.col("s") * F.col("bs"))
-    square = F.when(same, 2.0 * (F.col("n") * F.col("q") - F.col("s") * F.col("s"))).otherwise(
-        2.0 * (F.col("bn") * F.col("q") + F.col("n") * F.col("bq") - 2.0 * F.col("s") * F.col("bs")))
-    ring = F.lit(None).cast("bigint")
-    for at in range(len(edges_km) - 2, -1, -1):
-        ring = F.when((F.col("km") >= edges_km[at]) & (F.col("km") < edges_km[at + 1]), F.lit(at).cast("bigint")).otherwise(ring)
-    rings = near.withColumns({"ring": ring, "_c": count, "_x": cross, "_d": square}).where(F.col("ring").isNotNull()).groupBy("ring").agg(
-        F.sum("_c").alias("c"), F.sum("_x").alias("x"), F.sum("_d").alias("d")).where("c > 0")
+    rings = ring_sums(sums, edges_km) if sums.count() > PAIRED_DIRECTLY else _direct_rings(sums, edges_km)
     return rings.select("ring", (F.col("c") / 2).cast("bigint").alias("n_pairs"), (total["n"] / F.col("c") * F.col("x") / total["q"]).alias("morans_i"), (F.col("d") / F.col("c") / 2.0).alias("semivariance"))
 
 
 def count_within(points: DataFrame, key: str, radius_km: float) -> DataFrame:
     """Other points within the radius of each point, counted per coordinate first."""
     sums = cut_lineage(points.groupBy("lat", "lon").agg(F.count("*").alias("n")))
-    around = near_coordinates(sums, sums, radius_km).groupBy("lat", "lon").agg(F.sum("bn").alias("_t"))
+    if sums.count() > PAIRED_DIRECTLY:
+        around = counts_within(sums, radius_km).withColumnRenamed("total", "_t")
+    else:
+        around = near_coordinates(sums, sums, radius_km).groupBy("lat", "lon").agg(F.sum("bn").alias("_t"))
     return points.join(around, ["lat", "lon"]).select(key, (F.col("_t") - 1).alias("n_near"))
 
 
 def outside_buffer(train: DataFrame, test: DataFrame, buffer_km: float) -> DataFrame:
-    """Training rows farther than the buffer from every test row."""
-    near = near_coordinates(train.select("lat", "lon").distinct(), test.select("lat", "lon").distinct(), buffer_km)
+    """Training rows farther than the buffer from every test row: those whose nearest test row is."""
+    tests = test.groupBy("lat", "lon").agg(F.lit(0).alias("_first"))
+    near = closest_coordinates(train, tests, 1).where(F.col("km") <= buffer_km)
     return train.join(near.select("lat", "lon").distinct(), ["lat", "lon"], "left_anti")
 
 

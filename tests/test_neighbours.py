@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserine.operators import neighbours as NB
+from tesserine.operators import pyramid as PY
 from tesserine.operators import spatial as S
 
 
@@ -91,3 +92,55 @@ def test_two_spots_of_two_hundred_thousand_points(spark):
 def test_curve_code_is_an_interleaving(spark):
     r = spark.createDataFrame([(0.0, 0.0), (0.0, 180.0), (90.0, 0.0)], "lat double, lon double").select(NB.curve_code("lat", "lon").alias("c")).collect()
     assert [x.c >= 0 for x in r] == [True] * 3 and len({x.c for x in r}) == 3
+
+
+def many(n, seed=0):
+    """Some copies of coordinates, one tight spot, the rest spread evenly."""
+    rng = np.random.default_rng(seed)
+    lat, lon = np.degrees(np.arcsin(rng.uniform(-1, 1, n))), rng.uniform(-180, 180, n)
+    lat[: n // 4], lon[: n // 4] = 48 + rng.normal(0, 0.2, n // 4), 2 + rng.normal(0, 0.2, n // 4)
+    lat[n // 4: n // 3], lon[n // 4: n // 3] = 10.0, 20.0
+    return pd.DataFrame({"id": np.arange(n), "lat": lat, "lon": lon, "v": rng.normal(size=n)})
+
+
+@pytest.mark.parametrize(("rings", "pairs"), [([0.0, 40.0, 3000.0, 9000.0], 64), ([100.0, 800.0, 21000.0], 9), ([0.0, 21000.0], 1)])
+def test_rings_from_the_pyramid_equal_all_pairs(spark, monkeypatch, rings, pairs):
+    monkeypatch.setattr(S, "PAIRED_DIRECTLY", 10)
+    monkeypatch.setattr(PY, "DIRECT_PAIRS", pairs)
+    f = many(300)
+    got = S.ring_statistics(spark.createDataFrame(f), "v", rings).toPandas().set_index("ring")
+    d = NB._km(*(f[c].to_numpy() for c in ("lat", "lon", "lat", "lon")))
+    z = f.v.to_numpy() - f.v.mean()
+    for r, (a, b) in enumerate(zip(rings, rings[1:], strict=False)):
+        w = ((d >= a) & (d < b) & ~np.eye(len(f), dtype=bool)).astype(float)
+        assert got.n_pairs[r] == w.sum() / 2
+        assert got.morans_i[r] == pytest.approx(len(f) / w.sum() * (z @ w @ z) / (z @ z))
+        i, j = np.nonzero(np.triu(w))
+        assert got.semivariance[r] == pytest.approx(0.5 * np.mean((z[i] - z[j]) ** 2))
+
+
+@pytest.mark.parametrize("radius", [0.0, 30.0, 2500.0, 21000.0])
+def test_counts_from_the_pyramid_equal_all_pairs(spark, monkeypatch, radius):
+    monkeypatch.setattr(S, "PAIRED_DIRECTLY", 10)
+    monkeypatch.setattr(PY, "DIRECT_PAIRS", 25)
+    f = many(240, seed=3)
+    got = S.count_within(spark.createDataFrame(f), "id", radius).toPandas().sort_values("id")["n_near"].to_numpy()
+    d = NB._km(*(f[c].to_numpy() for c in ("lat", "lon", "lat", "lon")))
+    np.testing.assert_array_equal(got, (d <= radius).sum(axis=1) - 1)
+
+
+def test_two_spots_meet_as_whole_cubes(spark):
+    f = two_spots(200_000).assign(v=lambda x: np.sin(x.id))
+    coords = PY.coded(spark.createDataFrame(f).groupBy("lat", "lon").agg(F.count("*").alias("n")))
+    whole, direct = PY.cube_pairs(PY.pyramid(coords, ["n"]), ["n"], [0.0, 500.0, 20_100.0], half=True)
+    assert direct.count() == 0 and whole.count() <= 10  # no coordinate is compared with another
+    got = S.ring_statistics(spark.createDataFrame(f), "v", [0.0, 500.0, 20_100.0]).toPandas().set_index("ring").n_pairs
+    assert got[0] == 2 * (100_000 * 99_999 // 2) and got[1] == 100_000 ** 2
+
+
+def test_buffers_need_only_the_nearest_test_row(spark):
+    f = many(200, seed=5)
+    df = spark.createDataFrame(f)
+    kept = {r.id for r in S.outside_buffer(df.where("id % 5 <> 0"), df.where("id % 5 = 0"), 700.0).collect()}
+    d = NB._km(*(f[c].to_numpy() for c in ("lat", "lon", "lat", "lon")))
+    assert kept == {i for i in range(200) if i % 5 and not (d[i, ::5] <= 700.0).any()}
