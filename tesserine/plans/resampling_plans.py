@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserine.functions import columns as C
+from tesserine.operators import influence as IN
 from tesserine.operators import linear as L
 from tesserine.operators import ordering as O
 from tesserine.operators import resample as RS
 from tesserine.operators import spatial as S
+from tesserine.plans import spatial_plans as XP
 from tesserine.plans import views as V
 from tesserine.plans.model_plans import DESIGN, GROUPS, design
 from tesserine.plans.registry import query
@@ -228,17 +230,41 @@ def bootstrap_summary(spark, sf):
  SELECT nb.out AS nk, round(sum(a.z*b.z)/8/any_value(zz.q), 6)+0.0 AS moran FROM nb JOIN z a ON a.out = nb.out AND a.nk = nb.i JOIN z b ON b.out = nb.out AND b.nk = nb.j JOIN zz ON zz.out = nb.out WHERE rk <= 8 GROUP BY 1""", ("natrend",))
 def moran_jackknife(spark, sf):
     p = unit_points(spark, sf)
-    # Leaving one unit out changes a neighbour list by at most one entry: nine candidates per unit suffice.
-    near = cut_lineage(S.nearest(p, p, 9, "nk", "nk").select(F.col("nk").alias("i"), F.col("neighbour").alias("j"), "rank"))
-    total = p.agg(F.struct(F.sum("warming").alias("s"), F.count("*").alias("n")).alias("t")).scalar()
-    left = p.select(F.col("nk").alias("out"), ((total["s"] - F.col("warming")) / (total["n"] - 1)).alias("mu"))
-    outs = left.agg(F.array_sort(F.collect_list(F.struct("out", "mu"))).alias("o")).scalar()  # one entry per unit
-    edges = near.withColumn("o", F.explode(outs)).select("i", "j", "rank", "o.out", "o.mu").where("out <> i and out <> j")
-    hit = near.select("i", F.col("j").alias("out"), F.col("rank").alias("gone"))
-    kept = edges.join(hit, ["i", "out"], "left").where(F.col("rank") <= F.when(F.coalesce("gone", F.lit(99)) <= 8, 9).otherwise(8))
-    v = p.select("nk", "warming")
-    cross = kept.join(v.select(F.col("nk").alias("i"), F.col("warming").alias("wi")), "i").join(v.select(F.col("nk").alias("j"), F.col("warming").alias("wj")), "j")
-    num = cross.groupBy("out").agg(F.sum((F.col("wi") - F.col("mu")) * (F.col("wj") - F.col("mu"))).alias("c"), F.first("mu").alias("mu"))
-    sq = p.agg(F.sum(F.col("warming") * F.col("warming"))).scalar()
-    den = left.join(v.withColumnRenamed("nk", "out"), "out").select("out", (sq - F.col("warming") * F.col("warming") - (total["n"] - 1) * F.col("mu") * F.col("mu")).alias("q"))
-    return num.join(den, "out").select(F.col("out").alias("nk"), r6(F.col("c") / 8 / F.col("q")).alias("moran"))
+    return IN.moran_without(p, "nk", "warming", IN.leave_each_out(p, "nk")).select(F.col("scenario").alias("nk"), r6("moran").alias("moran"))
+
+
+DROP_SIZES = [5, 10, 15, 20, 30]
+SITE_LISA = (f"{XP.dist_sql('strend', 'site', 'd')}, {XP.KNN_W}, z AS (SELECT site, ols_slope - avg(ols_slope) OVER () AS z FROM strend), "
+             + f"{XP.LISA.replace('nk', 'site')}, {XP.lisa_p_sql('site')}")
+_WITHOUT = """keep AS (SELECT sc.scenario, t.site, t.v FROM sc, (SELECT site, ols_slope AS v FROM strend) t WHERE NOT EXISTS (SELECT 1 FROM drops x WHERE x.scenario = sc.scenario AND x.site = t.site)),
+ kz AS (SELECT scenario, site, v - avg(v) OVER (PARTITION BY scenario) AS z, count(*) OVER (PARTITION BY scenario) AS n FROM keep),
+ kd AS (SELECT a.scenario, d.i, d.j, a.z*b.z AS zz, row_number() OVER (PARTITION BY a.scenario, d.i ORDER BY round(d.km, 4), d.j) AS rk FROM kz a JOIN d ON d.i = a.site JOIN kz b ON b.scenario = a.scenario AND b.site = d.j),
+ kq AS (SELECT scenario, any_value(n) AS n, sum(z*z) AS q FROM kz GROUP BY 1),
+ km AS (SELECT scenario, any_value(n) AS n, sum(zz)/least(8, any_value(n) - 1)/any_value(q) AS moran FROM kd JOIN kq USING (scenario) WHERE rk <= 8 GROUP BY 1)"""
+
+
+@query("B16_moran_drops", f"""WITH {SITE_LISA}, rk AS (SELECT site, row_number() OVER (ORDER BY abs(z) DESC, site) AS rk FROM z),
+ drops AS (SELECT 'drop_top_' || s AS scenario, site FROM rk, (SELECT unnest({DROP_SIZES}) AS s) WHERE rk <= s
+   UNION ALL SELECT 'drop_cluster_' || label, site FROM ll WHERE label IN ('HH', 'LL') UNION ALL SELECT 'drop_both_clusters', site FROM ll WHERE label IN ('HH', 'LL')),
+ sc AS (SELECT DISTINCT scenario FROM drops UNION ALL SELECT 'full_sample'), {_WITHOUT}
+ SELECT scenario, n, round(moran, 6)+0.0 AS moran FROM km""", ("strend",))
+def moran_drops(spark, sf):
+    p = XP.site_values(spark, sf)
+    edges = cut_lineage(S.knn_weights(p, "site", 8))
+    labels = S.local_moran_p(p, edges, "site", "v", XP.LOCAL_DRAWS)
+    drops = IN.largest_first(p, "site", "v", DROP_SIZES).unionByName(IN.label_clusters(labels, "site"))
+    full = S.moran(p, edges, "site", "v").select(F.lit("full_sample").alias("scenario"), F.col("statistic").alias("moran")).withColumn("n", p.agg(F.count("*")).scalar())
+    left = IN.moran_without(p, "site", "v", drops).select("scenario", "moran", "n")
+    return left.unionByName(full).select("scenario", F.col("n").cast("bigint").alias("n"), r6("moran").alias("moran"))
+
+
+@query("B16_jackknife_leaders", f"""WITH {XP.dist_sql('strend', 'site', 'd')}, drops AS (SELECT CAST(site AS VARCHAR) AS scenario, site FROM strend),
+ sc AS (SELECT scenario FROM drops UNION ALL SELECT 'full_sample'), {_WITHOUT}, f AS (SELECT moran AS m FROM km WHERE scenario = 'full_sample'),
+ g AS (SELECT CAST(scenario AS BIGINT) AS site, m - moran AS delta FROM km, f WHERE scenario <> 'full_sample')
+ SELECT site, round(delta, 6)+0.0 AS delta FROM g ORDER BY abs(round(delta, 9)) DESC, site LIMIT 10""", ("strend",))
+def jackknife_leaders(spark, sf):
+    p = XP.site_values(spark, sf)
+    full = S.moran(p, S.knn_weights(p, "site", 8), "site", "v").select("statistic").scalar()
+    left = IN.moran_without(p, "site", "v", IN.leave_each_out(p, "site")).where("moran is not null")
+    delta = left.select(F.col("scenario").cast("bigint").alias("site"), (full - F.col("moran")).alias("d"))
+    return delta.orderBy(F.desc(F.abs(F.round("d", 9))), "site").limit(10).select("site", r6("d").alias("delta"))

@@ -166,13 +166,32 @@ def local_moran(spark, sf):
     return S.local_moran(p, S.knn_weights(p, "nk", 8), "nk", "warming").select("nk", r6("local_i").alias("local_i"), r6("lag").alias("lag"), "quadrant")
 
 
-@query("P6_local_moran_p")
+def lisa_p_sql(key: str, k: int = 8, draws: int = LOCAL_DRAWS) -> str:
+    """Conditional permutation p of `li` over graph `e` with k neighbours each: other units' places are drawn by digests, each once (lp)."""
+    steps = []
+    for s in range(k):
+        place = f"(n - {k + 1 - s})"
+        drawn = f"CAST(floor(CAST('0x' || substr(md5('0|' || draw || '|' || {key} || '|' || {place}), 1, 12) AS BIGINT)/{float(16 ** 12)}*({place} + 1)) AS BIGINT)"
+        taken = f"CASE WHEN r{s} IN ({', '.join(f'p{q}' for q in range(s))}) THEN {place} ELSE r{s} END" if s else "r0"
+        steps.append(f"{drawn} AS r{s}, {taken} AS p{s}")
+    picked = ", ".join(f"p{s}" for s in range(k))
+    return f"""lx AS (SELECT {key}, z, row_number() OVER (ORDER BY {key}) - 1 AS pos, count(*) OVER () AS n FROM z),
+ lr AS (SELECT draw, {key}, z, pos, {', '.join(steps)} FROM lx, (SELECT unnest(range(1, {draws + 1})) AS draw)),
+ ls AS (SELECT {key}, draw, z, pos, unnest([{picked}]) AS idx FROM lr),
+ lm AS (SELECT ls.{key}, ls.draw, any_value(ls.z)*sum(o.z)/{k}/(SELECT avg(z*z) FROM z) AS sim FROM ls JOIN lx o ON o.pos = ls.idx + CASE WHEN ls.idx < ls.pos THEN 0 ELSE 1 END GROUP BY 1, 2),
+ lp AS (SELECT li.{key}, any_value(li.local_i) AS local_i, any_value(quadrant) AS quadrant, (count(*) FILTER (abs(sim) >= abs(li.local_i) - 1e-12) + 1)/{draws + 1.0} AS p_value FROM lm JOIN li ON li.{key} = lm.{key} GROUP BY 1),
+ ll AS (SELECT *, CASE WHEN p_value < 0.05 THEN quadrant ELSE 'ns' END AS label FROM lp)"""
+
+
+@query("P6_local_moran_p", f"WITH {DU}, {KNN_W}, {MORAN}, {LISA}, {lisa_p_sql('nk')} SELECT nk, round(local_i, 6)+0.0 AS local_i, quadrant, p_value, label FROM ll", ("natrend",))
 def local_moran_p(spark, sf):
     p = unit_points(spark, sf)
     return S.local_moran_p(p, S.knn_weights(p, "nk", 8), "nk", "warming", LOCAL_DRAWS, max_rows=V.unit_bound(spark, sf)).select("nk", r6("local_i").alias("local_i"), "quadrant", "p_value", "label")
 
 
-@query("P14_local_moran_fdr")
+@query("P14_local_moran_fdr", f"""WITH {DU}, {KNN_W}, {MORAN}, {LISA}, {lisa_p_sql('nk')},
+ c AS (SELECT *, p_value*count(*) OVER ()/row_number() OVER (ORDER BY p_value, nk) AS c FROM ll), f AS (SELECT *, least(min(c) OVER (ORDER BY p_value DESC RANGE UNBOUNDED PRECEDING), 1.0) AS q FROM c)
+ SELECT nk, label, p_value, round(q, 6)+0.0 AS q_value, CASE WHEN q <= 0.05 THEN quadrant ELSE 'ns' END AS fdr_label FROM f""", ("natrend",))
 def local_moran_fdr(spark, sf):
     p, n = unit_points(spark, sf), V.unit_bound(spark, sf)
     local = cut_lineage(S.local_moran_p(p, S.knn_weights(p, "nk", 8), "nk", "warming", LOCAL_DRAWS, max_rows=n))
