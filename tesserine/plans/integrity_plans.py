@@ -9,6 +9,7 @@ from tesserine.operators import checks as Q
 from tesserine.operators import linear as L
 from tesserine.operators import ordering as O
 from tesserine.operators import panel as P
+from tesserine.operators import row_orders as RO
 from tesserine.operators import spatial as S
 from tesserine.operators.tables import years_of
 from tesserine.plans import model_plans as M
@@ -287,3 +288,56 @@ def cached_field(spark, sf):
     folder = T.shared_folder(spark, "field")
     V.cellfit(spark, sf).write.parquet(folder)
     return T.read_required(spark, folder, ["ilat", "ilon", "slope"]).withColumn("slope", r6("slope"))
+
+
+_ORDERS = """w AS (SELECT site, nk, lat, lon, row_number() OVER (ORDER BY nk, lat, lon, site) - 1 AS ident, row_number() OVER (ORDER BY site) - 1 AS ser, row_number() OVER (ORDER BY nk, site) - 1 AS grp, count(*) OVER () AS n FROM {src}),
+ named AS (SELECT 'serialized' AS order_name, site, ident, lpad(CAST(ser AS VARCHAR), 20, '0') AS by_ FROM w UNION ALL SELECT 'group_first', site, ident, lpad(CAST(grp AS VARCHAR), 20, '0') FROM w
+   UNION ALL SELECT 'identity_sorted', site, ident, lpad(CAST(ident AS VARCHAR), 20, '0') FROM w UNION ALL SELECT 'reverse_identity', site, ident, lpad(CAST(n - 1 - ident AS VARCHAR), 20, '0') FROM w
+   UNION ALL SELECT 'seed_' || s, site, ident, md5(s || '|' || site) FROM w, (SELECT unnest(range(10)) AS s)),
+ ord AS (SELECT order_name, site, ident, row_number() OVER (PARTITION BY order_name ORDER BY by_, ident) - 1 AS pos FROM named)"""
+
+
+def _orders(units):
+    return RO.row_orders(units.select("site", "nk", "lat", "lon"), "site", ["site"], ["nk"], ["nk", "lat", "lon", "site"])
+
+
+@query("T10_row_orders", f"""WITH {_ORDERS.format(src='sites')} SELECT order_name, count(*) AS n, CAST(sum((pos + 1)*site) AS BIGINT) AS checksum, CAST(arg_min(site, pos) AS BIGINT) AS first_site,
+ CAST(arg_max(site, pos) AS BIGINT) AS last_site, count(*) FILTER (pos = ident) AS n_in_place FROM ord GROUP BY 1""", ("sites",))
+def row_orders(spark, sf):
+    o = _orders(V.sites(spark, sf))
+    return o.groupBy("order_name").agg(
+        F.count("*").alias("n"), F.sum((F.col("position") + 1) * F.col("site")).cast("bigint").alias("checksum"), F.min_by("site", "position").cast("bigint").alias("first_site"),
+        F.max_by("site", "position").cast("bigint").alias("last_site"), F.count_if(F.col("position") == F.col("identity")).alias("n_in_place"))
+
+
+def _validation(spark, sf):
+    u = cut_lineage(XP.site_values(spark, sf))
+    return RO.order_validation(u, _orders(u), "site", "v")
+
+
+VALIDATION = f"""{_ORDERS.format(src='strend')}, {XP.dist_sql('strend', 'site', 'd')}, z AS (SELECT site, ols_slope - avg(ols_slope) OVER () AS z FROM strend), q AS (SELECT sum(z*z) AS q FROM z),
+ names AS (SELECT DISTINCT order_name FROM ord),
+ gp AS (SELECT 'position' AS policy, order_name, i, j FROM (SELECT o.order_name, d.i, d.j, row_number() OVER (PARTITION BY o.order_name, d.i ORDER BY round(d.km, 4), o.pos) AS rk FROM d JOIN ord o ON o.site = d.j) WHERE rk <= 8),
+ gi AS (SELECT 'identity' AS policy, order_name, i, j FROM (SELECT d.i, d.j, row_number() OVER (PARTITION BY d.i ORDER BY round(d.km, 4), w.ident) AS rk FROM d JOIN w ON w.site = d.j), names WHERE rk <= 8),
+ g AS (SELECT * FROM gp UNION ALL SELECT * FROM gi),
+ same AS (SELECT a.policy, a.order_name, a.i, count(b.j) AS c FROM g a LEFT JOIN g b ON b.policy = a.policy AND b.order_name = 'serialized' AND b.i = a.i AND b.j = a.j GROUP BY 1, 2, 3),
+ ov AS (SELECT policy, order_name, count(*) FILTER (c < 8) AS changed_rows, avg(c/8.0) AS mean_overlap FROM same GROUP BY 1, 2),
+ perm AS (SELECT draw, slot, row_number() OVER (PARTITION BY draw ORDER BY md5('0|' || draw || '|' || slot), slot) - 1 AS source FROM (SELECT ident AS slot FROM w), (SELECT unnest(range(1, 200)) AS draw)),
+ ix AS (SELECT 'positional' AS randomization, order_name, site, pos AS slot FROM ord UNION ALL SELECT 'identity', order_name, site, ident FROM ord),
+ vals AS (SELECT a.randomization, a.order_name, p.draw, a.site, z.z AS v FROM ix a JOIN perm p ON p.slot = a.slot JOIN ix b ON b.randomization = a.randomization AND b.order_name = a.order_name AND b.slot = p.source JOIN z ON z.site = b.site),
+ st AS (SELECT g.policy, g.order_name, a.randomization, a.draw, sum(a.v*b.v)/8/any_value(q.q) AS s FROM g JOIN vals a ON a.order_name = g.order_name AND a.site = g.i JOIN vals b ON b.order_name = g.order_name AND b.randomization = a.randomization AND b.draw = a.draw AND b.site = g.j, q GROUP BY 1, 2, 3, 4),
+ ob AS (SELECT g.policy, g.order_name, sum(a.z*b.z)/8/any_value(q.q) AS moran FROM g JOIN z a ON a.site = g.i JOIN z b ON b.site = g.j, q GROUP BY 1, 2),
+ pv AS (SELECT st.policy, st.order_name, st.randomization, any_value(ob.moran) AS moran, (count(*) FILTER (abs(s) >= abs(ob.moran) - 1e-12) + 1)/200.0 AS p_value FROM st JOIN ob USING (policy, order_name) GROUP BY 1, 2, 3)"""
+
+
+@query("P17_order_validation", f"WITH {VALIDATION} SELECT policy, order_name, randomization, round(moran, 6)+0.0 AS moran, p_value, p_value < 0.05 AS rejects, changed_rows, round(mean_overlap, 6) AS mean_overlap FROM pv JOIN ov USING (policy, order_name)", ("strend",))
+def order_validation(spark, sf):
+    return _validation(spark, sf).select(
+        "policy", "order_name", "randomization", C.r6("moran").alias("moran"), "p_value", "rejects", "changed_rows", F.round("mean_overlap", 6).alias("mean_overlap"))
+
+
+@query("P17_order_acceptance", f"""WITH {VALIDATION}, f AS (SELECT * FROM pv JOIN ov USING (policy, order_name) WHERE policy = 'identity' AND randomization = 'identity')
+ SELECT count(*) AS n_orders, sum(changed_rows) = 0 AS graph_identical, max(moran) - min(moran) <= 1e-12 AS i_equal, count(DISTINCT p_value) = 1 AS p_exact,
+   sum(changed_rows) = 0 AND max(moran) - min(moran) <= 1e-12 AND count(DISTINCT p_value) = 1 AS accepted FROM f""", ("strend",))
+def order_acceptance(spark, sf):
+    return RO.acceptance(_validation(spark, sf)).select("n_orders", "graph_identical", (F.col("i_range") <= 1e-12).alias("i_equal"), "p_exact", "accepted")
