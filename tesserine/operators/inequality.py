@@ -14,7 +14,12 @@ def dispersion(df: DataFrame, value: str, weight: Column | None = None) -> DataF
     x = F.col(value)
     w = F.lit(1.0) if weight is None else weight
     mean = F.sum(w * x) / F.sum(w)
-    var = F.var_pop(value) if weight is None else F.greatest(F.sum(w * x * x) / F.sum(w) - mean * mean, F.lit(0.0))
+    if weight is None:
+        var = F.var_pop(value)
+    else:  # sums about a value of the column, so that a large mean does not swallow a small spread
+        start = df.agg(F.avg(value)).scalar()
+        shift = F.sum(w * (x - start)) / F.sum(w)
+        var = F.greatest(F.sum(w * (x - start) * (x - start)) / F.sum(w) - shift * shift, F.lit(0.0))
     return df.agg(F.count(value).alias("n"), mean.alias("mean"), var.alias("variance"),
                   (F.sqrt(var) / F.nullif(mean, F.lit(0.0))).alias("cv"))
 

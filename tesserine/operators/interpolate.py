@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserine.operators.spatial import nearest, ring_statistics
+from tesserine.session import cut_lineage
 
 
 def idw(neighbours: DataFrame, query: str, value: str, power: float = 2.0) -> DataFrame:
@@ -114,3 +115,50 @@ def neighbour_values(queries: DataFrame, points: DataFrame, k: int, qkey: str, p
     right = points.select(F.col(pkey).alias(name), "lat", "lon", value)
     left = queries.select(qkey, F.col("lat").alias("qlat"), F.col("lon").alias("qlon"))
     return near.join(right, name).join(left, qkey)
+
+
+def left_out_neighbours(points: DataFrame, key: str, value: str, k: int) -> DataFrame:
+    """(left_out, q, rank, km, qlat, qlon, lat, lon, v): neighbours of every point with its whole location or only its row left out.
+
+    k is clamped so that every point still has a full list: to all points without the largest location, or without one row.
+    """
+    size = points.groupBy("lat", "lon").agg(F.count("*").alias("c")).agg(F.sum("c").alias("n"), F.max("c").alias("m")).first()
+    others = points.select(F.col(key).alias("_o"), "lat", "lon", F.col(value).alias("v"))
+    out = None
+    for name, exclude, gone in (("location", "coordinate", size["m"] or 0), ("row", "self", 1)):
+        wanted = min(k, (size["n"] or 0) - gone)
+        if wanted < 1:
+            raise ValueError(f"no neighbours are left to predict from: {size['n']} points, {gone} left out")
+        if exclude == "self":
+            near = nearest(points.select(F.col(key).alias("_o"), "lat", "lon"), others.select("_o", "lat", "lon"), wanted, "_o", "_o", "self").select(F.col("_o").alias("q"), F.col("neighbour").alias("_o"), "km", "rank")
+        else:
+            near = nearest(points.select(F.col(key).alias("q"), "lat", "lon"), others, wanted, "q", "_o", exclude)
+        rows = near.join(others, "_o").join(points.select(F.col(key).alias("q"), F.col("lat").alias("qlat"), F.col("lon").alias("qlon")), "q")
+        rows = rows.select(F.lit(name).alias("left_out"), "q", "rank", "km", "qlat", "qlon", "lat", "lon", "v")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def interpolation_scores(points: DataFrame, key: str, value: str, k: int, model: DataFrame) -> DataFrame:
+    """(left_out, method, n, rmse, mae) of inverse distance and kriging, for both ways of leaving out, in one plan.
+
+    The variogram `model` is fitted on all points; leaving a location out removes its twins from the lists, not that dependence.
+    """
+    near = cut_lineage(left_out_neighbours(points, key, value, k).withColumn("_q", F.struct("left_out", "q")))
+    both = idw(near, "_q", "v").select("_q", "idw").join(ordinary_kriging(near, "_q", "v", model).select("_q", "kriging"), "_q")
+    truth = points.select(F.col(key).alias("q"), F.col(value).alias("_t"))
+    long = both.select("_q.left_out", "_q.q", "idw", "kriging").join(truth, "q").unpivot(["left_out", "_t"], ["idw", "kriging"], "method", "p").withColumn("e", F.col("p") - F.col("_t"))
+    return long.groupBy("left_out", "method").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg(F.abs("e")).alias("mae"))
+
+
+def best_surface(points: DataFrame, key: str, value: str, nodes: DataFrame, node: str, k: int, model: DataFrame) -> tuple[DataFrame, str, DataFrame]:
+    """(scores, winner, surface): the method with the smaller error with locations left out predicts the nodes (node, method, value).
+
+    Equal errors go to inverse distance.
+    """
+    scores = cut_lineage(interpolation_scores(points, key, value, k, model))
+    error = {r["method"]: r["rmse"] for r in scores.where("left_out = 'location'").collect()}  # two rows
+    winner = "kriging" if error["kriging"] < error["idw"] else "idw"
+    near = neighbour_values(nodes, points, k, node, key, value, None)
+    made = idw(near, node, value).select(node, F.col("idw").alias("value")) if winner == "idw" else ordinary_kriging(near, node, value, model).select(node, F.col("kriging").alias("value"))
+    return scores, winner, made.select(node, F.lit(winner).alias("method"), "value")

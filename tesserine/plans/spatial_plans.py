@@ -17,7 +17,7 @@ from tesserine.session import cut_lineage
 
 r6 = C.r6
 DRAWS = 199
-#: Draws of local statistics: a false-discovery label needs p-values well below a tenth of its level.
+#: Draws of all other statistics but the centroid one: a false-discovery label needs p-values well below a tenth of its level.
 LOCAL_DRAWS = 999
 
 
@@ -56,7 +56,8 @@ def perm_sql(stat: str, draws: int = DRAWS) -> str:
  ps AS (SELECT a.draw, {stat} AS s FROM e JOIN pz a ON a.nk = e.i JOIN pz b ON b.nk = e.j AND b.draw = a.draw GROUP BY 1)"""
 
 
-PERM_MORAN = perm_sql("(SELECT count(*) FROM z)/(SELECT sum(w) FROM e)*sum(e.w*a.z*b.z)/(SELECT sum(z*z) FROM z)")
+PERM_STAT = "(SELECT count(*) FROM z)/(SELECT sum(w) FROM e)*sum(e.w*a.z*b.z)/(SELECT sum(z*z) FROM z)"
+PERM_MORAN, PERM_MORAN_999 = perm_sql(PERM_STAT), perm_sql(PERM_STAT, LOCAL_DRAWS)
 GEARY_STAT = "((SELECT count(*) FROM z) - 1)*sum(e.w*(a.z-b.z)*(a.z-b.z))/(2.0*(SELECT sum(w) FROM e)*(SELECT sum(z*z) FROM z))"
 
 
@@ -128,10 +129,10 @@ def moran_centroid_knn(spark, sf):
     return _moran_row(S.moran(p, S.knn_weights(p, "nk", 8), "nk", "warming", DRAWS, max_rows=V.unit_bound(spark, sf)))
 
 
-@query("P4_moran_band", f"WITH {DU}, {BAND.format(cut=4000)}, {MORAN}, {PERM_MORAN}, o AS (SELECT {MORAN_STAT} AS s) SELECT round(any_value(o.s), 6)+0.0 AS statistic, round(-1.0/((SELECT count(*) FROM z)-1), 6) AS expected, round((count(*) FILTER (WHERE abs(ps.s) >= abs(o.s) - 1e-12) + 1)/{DRAWS + 1.0}, 6) AS p_value, round((any_value(o.s) - avg(ps.s))/stddev_samp(ps.s), 6)+0.0 AS z_score, '' AS reason FROM ps, o", ("natrend",))
+@query("P4_moran_band", f"WITH {DU}, {BAND.format(cut=4000)}, {MORAN}, {PERM_MORAN_999}, o AS (SELECT {MORAN_STAT} AS s) SELECT round(any_value(o.s), 6)+0.0 AS statistic, round(-1.0/((SELECT count(*) FROM z)-1), 6) AS expected, round((count(*) FILTER (WHERE abs(ps.s) >= abs(o.s) - 1e-12) + 1)/{LOCAL_DRAWS + 1.0}, 6) AS p_value, round((any_value(o.s) - avg(ps.s))/stddev_samp(ps.s), 6)+0.0 AS z_score, '' AS reason FROM ps, o", ("natrend",))
 def moran_band(spark, sf):
     p = unit_points(spark, sf)
-    return _moran_row(S.moran(p, S.band_weights(p, "nk", 4000.0), "nk", "warming", DRAWS, max_rows=V.unit_bound(spark, sf)))
+    return _moran_row(S.moran(p, S.band_weights(p, "nk", 4000.0), "nk", "warming", LOCAL_DRAWS, max_rows=V.unit_bound(spark, sf)))
 
 
 @query("P4_moran_sites", f"WITH {dist_sql('strend', 'site', 'd')}, {KNN_W}, z AS (SELECT site AS nk, ols_slope - avg(ols_slope) OVER () AS z FROM strend) SELECT round({MORAN_STAT}, 6)+0.0 AS statistic, count(*) AS n FROM z", ("strend",))
@@ -148,13 +149,13 @@ def moran_unavailable(spark, sf):
     return m.select("reason").withColumn("n", p.agg(F.count("*")).scalar())
 
 
-PERM_GEARY = perm_sql(GEARY_STAT)
+PERM_GEARY = perm_sql(GEARY_STAT, LOCAL_DRAWS)
 
 
-@query("P5_geary", f"WITH {DU}, {KNN_W}, {MORAN}, {PERM_GEARY}, o AS (SELECT {GEARY_STAT} AS s FROM e JOIN z a ON a.nk = e.i JOIN z b ON b.nk = e.j) SELECT round(any_value(o.s), 6)+0.0 AS statistic, round((count(*) FILTER (WHERE abs(ps.s - 1) >= abs(o.s - 1) - 1e-12) + 1)/{DRAWS + 1.0}, 6) AS p_value FROM ps, o", ("natrend",))
+@query("P5_geary", f"WITH {DU}, {KNN_W}, {MORAN}, {PERM_GEARY}, o AS (SELECT {GEARY_STAT} AS s FROM e JOIN z a ON a.nk = e.i JOIN z b ON b.nk = e.j) SELECT round(any_value(o.s), 6)+0.0 AS statistic, round((count(*) FILTER (WHERE abs(ps.s - 1) >= abs(o.s - 1) - 1e-12) + 1)/{LOCAL_DRAWS + 1.0}, 6) AS p_value FROM ps, o", ("natrend",))
 def geary(spark, sf):
     p = unit_points(spark, sf)
-    return S.geary(p, S.knn_weights(p, "nk", 8), "nk", "warming", DRAWS, max_rows=V.unit_bound(spark, sf)).select(r6("statistic").alias("statistic"), r6("p_value").alias("p_value"))
+    return S.geary(p, S.knn_weights(p, "nk", 8), "nk", "warming", LOCAL_DRAWS, max_rows=V.unit_bound(spark, sf)).select(r6("statistic").alias("statistic"), r6("p_value").alias("p_value"))
 
 
 LISA = "lg AS (SELECT e.i AS nk, sum(e.w*z.z) AS lag FROM e JOIN z ON z.nk = e.j GROUP BY 1), li AS (SELECT z.nk, z.z, lg.lag, z.z*lg.lag/(SELECT avg(z*z) FROM z) AS local_i, CASE WHEN z.z >= 0 AND lag >= 0 THEN 'HH' WHEN z.z >= 0 THEN 'HL' WHEN lag >= 0 THEN 'LH' ELSE 'LL' END AS quadrant FROM z JOIN lg ON lg.nk = z.nk)"
@@ -265,12 +266,12 @@ def weight_sweep(spark, sf):
     return out
 
 
-@query("P18_supplied_permutations", f"WITH {DU}, {KNN_W}, {MORAN}, {PERM_MORAN} SELECT draw, round(s, 6)+0.0 AS statistic FROM ps", ("natrend",))
+@query("P18_supplied_permutations", f"WITH {DU}, {KNN_W}, {MORAN}, {PERM_MORAN_999} SELECT draw, round(s, 6)+0.0 AS statistic FROM ps", ("natrend",))
 def supplied_permutations(spark, sf):
     p = unit_points(spark, sf)
     mu = p.agg(F.avg("warming")).scalar()
     z = cut_lineage(p.select("nk", (F.col("warming") - mu).alias("z")))
-    table = K.permuted(z, "nk", "z", DRAWS, 0, V.unit_bound(spark, sf))
+    table = K.permuted(z, "nk", "z", LOCAL_DRAWS, 0, V.unit_bound(spark, sf))
     edges = S.knn_weights(p, "nk", 8)
     total = z.agg(F.struct(F.count("*").alias("n"), F.sum(F.col("z") * F.col("z")).alias("q")).alias("t")).scalar()
     a = table.select("draw", F.col("nk").alias("i"), F.col("permuted").alias("za"))
@@ -373,6 +374,42 @@ def land_surface(spark, sf):
     return N.idw(N.neighbour_values(nodes, v, 8, "node", "site", "v", None), "node", "v").select("node", r6("idw").alias("value"))
 
 
+def _land_nodes(spark, sf):
+    return V.mask(spark, sf).where("nk is not null").select((F.col("ilat") * 36 + F.col("ilon")).alias("node"), F.col("clat").alias("lat"), F.col("clon").alias("lon"))
+
+
+@query("P25_winning_surface")
+def winning_surface(spark, sf):
+    """The surface of whichever method has the smaller error with locations left out."""
+    v = site_values(spark, sf)
+    _, _, surface = N.best_surface(v, "site", "v", _land_nodes(spark, sf), "node", 10, cut_lineage(N.variogram(v, "v", 5000.0)))
+    return surface.select("node", "method", r6("value", 4).alias("value"))
+
+
+@query("P22_left_out_scores")
+def left_out_scores(spark, sf):
+    v = site_values(spark, sf)
+    s = N.interpolation_scores(v, "site", "v", 10, cut_lineage(N.variogram(v, "v", 5000.0)))
+    return s.select("left_out", "method", "n", r6("rmse").alias("rmse"), r6("mae").alias("mae"))
+
+
+_LEFT_OUT = f"""{dist_sql('strend', 'site', 'd')}, t AS (SELECT site, lat, lon, ols_slope AS v FROM strend), dd AS (SELECT d.i, d.j, d.km, a.lat = b.lat AND a.lon = b.lon AS twin FROM d JOIN t a ON a.site = d.i JOIN t b ON b.site = d.j),
+ kk AS (SELECT least(10, sum(c) - max(c)) AS k FROM (SELECT count(*) AS c FROM t GROUP BY lat, lon)),
+ w AS (SELECT 'location' AS left_out, i, j, km, row_number() OVER (PARTITION BY i ORDER BY round(km, 4), j) AS rk, (SELECT k FROM kk) AS k FROM dd WHERE NOT twin
+   UNION ALL SELECT 'row', i, j, km, row_number() OVER (PARTITION BY i ORDER BY round(km, 4), j), (SELECT least(10, count(*) - 1) FROM t) FROM dd),
+ pr AS (SELECT left_out, i, CASE WHEN min(km) = 0 THEN avg(CASE WHEN km = 0 THEN t.v END) ELSE sum(t.v/nullif(km*km, 0))/sum(1/nullif(km*km, 0)) END AS p FROM w JOIN t ON t.site = w.j WHERE rk <= k GROUP BY 1, 2)"""
+
+
+@query("P22_left_out_idw", f"WITH {_LEFT_OUT} SELECT left_out, count(*) AS n, round(sqrt(avg((p - t.v)*(p - t.v))), 6) AS rmse, round(avg(abs(p - t.v)), 6) AS mae FROM pr JOIN t ON t.site = pr.i GROUP BY 1", ("strend",))
+def left_out_idw(spark, sf):
+    """Inverse distance with the location or only the row left out."""
+    v = site_values(spark, sf)
+    near = N.left_out_neighbours(v, "site", "v", 10).withColumn("_q", F.struct("left_out", "q"))
+    e = F.col("idw") - F.col("v")
+    both = N.idw(near, "_q", "v").select("_q.left_out", F.col("_q.q").alias("site"), "idw").join(v.select("site", "v"), "site")
+    return both.groupBy("left_out").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"), F.round(F.avg(F.abs(e)), 6).alias("mae"))
+
+
 # -- folds -------------------------------------------------------------------------
 
 @query("P24_grouped_random_folds", """WITH g AS (SELECT lat, lon, (row_number() OVER (ORDER BY md5('0|' || CAST(CAST(lat AS BIGINT) AS VARCHAR) || '|' || CAST(CAST(lon AS BIGINT) AS VARCHAR))) - 1) % 5 AS fold FROM (SELECT DISTINCT lat, lon FROM sites)) SELECT s.site, g.fold FROM sites s JOIN g ON g.lat = s.lat AND g.lon = s.lon""", ("sites",))

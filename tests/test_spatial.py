@@ -247,3 +247,50 @@ def test_local_p_values_come_from_the_reference_draws(spark):
 
     p = [r.p_value for r in QUERIES["P14_local_moran_fdr"](spark, "/root/testdata/sf0.001").collect() if r.p_value is not None]
     assert p and all(abs(x * 1000 - round(x * 1000)) < 1e-9 for x in p) and any(abs(x * 200 - round(x * 200)) > 1e-9 for x in p)
+
+
+def test_left_out_scores_and_the_winning_surface(spark):
+    rng = np.random.default_rng(11)
+    f = clustered(90, seed=11)
+    f["v"] = np.sin(np.radians(f.lat * 2)) + rng.normal(size=len(f)) * 0.01
+    df = spark.createDataFrame(f)
+    near = N.left_out_neighbours(df, "id", "v", 6).toPandas()
+    d = np.round(km(f.lat.to_numpy()[:, None], f.lon.to_numpy()[:, None], f.lat.to_numpy(), f.lon.to_numpy()), 4)
+    twin = (f.lat.to_numpy()[:, None] == f.lat.to_numpy()) & (f.lon.to_numpy()[:, None] == f.lon.to_numpy())
+    predictions = {}
+    for name, gone in (("location", twin), ("row", np.eye(len(f), dtype=bool))):
+        rows = near[near.left_out == name]
+        predictions[name] = np.empty(len(f))
+        for i in range(len(f)):
+            cand = np.flatnonzero(~gone[i])
+            want = cand[np.lexsort((cand, d[i, cand]))][:6]
+            got = rows[rows.q == i].sort_values("rank")
+            np.testing.assert_allclose(got.v, f.v.to_numpy()[want])
+            dist = km(f.lat[i], f.lon[i], f.lat.to_numpy()[want], f.lon.to_numpy()[want])
+            v = f.v.to_numpy()[want]
+            predictions[name][i] = v[dist == 0].mean() if (dist == 0).any() else np.sum(v / dist**2) / np.sum(1 / dist**2)
+    model = spark.createDataFrame([(0.0, 1.0, 9000.0)], "nugget double, psill double, range_km double")
+    nodes = spark.createDataFrame([(k, k * 7 - 60.5, k * 17 - 150.5) for k in range(18)], "node long, lat double, lon double")
+    scores, winner, surface = N.best_surface(df, "id", "v", nodes, "node", 6, model)
+    table = {(r.left_out, r.method): r for r in scores.collect()}
+    for name, p in predictions.items():
+        assert table[name, "idw"].rmse == pytest.approx(np.sqrt(np.mean((p - f.v) ** 2))) and table[name, "idw"].n == len(f)
+    assert table["row", "idw"].rmse < table["location", "idw"].rmse  # twins leak the answer
+    # a smooth field with a fitting variogram is kriged better: the surface follows
+    assert winner == "kriging" and table["location", "kriging"].rmse < table["location", "idw"].rmse
+    assert {r.method for r in surface.collect()} == {"kriging"} and surface.count() == 18
+    # nothing but nugget makes kriging a plain mean: inverse distance wins and the surface is its own
+    flat = spark.createDataFrame([(1.0, 0.0, 9000.0)], "nugget double, psill double, range_km double")
+    _, winner, surface = N.best_surface(df, "id", "v", nodes, "node", 6, flat)
+    q = np.array([[r.node, r.value] for r in surface.orderBy("node").collect()])
+    assert winner == "idw"
+    for k, value in q:
+        dist = km(k * 7 - 60.5, k * 17 - 150.5, f.lat.to_numpy(), f.lon.to_numpy())
+        best = np.lexsort((f.id.to_numpy(), np.round(dist, 4)))[:6]
+        assert value == pytest.approx(np.sum(f.v.to_numpy()[best] / dist[best] ** 2) / np.sum(1 / dist[best] ** 2))
+
+
+def test_left_out_lists_need_a_neighbour(spark):
+    same = spark.createDataFrame([(1, 0.0, 0.0, 1.0), (2, 0.0, 0.0, 2.0)], "id long, lat double, lon double, v double")
+    with pytest.raises(ValueError, match="no neighbours"):
+        N.left_out_neighbours(same, "id", "v", 3)

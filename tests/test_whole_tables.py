@@ -56,3 +56,9 @@ def test_years_come_from_the_data(spark):
 def test_month_ranges_reach_the_scan(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_shipdate" in plan
+
+
+def test_weighted_variance_of_values_with_a_large_mean(spark):
+    x, w = np.array([1e9 + 1, 1e9 + 2, 1e9 + 4]), np.array([1.0, 3.0, 2.0])
+    r = dispersion(spark.createDataFrame(list(zip(x.tolist(), w.tolist(), strict=True)), "v double, w double"), "v", F.col("w")).first()
+    assert r["variance"] == pytest.approx(np.average((x - np.average(x, weights=w)) ** 2, weights=w), rel=1e-9)
