@@ -17,6 +17,7 @@ from tesserine.session import cut_lineage
 
 #: Seeded orders beside the four sorted ones.
 SEEDS = 10
+ORDERS = ("serialized", "group_first", "identity_sorted", "reverse_identity", *(f"seed_{s}" for s in range(SEEDS)))
 #: Coordinates found at once beyond the k wanted.
 SPARE = 3
 
@@ -31,9 +32,8 @@ def row_orders(units: DataFrame, key: str, serial: list[str], first: list[str],
     base = ranked(identity, "_ident").join(ranked(serial, "_ser"), key).join(ranked([*first, *serial], "_grp"), key)
     base = cut_lineage(base.withColumn("_n", F.lit(units.count())))
     number = lambda c: F.lpad(c.cast("string"), 20, "0")
-    entries = [("serialized", number(F.col("_ser"))), ("group_first", number(F.col("_grp"))), ("identity_sorted", number(F.col("_ident"))),
-               ("reverse_identity", number(F.col("_n") - 1 - F.col("_ident")))]
-    entries += [(f"seed_{s}", F.md5(F.concat_ws("|", F.lit(s), F.col(key)))) for s in range(SEEDS)]
+    by = [number(F.col("_ser")), number(F.col("_grp")), number(F.col("_ident")), number(F.col("_n") - 1 - F.col("_ident")), *[F.md5(F.concat_ws("|", F.lit(s), F.col(key))) for s in range(SEEDS)]]
+    entries = zip(ORDERS, by, strict=True)
     spread = base.select(key, "_ident", F.inline(F.array(*[F.struct(F.lit(n).alias("order_name"), c.alias("_by")) for n, c in entries])))
     placed = row_ids_within(spread, "order_name", ["_by", "_ident"], "position")
     return placed.select("order_name", key, F.col("position").cast("bigint").alias("position"), F.col("_ident").cast("bigint").alias("identity"))
@@ -97,9 +97,10 @@ def order_validation(units: DataFrame, orders: DataFrame, key: str, value: str,
     mean = units.agg(F.avg(value)).scalar()
     z = cut_lineage(units.select(key, (F.col(value) - mean).alias("z")))
     total = z.agg(F.struct(F.sum(F.col("z") * F.col("z")).alias("q"), F.count("*").alias("n")).alias("t")).scalar()
-    names = orders.select("order_name").distinct()
+    names = F.explode(F.array(*[F.lit(n) for n in ORDERS])).alias("order_name")
     # graphs of every case: the identity graph stands for all orders
     identity = graphs.where("policy = 'identity'").drop("order_name")
+    spread = identity.select("i", "j", names)
     differs = graphs.where("policy = 'position'")
     base = differs.where("order_name = 'serialized'").select("i", "j", F.lit(1).alias("_same"))
     overlap = differs.join(base, ["i", "j"], "left").groupBy("order_name", "i").agg(F.count("_same").alias("_c"), F.count("*").alias("_k")).groupBy("order_name").agg(
@@ -131,8 +132,8 @@ def order_validation(units: DataFrame, orders: DataFrame, key: str, value: str,
     cases = [
         statistics(differs, fixed, [], ["order_name"]).select(*both("position", "identity")),
         statistics(differs, moving, ["order_name"], ["order_name"]).select(*both("position", "positional")),
-        statistics(identity.join(names), fixed, [], ["order_name"]).select(*both("identity", "identity")),
-        statistics(identity.join(names), moving, ["order_name"], ["order_name"]).select(*both("identity", "positional")),
+        statistics(spread, fixed, [], ["order_name"]).select(*both("identity", "identity")),
+        statistics(spread, moving, ["order_name"], ["order_name"]).select(*both("identity", "positional")),
     ]
     every = cut_lineage(cases[0].unionByName(cases[1]).unionByName(cases[2]).unionByName(cases[3]))
     case = ["policy", "order_name", "randomization"]

@@ -6,7 +6,7 @@ import importlib
 
 MODULES = (
     "panel_plans", "relational_plans", "inequality_plans", "zonal_plans", "spatial_plans",
-    "model_plans", "resampling_plans", "series_plans", "integrity_plans", "polygon_plans",
+    "model_plans", "resampling_plans", "series_plans", "integrity_plans", "polygon_plans", "evaluation_plans",
 )
 
 
