@@ -31,6 +31,9 @@ NAMED = frozenset(("ad ads adv advert advertisement advertising adbox adsense sp
 #: Of an article element only these say that it is none; beside these, a header belongs to the article; words that start or end so tell a state.
 OTHER_ARTICLES = frozenset("comment comments reply related recommended promo teaser sponsored".split())
 OWN_HEADERS = frozenset("post entry article content story".split())
+#: Words that also name what an article is about: beside another word that is no plain name of a box they say nothing.
+TOPICS = frozenset("login search discussion skip alert rail promotion".split())
+PLAIN = frozenset(" box form bar panel area block wrapper wrap container content link links button btn site page top bottom left right main inner outer section list item slot unit field".split(" "))
 _STATES = re.compile(r"(?:has|with|without|no|is|js)-|.*-(?:open|closed|active|enabled|disabled|status)$")
 #: A start tag closes these open elements.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -66,6 +69,8 @@ def _boxed(tag: str, attributes: str) -> bool:
             for word in value.split():
                 parts = set() if _STATES.match(word) else {p.rstrip("0123456789") for p in _NAMES.split(word)}
                 found = parts & (OTHER_ARTICLES if tag == "article" else NAMED)
+                if found <= TOPICS and parts - NAMED - PLAIN:
+                    continue  # the article's own subject, as in login-steps
                 if found and not (found == {"header"} and parts & OWN_HEADERS):
                     return True
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
@@ -252,7 +257,7 @@ def _blocks(nodes: list[Node]) -> list[str]:
             run.append(x)
         elif x.tag == "br":
             run.append(" ")
-        elif not (_link_list(x) and x not in nodes):
+        else:
             if x.tag in BLOCKS:
                 flush()
                 todo.append(None)

@@ -203,6 +203,14 @@ def test_main_text_of_a_page_without_article_element():
                                                     "Third block, in a div, with words enough.", "item one", "item two"]
 
 
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_lists_of_links_and_boxes_named_by_their_subject_stay(tag):
+    long = "A paragraph with enough words, commas, and clauses to be the body of the page, on and on, to its end."
+    page = (f"<nav><a href=/>Home</a></nav><{tag}><h1>How to</h1><p>{long}</p><h2>References</h2><ul><li><a href=/a>First work</a></li><li><a href=/b>Second work</a></li></ul>"
+            f"<div class='comparison login-steps'><p>Step one, log in.</p></div><p>After.</p><div class='login-box'>User</div><div class='search-form'>Find</div></{tag}><footer>f</footer>")
+    assert html_text.main_text(page).split("\n") == ["How to", long, "References", "First work", "Second work", "Step one, log in.", "After."]
+
+
 @pytest.mark.parametrize(("page", "text"), [
     ("<body><div id=header>Site</div><h1>Title</h1><div class='content has-sidebar'><p>One, two, three.</p><p>Four, five.</p></div><div class='ad-slot-2'><p>Buy, buy, buy, buy, buy</p></div></body>",
      "Title\nOne, two, three.\nFour, five."),
