@@ -115,7 +115,7 @@ def test_stages_take_empty_and_odd_documents(spark):
 
 def test_every_operator_is_registered_once():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in catalog.QUERIES)
-    assert numbers == list(range(1, 11)) and set(catalog.ORACLES) <= set(catalog.QUERIES)
+    assert numbers == list(range(1, 14)) and set(catalog.ORACLES) <= set(catalog.QUERIES)
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
 
 
