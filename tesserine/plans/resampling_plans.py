@@ -10,11 +10,12 @@ from tesserine.operators import linear as L
 from tesserine.operators import ordering as O
 from tesserine.operators import resample as RS
 from tesserine.operators import spatial as S
+from tesserine.operators import stability as ST
 from tesserine.plans import spatial_plans as XP
 from tesserine.plans import views as V
 from tesserine.plans.model_plans import DESIGN, GROUPS, design
 from tesserine.plans.registry import query
-from tesserine.plans.spatial_plans import DU, unit_points
+from tesserine.plans.spatial_plans import DU, nn_sql, unit_points
 from tesserine.session import cut_lineage
 
 r6 = C.r6
@@ -147,6 +148,55 @@ def stability_summary(spark, sf):
         "group", r6("point").alias("point"), r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"), "n_valid", "block_ci_low", "block_ci_high", "n_valid_blocks")
 
 
+def _residual_sql(o: str) -> str:
+    """Moran's I of the residuals of one outcome on two columns, with its label permutations."""
+    nn = nn_sql(8, "d", f"nn_{o}")
+    return f"""f_{o} AS (SELECT avg({o}) AS my, avg(abs_lat) AS mx, avg(wealth) AS ma, covar_pop({o}, abs_lat) AS cx, covar_pop({o}, wealth) AS ca, var_pop(abs_lat) AS vx, var_pop(wealth) AS va, covar_pop(abs_lat, wealth) AS xa FROM dg),
+ r_{o} AS (SELECT nk, {o} - my - (cx*va - ca*xa)/(vx*va - xa*xa)*(abs_lat - mx) - (ca*vx - cx*xa)/(vx*va - xa*xa)*(wealth - ma) AS z FROM dg, f_{o}),
+ {nn}, e_{o} AS (SELECT i, j, 1.0/count(*) OVER (PARTITION BY i) AS w FROM nn_{o}),
+ x_{o} AS (SELECT nk, z, row_number() OVER (ORDER BY nk) AS pos FROM r_{o}),
+ p_{o} AS (SELECT d.draw, a.nk, row_number() OVER (PARTITION BY d.draw ORDER BY md5('0|' || d.draw || '|' || a.nk)) AS pos FROM r_{o} a, (SELECT unnest(range(1, 200)) AS draw) d),
+ z_{o} AS (SELECT p.draw, p.nk, x.z FROM p_{o} p JOIN x_{o} x ON x.pos = p.pos UNION ALL SELECT 0, nk, z FROM r_{o}),
+ s_{o} AS (SELECT a.draw, (SELECT count(*) FROM r_{o})/(SELECT sum(w) FROM e_{o})*sum(e.w*a.z*b.z)/(SELECT sum(z*z) FROM r_{o}) AS s FROM e_{o} e JOIN z_{o} a ON a.nk = e.i JOIN z_{o} b ON b.nk = e.j AND b.draw = a.draw GROUP BY 1),
+ m_{o} AS (SELECT '{o}' AS outcome, unnest(['morans_i', 'p_value', 'n', 'k_neighbors', 'n_permutations']) AS item, unnest([(SELECT s FROM s_{o} WHERE draw = 0),
+   ((SELECT count(*) FROM s_{o} WHERE draw > 0 AND abs(s) >= (SELECT abs(s) FROM s_{o} WHERE draw = 0) - 1e-12) + 1)/200.0, (SELECT count(*) FROM dg), 8, 199]) AS value)"""
+
+
+def _shares_sql(src: str, keys: str, name: str, w: str = "1.0") -> str:
+    """Shares of two single-column groups per key, from weighted correlations of rows (keys, y, x, a)."""
+    def c(a, b):
+        return f"((sum(t*{a}*{b}) - sum(t*{a})*sum(t*{b})/sum(t))/sqrt((sum(t*{a}*{a}) - sum(t*{a})*sum(t*{a})/sum(t))*(sum(t*{b}*{b}) - sum(t*{b})*sum(t*{b})/sum(t))))"
+    return f"""{name}_c AS (SELECT {keys}, {c('y', 'x')} AS yx, {c('y', 'a')} AS ya, {c('x', 'a')} AS xa FROM (SELECT *, {w} AS t FROM {src}) GROUP BY ALL),
+ {name}_q AS (SELECT {keys}, yx*yx AS r1, ya*ya AS r2, CASE WHEN abs(xa) > 1 - 1e-9 THEN yx*yx ELSE (yx*yx + ya*ya - 2*yx*ya*xa)/(1 - xa*xa) END AS r12 FROM {name}_c),
+ {name} AS (SELECT {keys}, 'geography' AS grp, (r1 + r12 - r2)/2 AS share FROM {name}_q UNION ALL SELECT {keys}, 'economy', (r2 + r12 - r1)/2 FROM {name}_q UNION ALL SELECT {keys}, 'residual', 1 - r12 FROM {name}_q)"""
+
+
+PAIR = {"geography": ["abs_lat"], "economy": ["wealth"]}
+STABILITY = f"""{DESIGN}, {draws_sql('dg', 'nk')}, {draws_sql('dg', 'zone', 'bk', 1)}, {DU.replace('natrend', 'dg')},
+ ys AS (SELECT 'warming' AS outcome, nk, zone, warming - avg(warming) OVER () AS y, abs_lat - avg(abs_lat) OVER () AS x, (wealth - avg(wealth) OVER ())/1000 AS a FROM dg
+   UNION ALL SELECT 'warming_area', nk, zone, warming_area - avg(warming_area) OVER (), abs_lat - avg(abs_lat) OVER (), (wealth - avg(wealth) OVER ())/1000 FROM dg),
+ dj AS (SELECT 'unit_draws' AS kind, dr.draw, outcome, times::DOUBLE AS times, y, x, a FROM dr JOIN ys USING (nk) UNION ALL SELECT 'block_draws', bk.draw, outcome, times::DOUBLE, y, x, a FROM bk JOIN ys USING (zone)),
+ {_shares_sql('dj', 'outcome, kind, draw', 'sh', 'times')}, {_shares_sql('ys', 'outcome', 'pt')},
+ lo AS (SELECT a.nk AS out, b.y, b.x, b.a FROM ys a JOIN ys b ON a.nk <> b.nk AND a.outcome = 'warming' AND b.outcome = 'warming'), {_shares_sql('lo', 'out', 'ls')},
+ ld AS (SELECT outcome, kind, draw, CASE WHEN max(share) FILTER (grp = 'geography') >= max(share) FILTER (grp = 'economy') THEN 'geography' ELSE 'economy' END AS lead FROM sh GROUP BY 1, 2, 3),
+ st AS (SELECT sh.outcome, sh.kind, sh.grp, any_value(pt.share) AS point, avg(sh.share) AS mean, stddev_samp(sh.share) AS std, quantile_cont(sh.share, 0.025) AS ci_low, quantile_cont(sh.share, 0.975) AS ci_high,
+   CASE WHEN sh.grp <> 'residual' THEN avg((lead = sh.grp)::INT) END AS p_largest, CASE WHEN sh.grp <> 'residual' THEN avg((sh.share > 0)::INT) END AS p_positive, {DRAWS}.0 - count(sh.share) AS n_failed
+   FROM sh JOIN ld USING (outcome, kind, draw) JOIN pt ON pt.outcome = sh.outcome AND pt.grp = sh.grp GROUP BY 1, 2, 3),
+ sl AS (SELECT kind AS block, outcome, grp, unnest(['point', 'mean', 'std', 'ci_low', 'ci_high', 'p_largest', 'p_positive', 'n_failed']) AS item, unnest([point, mean, std, ci_low, ci_high, p_largest, p_positive, n_failed]) AS value FROM st),
+ fl AS (SELECT 'influence' AS block, 'warming' AS outcome, ls.grp, CAST(out AS VARCHAR) AS item, pt.share - ls.share AS value, row_number() OVER (PARTITION BY ls.grp ORDER BY round(abs(pt.share - ls.share), 9) DESC, out) AS rank
+   FROM ls JOIN pt ON pt.grp = ls.grp AND pt.outcome = 'warming' WHERE ls.grp <> 'residual'), {_residual_sql('warming')}, {_residual_sql('warming_area')}"""
+
+
+@query("B7_stability_blocks", f"""WITH {STABILITY} SELECT block, outcome, grp AS "group", item, 0 AS rank, round(value, 6)+0.0 AS value FROM sl WHERE value IS NOT NULL
+ UNION ALL SELECT block, outcome, grp, item, rank::INT, round(value, 6)+0.0 FROM fl WHERE rank <= 10
+ UNION ALL SELECT 'residual_spatial', outcome, '', item, 0, round(value, 6)+0.0 FROM (SELECT * FROM m_warming UNION ALL SELECT * FROM m_warming_area)""", ("country",))
+def stability_blocks(spark, sf):
+    """All blocks of the summary for the main outcome and the area-weighted one; influence for the main one."""
+    d = design(spark, sf)
+    blocks = ST.stability_blocks(d, d.select("nk", "lat", "lon"), "nk", "zone", PAIR, ["warming", "warming_area"], DRAWS, max_rows=V.unit_bound(spark, sf))
+    return blocks.select("block", "outcome", "group", "item", F.coalesce("rank", F.lit(0)).alias("rank"), r6("value").alias("value"))
+
+
 @query("B8_draw_diagnostics", f"WITH {draws_sql('natrend', 'nk')} SELECT CAST(draw AS BIGINT) AS draw, count(*) AS n_distinct, round(sum(times)*sum(times)*1.0/sum(times*times), 6) AS ess FROM dr GROUP BY 1", ("natrend",))
 def draw_diagnostics(spark, sf):
     d = RS.digest_draws(units(spark, sf), "nk", DRAWS, max_rows=V.unit_bound(spark, sf))
