@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tesserine.sources import files as FI
+
 # Fixed values of the classic NetCDF layout: type code -> (big-endian dtype, size).
 _TYPES = {1: (">i1", 1), 2: ("S1", 1), 3: (">i2", 2), 4: (">i4", 4), 5: (">f4", 4), 6: (">f8", 8)}
 _DIMENSION, _VARIABLE, _ATTRIBUTE = 10, 11, 12
@@ -173,24 +175,57 @@ def band_files(cells: DataFrame) -> DataFrame:
     return cells.groupBy("ilat").applyInPandas(make, "ilat bigint, content binary")
 
 
-def read_grid_files(spark: SparkSession, folder: str, variable: str) -> DataFrame:
-    """`var(time, lat, lon)` of all classic NetCDF files under a folder on any file system; one file to a task at a time."""
-    def decode(batches):
-        for pdf in batches:
-            for content in pdf["content"]:
-                handle = io.BytesIO(content)
-                header = _Header(handle)
-                shape, dtype, size, begin = header.variables[variable]
-                n_time, n_lat, n_lon = (header.dims[d][1] for d in shape)
-                time, lat, lon = (_axis(handle, header, header.dims[d][0]) for d in shape)
-                la, lo = (a.astype("f8").ravel() for a in np.meshgrid(lat, lon, indexing="ij"))
-                for t in range(n_time):
-                    handle.seek(begin + size * t * n_lat * n_lon)
-                    block = np.frombuffer(handle.read(size * n_lat * n_lon), dtype=dtype).astype("f8")
-                    yield pd.DataFrame({"time": float(time[t]), "lat": la, "lon": lo, "value": block})
+_CUT = "path string, t0 bigint, t1 bigint, y0 bigint, y1 bigint"
+_CELL = "time double, lat double, lon double, value double"
+
+
+def _runs(axis: np.ndarray, within: tuple[float, float] | None, longest: int) -> list[tuple[int, int]]:
+    """Index ranges [start, stop) of at most `longest` positions whose coordinates lie within the closed bounds."""
+    wanted = np.flatnonzero((axis >= within[0]) & (axis <= within[1])) if within else np.arange(len(axis))
+    runs = np.split(wanted, np.flatnonzero(np.diff(wanted) > 1) + 1) if len(wanted) else []
+    return [(int(at), int(min(at + longest, run[-1] + 1))) for run in runs for at in range(run[0], run[-1] + 1, longest)]
+
+
+def grid_cuts(path: str, handle, variable: str, band: int, times=None, lats=None, size: int = FI.RANGE) -> pd.DataFrame:
+    """Ranges of time steps and latitude rows, of about `size` bytes at most, that hold the wanted slice of a file."""
+    header = _Header(handle)
+    shape, _, width, _ = header.variables[variable]
+    time, lat = (_axis(handle, header, header.dims[d][0]).astype("f8") for d in shape[:2])
+    rows = _runs(lat, lats, band)
+    step = max(1, size // max(1, width * band * header.dims[shape[2]][1]))
+    return pd.DataFrame([(path, t0, t1, y0, y1) for y0, y1 in rows for t0, t1 in _runs(time, times, step)], columns=["path", "t0", "t1", "y0", "y1"])
+
+
+def grid_block(handle, row, variable: str) -> Iterator[pd.DataFrame]:
+    """Cells of one range, a time step at a time: only the bytes of its latitude rows are read."""
+    handle.seek(0)
+    header = _Header(handle)
+    shape, dtype, size, begin = header.variables[variable]
+    n_lat, n_lon = (header.dims[d][1] for d in shape[1:])
+    time, lat, lon = (_axis(handle, header, header.dims[d][0]).astype("f8") for d in shape)
+    la, lo = (a.ravel() for a in np.meshgrid(lat[row.y0:row.y1], lon, indexing="ij"))
+    for t in range(row.t0, row.t1):
+        handle.seek(begin + size * (t * n_lat + row.y0) * n_lon)
+        raw = handle.read(size * (row.y1 - row.y0) * n_lon)
+        yield pd.DataFrame({"time": time[t], "lat": la, "lon": lo, "value": np.frombuffer(raw, dtype=dtype).astype("f8")})
+
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("content")
-    return files.mapInPandas(decode, "time double, lat double, lon double, value double")
+def read_grid_files(spark: SparkSession, folder: str, variable: str, band: int = 30, times: tuple[float, float] | None = None,
+                    lats: tuple[float, float] | None = None, size: int = FI.RANGE) -> DataFrame:
+    """`var(time, lat, lon)` of all classic NetCDF files under a folder.
+
+    A file is cut into ranges of latitude bands and time steps that are read by different tasks; bounds on times and latitudes (closed)
+    reach the reader, which skips the bytes outside. NaN arrives as NULL. Where files cannot be opened by position, one task decodes a file.
+    """
+    if FI.by_position(folder):
+        cuts = FI.over_files(spark, folder, lambda path, handle: iter([grid_cuts(path, handle, variable, band, times, lats, size)]), _CUT)
+        return FI.over_ranges(cuts, lambda handle, row: grid_block(handle, row, variable), _CELL)
+
+    def decode(path, handle):
+        for row in grid_cuts(path, handle, variable, band, times, lats, size).itertuples(index=False):
+            yield from grid_block(handle, row, variable)
+
+    return FI.over_files(spark, folder, decode, _CELL)
 
 
 # -- single-band GeoTIFF -----------------------------------------------------------
@@ -200,42 +235,59 @@ _WIDTH, _LENGTH, _BITS, _COMPRESSION, _OFFSETS, _COUNTS, _SCALE, _TIEPOINT = 256
 _FIELD = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4), 12: ("d", 8)}
 
 
-def geotiff_cells(payload: bytes) -> pd.DataFrame:
-    """Pixel centres and codes of an uncompressed single-band image."""
-    order = "<" if payload[:2] == b"II" else ">"
-    at = struct.unpack(order + "I", payload[4:8])[0]
-    tags = {}
-    for k in range(struct.unpack(order + "H", payload[at : at + 2])[0]):
-        entry = payload[at + 2 + 12 * k : at + 14 + 12 * k]
-        tag, kind, count = struct.unpack(order + "HHI", entry[:8])
+def geotiff_blocks(handle, piece: int = FI.PIECE) -> Iterator[pd.DataFrame]:
+    """Pixel centres and codes of an uncompressed single-band image, some rows at a time.
+
+    Strips are read by their offsets in pieces of about `piece` bytes, so the image is never whole in memory.
+    """
+    def at(offset: int, size: int) -> bytes:
+        handle.seek(offset)
+        return handle.read(size)
+
+    order = "<" if at(0, 2) == b"II" else ">"
+    directory = struct.unpack(order + "I", at(4, 4))[0]
+    count = struct.unpack(order + "H", at(directory, 2))[0]
+    entries, tags = at(directory + 2, 12 * count), {}
+    for k in range(count):
+        entry = entries[12 * k : 12 * k + 12]
+        tag, kind, n = struct.unpack(order + "HHI", entry[:8])
         if kind not in _FIELD:
             continue
         code, size = _FIELD[kind]
-        raw = entry[8:12] if size * count <= 4 else payload[(p := struct.unpack(order + "I", entry[8:12])[0]) : p + size * count]
-        tags[tag] = struct.unpack(order + code * count, raw[: size * count])
+        raw = entry[8:12] if size * n <= 4 else at(struct.unpack(order + "I", entry[8:12])[0], size * n)
+        tags[tag] = struct.unpack(order + code * n, raw[: size * n])
     if tags.get(_COMPRESSION, (1,))[0] != 1:
         raise ValueError("compressed images are not read")
-    width, height = tags[_WIDTH][0], tags[_LENGTH][0]
-    raw = b"".join(payload[o : o + c] for o, c in zip(tags[_OFFSETS], tags[_COUNTS]))
-    codes = np.frombuffer(raw, dtype=f"{order}u{tags[_BITS][0] // 8}").reshape(height, width)
+    width, height, each = tags[_WIDTH][0], tags[_LENGTH][0], tags[_BITS][0] // 8
     sx, sy, x0, y0 = tags[_SCALE][0], tags[_SCALE][1], tags[_TIEPOINT][3], tags[_TIEPOINT][4]
-    lat, lon = np.meshgrid(y0 - (np.arange(height) + 0.5) * sy, x0 + (np.arange(width) + 0.5) * sx, indexing="ij")
-    return pd.DataFrame({"lat": lat.ravel(), "lon": lon.ravel(), "code": codes.astype("i8").ravel()})
+    lon, row = x0 + (np.arange(width) + 0.5) * sx, 0
+    for offset, size in zip(tags[_OFFSETS], tags[_COUNTS], strict=True):
+        held = size // (width * each)
+        for first in range(0, held, step := max(1, piece // (width * each))):
+            rows = min(step, held - first, height - row)
+            codes = np.frombuffer(at(offset + first * width * each, rows * width * each), dtype=f"{order}u{each}")
+            lat = y0 - (np.arange(row, row + rows) + 0.5) * sy
+            yield pd.DataFrame({"lat": np.repeat(lat, width), "lon": np.tile(lon, rows), "code": codes.astype("i8")})
+            row += rows
+    if row != height:
+        raise ValueError(f"strips hold {row} of {height} rows")
 
 
-def read_geotiff(spark: SparkSession, path: str, zip_member: str | None = None) -> DataFrame:
-    """Images (or the named member of zip archives) under `path` as (lat, lon, code), one task per file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+def geotiff_cells(payload: bytes) -> pd.DataFrame:
+    """All cells of an image held in memory."""
+    return pd.concat(geotiff_blocks(io.BytesIO(payload)), ignore_index=True)
+
 
-    def decode(batches):
-        for pdf in batches:
-            for content in pdf["content"]:
-                if zip_member is not None:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        content = archive.read(zip_member)
-                yield geotiff_cells(bytes(content))
+def read_geotiff(spark: SparkSession, path: str, zip_member: str | None = None, piece: int = FI.PIECE) -> DataFrame:
+    """Images (or the named member of zip archives) under `path` as (lat, lon, code), read in pieces by one task per file."""
+    def decode(name, handle):
+        if zip_member is None:
+            yield from geotiff_blocks(handle, piece)
+        else:
+            with zipfile.ZipFile(handle) as archive, archive.open(zip_member) as member:
+                yield from geotiff_blocks(member, piece)
 
-    return files.mapInPandas(decode, "lat double, lon double, code bigint")
+    return FI.over_files(spark, path, decode, "lat double, lon double, code bigint")
 
 
 def geotiff_bytes(codes: np.ndarray, step: float, lon0: float, lat0: float) -> bytes:

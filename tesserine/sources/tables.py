@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tesserine.functions.columns import nan_to_null, parse_coordinate, significant
 from tesserine.session import ensure_checkpoint_dir
+from tesserine.sources import files as FI
 
 #: Declared layout of the raw monthly location series.
 LOCATION_CSV = T.StructType([
@@ -133,12 +134,8 @@ def dump_summary(obj) -> str:
 
 
 def file_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """File name, size and SHA-256 of every file under `path`."""
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-        .select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"),
-                F.sha2("content", 256).alias("sha256"))
-    )
+    """Name below `path`, size and SHA-256 of every file; contents are streamed, never held whole."""
+    return FI.digests(spark, path, glob).select(FI.relative(path).alias("file"), "bytes", "sha256")
 
 
 def verify_checksum(spark: SparkSession, path: str, expected_sha256: str) -> None:
