@@ -4,6 +4,10 @@ Candidates are found in whole texts with their positions. Equal candidate values
 repositories and owners: a value that several owners hold is a copied example, a value of a single owner looks live. Formats that
 are secrets by their look (`assign`, `access`, `hex`) are always spans; long random-looking strings of no such format become
 spans of kind `owned` only if a single owner holds them.
+
+Owners of rows include those of mere copies of a text. Asked by text, each distinct text counts once, for the first of its owners: a
+credential whose document was copied to other owners stays live, and only a value that stands in different texts of different owners is
+an example.
 """
 
 from __future__ import annotations
@@ -34,10 +38,12 @@ def _found(text: Column, kind: int, pattern: str) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository: Column | None = None,
-         copied_owners: int = 2) -> tuple[DataFrame, DataFrame]:
+         copied_owners: int = 2, by_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, spans): one row per input row (uid, id, text_md5), and one row per secret (uid, text_md5, start, end, k, kind,
     value_sha256, owners, repositories, copied).
 
+    `by_text`: adds text_owners, the owners when every distinct text counts once, and live, whether they are fewer than `copied_owners`;
+    spans of kind `owned` that are live by text are then kept, too.
     `repository`: expression naming the repository of a row; the owner if none is given. Null text counts as empty, null owner and
     null repository as values of their own. Rows are told apart by a written key, so repeated and null ids are rows of their own.
     Empty tables give empty results; columns other than the named ones are not read. Values leave the scan only as digests.
@@ -68,32 +74,44 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     held = pairs.groupBy("value_sha256").agg(F.countDistinct("owner").alias("owners"), F.count("*").alias("repositories"))
     kinds = F.element_at(F.array(*[F.lit(name) for name, _, _ in KINDS]), F.col("k") + 1)
     spans = free.join(held, "value_sha256").withColumn("copied", F.col("owners") >= copied_owners).withColumn("kind", kinds)
-    spans = spans.where((F.col("k") < owned) | ~F.col("copied"))
-    return base.select("uid", "id", "text_md5"), spans.select(
-        "uid", "text_md5", "start", "end", "k", "kind", "value_sha256", "owners", "repositories", "copied")
+    names = ["uid", "text_md5", "start", "end", "k", "kind", "value_sha256", "owners", "repositories", "copied"]
+    wanted = ~F.col("copied")
+    if by_text:
+        # copies of a text collapse to its first owner before owners are made distinct
+        first = free.groupBy("value_sha256", "text_md5").agg(F.min("owner").alias("owner"))
+        texts = first.groupBy("value_sha256", "owner").agg(F.lit(1).alias("one")).groupBy("value_sha256").agg(F.count("*").alias("text_owners"))
+        spans = spans.join(texts, "value_sha256").withColumn("live", F.col("text_owners") < copied_owners)
+        names, wanted = [*names, "text_owners", "live"], F.col("live") | wanted
+    return base.select("uid", "id", "text_md5"), spans.where((F.col("k") < owned) | wanted).select(*names)
 
 
 def digest(base: DataFrame, spans: DataFrame) -> DataFrame:
-    """Per document: counts by kind, the digest of the base spans and all spans as text."""
-    owned = len(KINDS) - 1
+    """Per document: counts by kind, the digest of the base spans and all spans as text.
+
+    Of spans scanned by text also n_live_texts and live_spans, those whose value is live by text; the other columns do not change.
+    """
+    owned, by_text = len(KINDS) - 1, "live" in spans.columns
+    shown = (F.col("k") < owned) | ~F.col("copied")
     text = lambda rows: F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["kind"], r["start"], r["end"])), ",")
     per = spans.groupBy("uid").agg(
-        *[F.count(F.when(F.col("k") == k, 1)).alias(f"n_{name}") for k, (name, _, _) in enumerate(KINDS)],
-        F.count(F.when(~F.col("copied"), 1)).alias("n_live"), F.count(F.when(F.col("copied"), 1)).alias("n_copied"),
-        F.sort_array(F.collect_list(F.struct("start", "k", "end", "kind"))).alias("all"))
+        *[F.count(F.when(shown & (F.col("k") == k), 1)).alias(f"n_{name}") for k, (name, _, _) in enumerate(KINDS)],
+        F.count(F.when(~F.col("copied"), 1)).alias("n_live"), F.count(F.when(shown & F.col("copied"), 1)).alias("n_copied"),
+        F.sort_array(F.collect_list(F.struct("start", "k", "end", "kind", shown.alias("shown"), (F.col("live") if by_text else F.lit(False)).alias("live")))).alias("all"))
     per = per.select("uid", *[f"n_{name}" for name, _, _ in KINDS], "n_live", "n_copied",
-                     F.sha2(text(F.filter("all", lambda r: r["k"] < owned)), 256).alias("base_sha256"), text(F.col("all")).alias("spans"))
+                     F.sha2(text(F.filter("all", lambda r: r["k"] < owned)), 256).alias("base_sha256"), text(F.filter("all", lambda r: r["shown"])).alias("spans"),
+                     *([F.size(F.filter("all", lambda r: r["live"])).alias("n_live_texts"), text(F.filter("all", lambda r: r["live"])).alias("live_spans")] if by_text else []))
     none = F.sha2(F.lit(""), 256)
-    counts = [f"n_{name}" for name, _, _ in KINDS] + ["n_live", "n_copied"]
+    counts = [f"n_{name}" for name, _, _ in KINDS] + ["n_live", "n_copied"] + (["n_live_texts"] if by_text else [])
     return base.join(per, "uid", "left").select(
         "id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("base_sha256", none).alias("base_sha256"),
-        F.coalesce("spans", F.lit("")).alias("spans"))
+        F.coalesce("spans", F.lit("")).alias("spans"), *([F.coalesce("live_spans", F.lit("")).alias("live_spans")] if by_text else []))
 
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", **names) -> DataFrame:
-    """`docs` with every span that is not a copied example replaced by `mask`; other rows and columns stay as they are."""
+    """`docs` with every span that is not a copied example (with `by_text=True`: that is live by text) replaced by `mask`; other rows and
+    columns stay as they are."""
     _, spans = scan(docs, text_col=text_col, **names)
-    live = spans.where(~F.col("copied")).select("text_md5", "start", "end").distinct()
+    live = spans.where(F.col("live") if "live" in spans.columns else ~F.col("copied")).select("text_md5", "start", "end").distinct()
     line = Window.partitionBy("text_md5").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     live = live.withColumn("at", F.coalesce(F.max("end").over(line), F.lit(0)))
     cuts = live.groupBy("text_md5").agg(F.sort_array(F.collect_list(F.struct("start", "end", "at"))).alias("__cuts"), F.max("end").alias("__rest"))
@@ -108,5 +126,5 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", **na
 
 @query("op3_secret_ownership")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, spans = scan(table(spark, sf_dir, "documents"), repository=F.concat_ws("/", "source", "lang"))
+    base, spans = scan(table(spark, sf_dir, "documents"), repository=F.concat_ws("/", "source", "lang"), by_text=True)
     return digest(base, spans).withColumnRenamed("id", "doc_id")

@@ -27,6 +27,11 @@ free AS (
   WHERE k < 3 OR NOT EXISTS (SELECT 1 FROM placed q WHERE q.rid = p.rid AND q.k < 3 AND q.a < p.a + p.n AND q.a + q.n > p.a)),
 held AS (SELECT value, count(DISTINCT owner) >= 2 AS copied FROM free GROUP BY value),
 spans AS (SELECT f.*, h.copied FROM free f JOIN held h USING (value) WHERE k < 3 OR NOT copied),
+first AS (SELECT value, min(owner) AS owner FROM free JOIN t USING (rid, owner) GROUP BY value, x),
+by_text AS (SELECT value, count(DISTINCT owner) < 2 AS live FROM first GROUP BY value),
+live AS (
+  SELECT rid, count(*) AS n_live_texts, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k, b) AS live_spans
+  FROM free JOIN by_text USING (value) WHERE live GROUP BY rid),
 per AS (
   SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
     count(*) FILTER (k = 3) AS n_owned, count(*) FILTER (NOT copied) AS n_live, count(*) FILTER (copied) AS n_copied,
@@ -35,8 +40,9 @@ per AS (
   FROM spans GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM t LEFT JOIN per USING (rid)
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live_texts, 0) AS n_live_texts, coalesce(live_spans, '') AS live_spans
+FROM t LEFT JOIN per USING (rid) LEFT JOIN live USING (rid)
 """
 
 LEAKS = r"""
