@@ -122,6 +122,22 @@ def residual_autocorrelation(rows: DataFrame, points: DataFrame, key: str, featu
     return known.unionByName(found)
 
 
+def prepared(design: DataFrame, key: str, groups: Mapping[str, Sequence[str]], outcomes: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Complete rows, their scaled copies, cross products and point shares (outcome, group, point) of every outcome."""
+    features = [c for cols in groups.values() for c in cols]
+    rows = cut_lineage(_long(design, key, features, outcomes))
+    scaled = cut_lineage(_scaled(rows, key, [*features, "_y"]))
+    total = cut_lineage(L.gram(scaled, [*features, "_y"], ["outcome"]))
+    return rows, scaled, total, cut_lineage(keyed_shares(total, ["outcome"], groups).withColumnRenamed("share", "point"))
+
+
+def both_draws(design: DataFrame, key: str, block: str, draws: int, seed: int, block_seed: int, max_rows: int | None = None) -> DataFrame:
+    """(kind, draw, key, times): draws of units and of whole blocks in one table."""
+    blocked = design.where(F.col(block).isNotNull())
+    return RS.digest_draws(design, key, draws, seed, max_rows).withColumn("kind", F.lit("unit_draws")).unionByName(
+        RS.block_draws(blocked, key, block, draws, block_seed, max_rows).withColumn("kind", F.lit("block_draws")))
+
+
 def stability_blocks(design: DataFrame, points: DataFrame, key: str, block: str, groups: Mapping[str, Sequence[str]], outcomes: Sequence[str],
                      draws: int = 2_000, k: int = 8, permutations: int = 199, seed: int = 0, max_rows: int | None = None) -> DataFrame:
     """(block, outcome, group, item, rank, value, reason): the whole summary of every outcome.
@@ -133,13 +149,8 @@ def stability_blocks(design: DataFrame, points: DataFrame, key: str, block: str,
     """
     features = [c for cols in groups.values() for c in cols]
     design = cut_lineage(design.dropDuplicates([key]).where(F.col(key).isNotNull()))
-    rows = cut_lineage(_long(design, key, features, outcomes))
-    scaled = cut_lineage(_scaled(rows, key, [*features, "_y"]))
-    total = cut_lineage(L.gram(scaled, [*features, "_y"], ["outcome"]))
-    point = cut_lineage(keyed_shares(total, ["outcome"], groups).withColumnRenamed("share", "point"))
-    blocked = design.where(F.col(block).isNotNull())
-    kinds = RS.digest_draws(design, key, draws, seed, max_rows).withColumn("kind", F.lit("unit_draws")).unionByName(
-        RS.block_draws(blocked, key, block, draws, seed + 1, max_rows).withColumn("kind", F.lit("block_draws")))
+    rows, scaled, total, point = prepared(design, key, groups, outcomes)
+    kinds = both_draws(design, key, block, draws, seed, seed + 1, max_rows)
     shares = cut_lineage(drawn_shares(scaled, kinds, key, groups))
     empty = F.lit(None)
     parts = [share_statistics(shares, point, groups, draws).withColumns({"rank": empty.cast("int"), "reason": empty.cast("string")})]

@@ -135,17 +135,15 @@ def top_influence(spark, sf):
 @query("B7_stability_summary")
 def stability_summary(spark, sf):
     d = design(spark, sf)
-    draws = cut_lineage(RS.digest_draws(d, "nk", DRAWS, max_rows=V.unit_bound(spark, sf)))
-    needed = [c for cols in GROUPS.values() for c in cols] + ["warming"]
-    shares = cut_lineage(L.group_shares(draws.join(d.select("nk", *needed), "nk").select("draw", "times", *needed), GROUPS, "warming", by=["draw"], weight=F.col("times")))
-    ci = RS.percentile_interval(shares, "share", ["group"])
-    blocks = RS.block_draws(d, "nk", "zone", DRAWS, max_rows=V.unit_bound(spark, sf))
-    by_block = L.group_shares(blocks.join(d.select("nk", *needed), "nk").select("draw", "times", *needed), GROUPS, "warming", by=["draw"], weight=F.col("times"))
-    block_ci = RS.percentile_interval(cut_lineage(by_block), "share", ["group"]).select(
-        "group", r6("ci_low").alias("block_ci_low"), r6("ci_high").alias("block_ci_high"), F.col("n_valid").alias("n_valid_blocks"))
-    point = L.group_shares(d, GROUPS, "warming").withColumnRenamed("share", "point")
-    return point.join(ci, "group").join(block_ci, "group").select(
-        "group", r6("point").alias("point"), r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"), "n_valid", "block_ci_low", "block_ci_high", "n_valid_blocks")
+    _, scaled, _, point = ST.prepared(d, "nk", GROUPS, ["warming"])
+    draws = ST.both_draws(d, "nk", "zone", DRAWS, 0, 0, V.unit_bound(spark, sf))
+    ci = RS.percentile_interval(ST.drawn_shares(scaled, draws, "nk", GROUPS), "share", ["group", "kind"])
+    units_ci = F.col("kind") == "unit_draws"
+    both = ci.groupBy("group").agg(*[F.max(F.when(at, F.col(c))).alias(name + c) for at, name in ((units_ci, ""), (~units_ci, "block_")) for c in ("ci_low", "ci_high")],
+                                   F.max(F.when(units_ci, F.col("n_valid"))).alias("n_valid"), F.max(F.when(~units_ci, F.col("n_valid"))).alias("n_valid_blocks"))
+    return point.join(both, "group").select(
+        "group", r6("point").alias("point"), r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"), "n_valid",
+        r6("block_ci_low").alias("block_ci_low"), r6("block_ci_high").alias("block_ci_high"), "n_valid_blocks")
 
 
 def _residual_sql(o: str) -> str:
