@@ -43,6 +43,7 @@ def buffered_fits(points: DataFrame, columns: Sequence[str], outcome: str, fold:
     """(buffer_km, fold, n_train, beta): least squares of every fold under every buffer; beta begins with the intercept.
 
     A training row is of another fold and farther than the buffer from all rows of this one. Fold and buffer -1 with all rows is the fit in sample.
+    A fold that a buffer leaves without training rows has no fit.
     """
     columns, used = list(columns), [*columns, outcome]
     centre = points.agg(*[F.avg(c).alias(c) for c in used]).first()
@@ -56,6 +57,7 @@ def buffered_fits(points: DataFrame, columns: Sequence[str], outcome: str, fold:
     every = own.withColumn("buffer_km", F.explode(F.array(*[F.lit(float(b)) for b in buffers])))
     both = every.join(removed.select("buffer_km", "fold", *[F.col(n).alias(f"r{n}") for n in names]), ["buffer_km", "fold"], "left")
     left = both.select("buffer_km", "fold", *[(F.lit(float(total[n] or 0.0)) - F.col(n) - F.coalesce(f"r{n}", F.lit(0.0))).alias(n) for n in names])
+    left = left.where(F.col("_g0_0") > 0.5)  # the intercept's own product counts the rows
     kind = dict(left.dtypes)["fold"]
     whole = own.agg(*[F.sum(n).alias(n) for n in names]).select(F.lit(-1.0).alias("buffer_km"), F.lit(-1).cast(kind).alias("fold"), *names)
     width = len(used) + 1

@@ -81,3 +81,10 @@ def test_verdict_on_a_field(spark, field):
     region = [max(np.sqrt(np.mean(e[f.zone == z] ** 2)) for z in range(3)) for e in (ea, eb)]
     assert v.worst_region_rmse_change == pytest.approx(region[1] - region[0])
     assert v.coefficient_negative_n == v.coefficient_n_fits == 4 and v.verdict == "supported and promoted" and v.interval_high < 0
+
+
+def test_a_buffer_that_takes_all_training_rows_leaves_no_scorecard(spark, field):
+    f, df = field
+    edges = S.knn_weights(df, "id", 5)
+    got = E.scorecards(df, "id", ["x", "a"], "y", "fold", [100.0, 30_000.0], edges).toPandas()
+    assert got.buffer_km.tolist() == [100.0] and got.n.tolist() == [len(f)]
