@@ -169,3 +169,20 @@ def test_permutations_are_complete_and_path_independent(spark, path):
     assert p.groupBy("draw").agg(F.count_distinct("permuted").alias("n")).where("n <> 40").isEmpty()
     bounded = K.permuted(u, "id", "v", 4, 9, max_rows=5)
     assert p.exceptAll(bounded).isEmpty()
+
+
+def unrepeatable(spark, n=400):
+    """A value whose last bits differ whenever it is computed again, as a sum in another order does."""
+    import random
+    noise = F.udf(lambda v: v + random.random() * 1e-9, "double").asNondeterministic()
+    return spark.range(n).select("id", noise(F.col("id").cast("double")).alias("v"))
+
+
+def test_ranks_survive_a_value_that_is_computed_twice(spark):
+    got = O.with_rank(unrepeatable(spark), "v", "r").select("id", "r").toPandas()
+    assert got.r.notna().all() and (got.r == got.id + 1).all()
+
+
+def test_rank_correlation_survives_values_that_are_computed_twice(spark):
+    row = I.spearman(unrepeatable(spark).withColumn("w", -F.col("v")), "v", "w").first()
+    assert row.n == 400 and row.rho == pytest.approx(-1.0)
