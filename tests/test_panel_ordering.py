@@ -186,3 +186,8 @@ def test_ranks_survive_a_value_that_is_computed_twice(spark):
 def test_rank_correlation_survives_values_that_are_computed_twice(spark):
     row = I.spearman(unrepeatable(spark).withColumn("w", -F.col("v")), "v", "w").first()
     assert row.n == 400 and row.rho == pytest.approx(-1.0)
+
+
+def test_adjusted_p_keeps_every_row_of_a_value_that_is_computed_twice(spark):
+    p = unrepeatable(spark).select("id", ((F.col("v") + 1) / 500).alias("p"))
+    assert K.bh_adjust(p, "p", "q").count() == 400
