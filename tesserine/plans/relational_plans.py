@@ -526,7 +526,7 @@ def fixed_bins(spark, sf):
  SELECT nk, round(share, 6) AS share, share >= 0.5 AS past_half FROM c""", ("natrend",))
 def cumulative_share(spark, sf):
     n = V.unit_bound(spark, sf)
-    q = V.natrend(spark, sf).select("nk", (-F.col("warming") * F.col("warming")).alias("neg"))
+    q = cut_lineage(V.natrend(spark, sf).select("nk", (-F.col("warming") * F.col("warming")).alias("neg")))
     pos = O.value_positions(q, "neg", {"s": -F.col("neg")}, max_rows=n)
     return q.join(pos, "neg").select("nk", F.round(F.col("cum_s") / F.col("all_s"), 6).alias("share"), (F.col("cum_s") / F.col("all_s") >= 0.5).alias("past_half"))
 

@@ -191,3 +191,10 @@ def test_rank_correlation_survives_values_that_are_computed_twice(spark):
 def test_adjusted_p_keeps_every_row_of_a_value_that_is_computed_twice(spark):
     p = unrepeatable(spark).select("id", ((F.col("v") + 1) / 500).alias("p"))
     assert K.bh_adjust(p, "p", "q").count() == 400
+
+
+def test_cumulative_share_keeps_every_unit(spark, monkeypatch):
+    from tesserine.plans import relational_plans as RP
+    from tesserine.plans import views as V
+    monkeypatch.setattr(V, "natrend", lambda s, sf: unrepeatable(s, 20).select(F.col("id").alias("nk"), (F.col("v") + 1).alias("warming")))
+    assert RP.cumulative_share(spark, "/root/testdata/sf0.001").count() == 20
