@@ -198,3 +198,10 @@ def test_cumulative_share_keeps_every_unit(spark, monkeypatch):
     from tesserine.plans import views as V
     monkeypatch.setattr(V, "natrend", lambda s, sf: unrepeatable(s, 20).select(F.col("id").alias("nk"), (F.col("v") + 1).alias("warming")))
     assert RP.cumulative_share(spark, "/root/testdata/sf0.001").count() == 20
+
+
+def test_equal_series_have_equal_trends_whatever_the_row_order(spark):
+    one = monthly([1])
+    frame = pd.concat([one.sample(frac=1, random_state=s).assign(site=s) for s in range(40)])
+    a = P.gated_anomalies(spark.createDataFrame(frame).repartition(7), ["site"], BASE, WINDOW, 0.9, calendar_bound=True)
+    assert P.ols_trend(a, ["site"]).select("ols_slope", "ols_intercept").distinct().count() == 1
