@@ -157,7 +157,10 @@ def _reason(values: DataFrame, edges: DataFrame, value: str) -> Column:
 
 
 def moran(values: DataFrame, edges: DataFrame, key: str, value: str, draws: int = 0, seed: int = 0, max_rows: int | None = None) -> DataFrame:
-    """Global Moran's I, its permutation p (tail on |I|) and z; a reason instead of NaN."""
+    """Global Moran's I, its permutation p (tail on |I|) and z; a reason instead of NaN.
+
+    Where all draws give one statistic, as when every unit neighbours every other, there is no spread to scale by and z is NULL.
+    """
     z = cut_lineage(_centred(values, key, value))
     edges = cut_lineage(edges)
     zz = z.agg(F.struct(F.sum(F.col("z") * F.col("z")).alias("q"), F.count("*").alias("n")).alias("t")).scalar()
@@ -175,7 +178,7 @@ def moran(values: DataFrame, edges: DataFrame, key: str, value: str, draws: int
         null = stats.agg(F.struct(F.avg("s").alias("m"), F.stddev_samp("s").alias("d")).alias("t")).scalar()
         observed = out.select("statistic").scalar()
         extreme = stats.agg(F.count_if(F.abs("s") >= F.abs(observed) - TIE_EPSILON)).scalar()
-        out = out.withColumns({"p_value": (extreme + 1) / F.lit(draws + 1.0), "z_score": (F.col("statistic") - null["m"]) / F.nullif(null["d"], F.lit(0.0))})
+        out = out.withColumns({"p_value": (extreme + 1) / F.lit(draws + 1.0), "z_score": F.when(null["d"] > TIE_EPSILON, (F.col("statistic") - null["m"]) / null["d"])})
     return out.withColumn("reason", _reason(values, edges, value))
 
 

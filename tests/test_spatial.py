@@ -294,3 +294,9 @@ def test_left_out_lists_need_a_neighbour(spark):
     same = spark.createDataFrame([(1, 0.0, 0.0, 1.0), (2, 0.0, 0.0, 2.0)], "id long, lat double, lon double, v double")
     with pytest.raises(ValueError, match="no neighbours"):
         N.left_out_neighbours(same, "id", "v", 3)
+
+
+def test_no_z_where_every_draw_gives_one_statistic(spark):
+    df = spark.createDataFrame([(i, float(i), float(i % 3), float(i * i % 7)) for i in range(12)], "id long, lat double, lon double, v double")
+    m = S.moran(df, S.band_weights(df, "id", 9000.0), "id", "v", 99).first()  # every unit neighbours every other
+    assert m.statistic == pytest.approx(-1 / 11) and m.p_value == 1.0 and m.z_score is None
