@@ -6,7 +6,10 @@ coordinate collapse to one row before any pairing, so copies never multiply.
 
 from __future__ import annotations
 
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from tesserine.session import cut_lineage
 
 #: Coordinates up to which all pairs are formed; more go through the pyramid, with the same result.
 PAIRED_DIRECTLY = 2_000
+#: Trials of a unit (one draw each) that a task makes, and units whose values are sent to every task for looking up.
+TASK_TRIALS, LOOKUP_ROWS = 250_000, 1_000_000
 
 
 def _cube(x: Column | str, size: Column | float) -> Column:
@@ -225,26 +230,33 @@ def local_moran_p(values: DataFrame, edges: DataFrame, key: str, value: str, dra
     from tesserine.operators.ordering import row_ids
 
     local = cut_lineage(local_moran(values, edges, key, value))
-    z = row_ids(local.select(key, "z"), [key], "_pos", max_rows)
-    n = z.agg(F.count("*")).scalar()
+    z = cut_lineage(row_ids(local.select(key, "z"), [key], "_pos", max_rows))
+    n = z.count()
     m2 = z.agg(F.avg(F.col("z") * F.col("z"))).scalar()
     weights = edges.groupBy(F.col("i").alias(key)).agg(F.array_sort(F.collect_list(F.struct("j", "w"))).alias("_e"))  # one row per neighbour
-    units = z.join(weights, key).withColumns({"_k": F.size("_e"), "_n": n})
-    trials = units.select(key, "z", "_pos", "_e", "_k", "_n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-
-    def uniform(slot: Column) -> Column:
-        text = F.concat_ws("|", F.lit(seed), F.col("draw"), F.col(key), slot)
-        return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(16**12)
-
-    picks = F.aggregate(
-        F.sequence(F.col("_n") - 1 - F.col("_k"), F.col("_n") - 2), F.expr("cast(array() as array<bigint>)"),
-        lambda acc, t: F.concat(acc, F.array(F.when(F.array_contains(acc, F.floor(uniform(t) * (t + 1))), t.cast("bigint")).otherwise(F.floor(uniform(t) * (t + 1))))))
-    picked = trials.withColumn("_picks", picks).select(
-        key, F.col("z").alias("zi"), "_pos", "draw", F.posexplode("_picks").alias("_s", "_idx"), F.col("_e"))
-    placed = picked.select(key, "zi", "draw", F.col("_e")[F.col("_s")]["w"].alias("w"),
-                           F.when(F.col("_idx") < F.col("_pos"), F.col("_idx")).otherwise(F.col("_idx") + 1).alias("_other"))
-    drawn = placed.join(z.select(F.col("_pos").alias("_other"), F.col("z").alias("zj")), "_other")
-    sims = drawn.groupBy(key, "draw", "zi").agg(F.sum(F.col("w") * F.col("zj")).alias("_lag")).withColumn("sim", F.col("zi") * F.col("_lag") / m2)
+    units = z.join(weights, key).select(key, F.col(key).cast("string").alias("_text"), "_pos", F.col("_e.w").alias("_w"))
+    # A few thousand units make millions of picks: they are spread by the picks, not by the size of the unit table.
+    units = units.repartition(max(z.sparkSession.sparkContext.defaultParallelism, n * draws // TASK_TRIALS), key)
+
+    def pick(batches):
+        for batch in batches:
+            for at, (text, pos, w) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_text", "_pos", "_w")), strict=True)):
+                last = np.arange(n - 1 - len(w), n - 1)
+                u = b"".join(md5(f"{seed}|{d}|{text}|{t}".encode()).digest()[:6] for d in range(1, draws + 1) for t in last.tolist())
+                u = np.frombuffer(u, np.uint8).reshape(draws, len(w), 6) @ 256.0 ** np.arange(5, -1, -1) / float(16**12)
+                drawn = np.floor(u * (last + 1)).astype(np.int64)
+                for s in range(1, len(w)):  # a position drawn before gives way to the last one allowed
+                    drawn[:, s] = np.where((drawn[:, :s] == drawn[:, s, None]).any(axis=1), last[s], drawn[:, s])
+                rows = drawn.size
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(key).take(pa.array(np.full(rows, at))), pa.array(np.repeat(np.arange(1, draws + 1, dtype=np.int32), len(w))),
+                     pa.array(np.tile(np.array(w, float), draws)), pa.array((drawn + (drawn >= pos)).ravel())], names=[key, "draw", "w", "_other"])
+
+    placed = units.mapInArrow(pick, f"`{key}` {dict(units.dtypes)[key]}, draw int, w double, _other long")
+    found = z.select(F.col("_pos").alias("_other"), F.col("z").alias("zj"))
+    drawn = placed.join(F.broadcast(found) if n <= LOOKUP_ROWS else found, "_other")
+    lags = drawn.groupBy(key, "draw").agg(F.sum(F.col("w") * F.col("zj")).alias("_lag"))
+    sims = lags.join(z.select(key, F.col("z").alias("zi")), key).withColumn("sim", F.col("zi") * F.col("_lag") / m2)
     scored = sims.join(local.select(key, "local_i"), key).groupBy(key).agg(
         ((F.count_if(F.abs("sim") >= F.abs("local_i") - TIE_EPSILON) + 1) / F.lit(draws + 1.0)).alias("p_value"))
     return local.join(scored, key, "left").withColumn(

@@ -300,3 +300,26 @@ def test_no_z_where_every_draw_gives_one_statistic(spark):
     df = spark.createDataFrame([(i, float(i), float(i % 3), float(i * i % 7)) for i in range(12)], "id long, lat double, lon double, v double")
     m = S.moran(df, S.band_weights(df, "id", 9000.0), "id", "v", 99).first()  # every unit neighbours every other
     assert m.statistic == pytest.approx(-1 / 11) and m.p_value == 1.0 and m.z_score is None
+
+
+@pytest.mark.parametrize("lookup", [0, 1000])
+def test_local_p_of_draws_dealt_out_to_many_tasks(spark, monkeypatch, lookup):
+    from hashlib import md5
+    monkeypatch.setattr(S, "TASK_TRIALS", 50)
+    monkeypatch.setattr(S, "LOOKUP_ROWS", lookup)
+    rng = np.random.default_rng(8)
+    n, draws = 14, 49
+    f = pd.DataFrame({"id": np.arange(n) * 3, "lat": rng.uniform(-60, 60, n), "lon": rng.uniform(-180, 180, n), "v": rng.normal(size=n)})
+    df = spark.createDataFrame(f)
+    edges = S.knn_weights(df, "id", 4)
+    got = S.local_moran_p(df, edges, "id", "v", draws).toPandas().set_index("id")
+    z = (f.v - f.v.mean()).to_numpy()
+    for pos, key in enumerate(f.id):
+        others, count = np.delete(z, pos), 0
+        for d in range(1, draws + 1):
+            chosen = []
+            for t in range(n - 5, n - 1):
+                c = int(int(md5(f"0|{d}|{key}|{t}".encode()).hexdigest()[:12], 16) / 16**12 * (t + 1))
+                chosen.append(t if c in chosen else c)
+            count += abs(z[pos] * others[chosen].mean() / np.mean(z * z)) >= abs(got.local_i[key]) - 1e-12
+        assert got.p_value[key] == pytest.approx((count + 1) / (draws + 1))
