@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserine.operators.spatial import nearest, ring_statistics
+from tesserine.operators.spatial import nearest, ring_statistics, training_semivariances
 from tesserine.session import cut_lineage
 
 
@@ -56,6 +56,20 @@ def variogram(points: DataFrame, value: str, max_km: float, n_bins: int = 12) ->
     return rings.select(mid.alias("h"), F.col("semivariance").alias("gamma"), F.col("n_pairs").cast("double").alias("n")).coalesce(1).mapInPandas(fit, _FIT)
 
 
+def fold_variograms(points: DataFrame, value: str, fold: str, max_km: float, n_bins: int = 12) -> DataFrame:
+    """(fold, nugget, psill, range_km): the variogram of the rows outside each fold, all from one comparison of pairs."""
+    edges = [max_km * i / n_bins for i in range(n_bins + 1)]
+    rings = training_semivariances(points, value, fold, edges)
+    kind = dict(rings.dtypes)[fold]
+
+    def fit(key, bins):
+        return pd.DataFrame([(key[0], *_fit_spherical(bins.sort_values("h")))], columns=[fold, "nugget", "psill", "range_km"])  # at most n_bins rows
+
+    mid = (F.col("ring") + 0.5) * (max_km / n_bins)
+    bins = rings.select(fold, mid.alias("h"), F.col("semivariance").alias("gamma"), F.col("n_pairs").cast("double").alias("n"))
+    return bins.groupBy(fold).applyInPandas(fit, f"`{fold}` {kind}, nugget double, psill double, range_km double")
+
+
 _KRIGE = T.StructType([T.StructField("kriging", T.DoubleType()), T.StructField("variance", T.DoubleType())])
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tesserine.functions.columns import haversine_km, km_to_chord, unit_xyz
 from tesserine.operators.coupling import TIE_EPSILON, permuted
 from tesserine.operators.neighbours import TIE_DIGITS, closest_coordinates
-from tesserine.operators.pyramid import counts_within, ring_of, ring_sums
+from tesserine.operators.pyramid import counts_within, fold_ring_sums, ring_of, ring_sums
 from tesserine.session import cut_lineage
 
 #: Coordinates up to which all pairs are formed; more go through the pyramid, with the same result.
@@ -289,6 +289,20 @@ def ring_statistics(points: DataFrame, value: str, edges_km: list[float]) -> Dat
     return rings.select("ring", (F.col("c") / 2).cast("bigint").alias("n_pairs"), (total["n"] / F.col("c") * F.col("x") / total["q"]).alias("morans_i"), (F.col("d") / F.col("c") / 2.0).alias("semivariance"))
 
 
+def training_semivariances(points: DataFrame, value: str, fold: str, edges_km: list[float]) -> DataFrame:
+    """(fold, ring, n_pairs, semivariance) of the rows outside every fold, from one comparison of all coordinates.
+
+    A pair counts for all folds that hold neither of its rows, so no fold is compared by itself.
+    """
+    mu = points.agg(F.avg(value)).scalar()
+    z = points.select("lat", "lon", F.col(fold).cast("long").alias("fold"), (F.col(value) - mu).alias("z"))
+    sums = cut_lineage(z.groupBy("lat", "lon", "fold").agg(F.count("*").alias("n"), F.sum("z").alias("s"), F.sum(F.col("z") * F.col("z")).alias("q")))
+    pairs = cut_lineage(fold_ring_sums(sums, edges_km))
+    out = sums.select(F.col("fold").alias("_out")).distinct()
+    kept = pairs.join(out, (F.col("fold") != F.col("_out")) & (F.col("bfold") != F.col("_out"))).groupBy("_out", "ring").agg(F.sum("c").alias("c"), F.sum("d").alias("d")).where("c > 0")
+    return kept.select(F.col("_out").alias(fold), "ring", (F.col("c") / 2).cast("bigint").alias("n_pairs"), (F.col("d") / F.col("c") / 2.0).alias("semivariance"))
+
+
 def count_within(points: DataFrame, key: str, radius_km: float) -> DataFrame:
     """Other points within the radius of each point, counted per coordinate first."""
     sums = cut_lineage(points.groupBy("lat", "lon").agg(F.count("*").alias("n")))

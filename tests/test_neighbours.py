@@ -144,3 +144,18 @@ def test_buffers_need_only_the_nearest_test_row(spark):
     kept = {r.id for r in S.outside_buffer(df.where("id % 5 <> 0"), df.where("id % 5 = 0"), 700.0).collect()}
     d = NB._km(*(f[c].to_numpy() for c in ("lat", "lon", "lat", "lon")))
     assert kept == {i for i in range(200) if i % 5 and not (d[i, ::5] <= 700.0).any()}
+
+
+@pytest.mark.parametrize(("rings", "batch"), [([0.0, 40.0, 3000.0, 9000.0], 1 << 20), ([0.0, 800.0, 21000.0], 400), ([100.0, 800.0, 21000.0], 1)])
+def test_training_semivariances_of_all_folds_equal_each_fold_by_itself(spark, monkeypatch, rings, batch):
+    monkeypatch.setattr(PY, "BATCH_PAIRS", batch)
+    f = many(260, seed=9).assign(fold=lambda x: x.id % 4)  # records at one coordinate are in different folds
+    got = S.training_semivariances(spark.createDataFrame(f), "v", "fold", rings).toPandas().set_index(["fold", "ring"])
+    d = NB._km(*(f[c].to_numpy() for c in ("lat", "lon", "lat", "lon")))
+    v = f.v.to_numpy()
+    for fold in range(4):
+        kept = (f.fold != fold).to_numpy()
+        for r, (a, b) in enumerate(zip(rings, rings[1:], strict=False)):
+            i, j = np.nonzero(np.triu((d >= a) & (d < b) & kept[:, None] & kept, 1))
+            assert got.n_pairs[fold, r] == len(i)
+            assert got.semivariance[fold, r] == pytest.approx(0.5 * np.mean((v[i] - v[j]) ** 2))
