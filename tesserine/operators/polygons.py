@@ -6,8 +6,11 @@ ring. Edges of one latitude enclose nothing by Green's theorem and are left out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,10 @@ from tesserine.session import cut_lineage
 
 EDGE = ["x1", "y1", "x2", "y2"]
 BLOCK = ["r0", "r1", "c0", "c1"]
+#: Edges up to which all edges of a ring are paired, and pieces that the rows of a block can at most be cut into for one task to walk it to its cells.
+SHORT_RING, TASK_PIECES = 32, 1 << 22
+#: Squares that hold boxes of rings have sides of 2 to the power of -LEVELS .. LEVELS degrees.
+LEVELS = 9
 
 
 def ring_edges(vertices: DataFrame, by: list[str]) -> DataFrame:
@@ -30,14 +37,17 @@ def ring_edges(vertices: DataFrame, by: list[str]) -> DataFrame:
     return first.join(second, [*key, "_next"]).where("x1 <> x2 or y1 <> y2").select(*key, "seq", *EDGE)
 
 
-def _range_cells(low: Column, high: Column, size: float) -> Column:
+def _range_cells(low: Column, high: Column, size: float | Column) -> Column:
     return F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
 
 
 def _crossings(edges: DataFrame, key: list[str], size: float) -> DataFrame:
     """(key, seq, px, py, along) for every place where an edge of a ring must be cut; px is null where two edges run along each other."""
-    cells = edges.withColumn("_i", _range_cells(F.least("x1", "x2"), F.greatest("x1", "x2"), size)).withColumn(
-        "_j", _range_cells(F.least("y1", "y2"), F.greatest("y1", "y2"), size))
+    # a short ring is one square: its edges are fewer than the squares they pass
+    sizes = edges.groupBy(*key).agg((F.count("*") <= SHORT_RING).alias("_short"))
+    squares = lambda a, b: F.explode(F.when(F.col("_short"), F.array(F.lit(0).cast("bigint"))).otherwise(
+        F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))))
+    cells = edges.join(sizes, key).withColumn("_i", squares("x1", "x2")).withColumn("_j", squares("y1", "y2")).drop("_short")
     other = cells.select(*key, "_i", "_j", F.col("seq").alias("_q"), *[F.col(c).alias(f"b{c}") for c in EDGE])
     pairs = cells.join(other, [*key, "_i", "_j"]).where("seq < _q").select(*key, "seq", "_q", *EDGE, *[f"b{c}" for c in EDGE]).distinct()
     rx, ry, sx, sy = (F.col(a) - F.col(b) for a, b in (("x2", "x1"), ("y2", "y1"), ("bx2", "bx1"), ("by2", "by1")))
@@ -123,7 +133,17 @@ def nesting_levels(edges: DataFrame, by: list[str], band: float = 1.0) -> DataFr
     """(by, ring, level): 1 plus the number of rings of the same map around the ring, by the parity of edges beyond one of its points."""
     low = edges.groupBy(*by, "ring").agg(F.min(F.struct("y1", "x1", "y2", "x2")).alias("_e"))
     point = low.select(*by, F.col("ring").alias("_r"), ((F.col("_e.x1") + F.col("_e.x2")) / 2).alias("px"), ((F.col("_e.y1") + F.col("_e.y2")) / 2).alias("py"))
-    hits = _ray_hits(point, edges, by, band).where("ring <> _r")
+    # only a ring whose box holds the point can lie around it; a box takes four squares at most of a size of its own
+    box = edges.groupBy(*by, "ring").agg(*[f(g(f"{c}1", f"{c}2")).alias(f"_{n}{c}") for c in "xy" for n, f, g in (("lo", F.min, F.least), ("hi", F.max, F.greatest))])
+    side = F.greatest(F.col("_hix") - F.col("_lox"), F.col("_hiy") - F.col("_loy"), F.lit(2.0 ** -LEVELS))
+    box = cut_lineage(box.withColumn("_l", F.least(F.ceil(F.log2(side)), F.lit(LEVELS)).cast("int")))
+    used = [r["_l"] for r in box.select("_l").distinct().collect()]  # at most one value per level
+    size = F.pow(F.lit(2.0), F.col("_l"))
+    squares = box.withColumn("_i", _range_cells(F.col("_lox"), F.col("_hix"), size)).withColumn("_j", _range_cells(F.col("_loy"), F.col("_hiy"), size))
+    probes = point.withColumn("_l", F.explode(F.array(*[F.lit(v) for v in used]) if used else F.array().cast("array<int>")))
+    probes = probes.withColumns({"_i": F.floor(F.col("px") / size), "_j": F.floor(F.col("py") / size)})
+    near = probes.join(squares, [*by, "_l", "_i", "_j"]).where("ring <> _r and px between _lox and _hix and py between _loy and _hiy")
+    hits = _ray_hits(near.select(*by, "_r", "ring", "px", "py"), edges, [*by, "ring"], band)
     around = hits.groupBy(*by, "_r", "ring").agg((F.count("*") % 2).alias("_odd")).groupBy(*by, F.col("_r").alias("ring")).agg(F.sum("_odd").alias("_d"))
     return low.drop("_e").join(around, [*by, "ring"], "left").select(*by, "ring", (F.coalesce("_d", F.lit(0)) + 1).cast("bigint").alias("level"))
 
@@ -156,55 +176,129 @@ def _halves(low: str, high: str) -> Column:
     return F.explode(F.when(F.col(high) - F.col(low) > 1, F.array(pair(F.col(low), middle), pair(middle, F.col(high)))).otherwise(F.array(pair(F.col(low), F.col(high)))))
 
 
-def _clipped(state: DataFrame, by: list[str], step: float, west: float, south: float) -> DataFrame:
-    """The rows of `state`, each already given a smaller block, cut to that block.
+def _clip(block: tuple, edge: tuple, d: np.ndarray, step: float, west: float, south: float) -> tuple[np.ndarray, tuple, np.ndarray]:
+    """(row, edge, d) of what is left of rows that were each given a smaller block (r0, r1, c0, c1); x1 is NaN in marks.
 
     What lies left of the block is dropped. What lies right of it acts as if it ran up or down the block's right side; only the heights where
-    that begins (+1) and ends (-1) are kept, and these cancel along a coast, so a block far from any edge has one such row or none.
+    that begins (+1) and ends (-1) are kept as marks, and these cancel along a coast, so a block far from any edge has one such row or none.
     """
-    boxed = state.withColumns({"_west": F.col("c0") * step + west, "_east": F.col("c1") * step + west,
-                               "_south": F.col("r0") * step + south, "_north": F.col("r1") * step + south})
-    low, high = F.col("_south"), F.col("_north")
-    edges = boxed.where("x1 is not null")
-    clamp = lambda v, a, b: F.least(F.greatest(v, a), b)
-    slope = (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    for end in "12":
-        y = clamp(F.col(f"y{end}"), low, high)
-        edges = edges.withColumn(f"_y{end}", y).withColumn(f"_x{end}", F.when(F.col(f"_y{end}") == F.col(f"y{end}"), F.col(f"x{end}")).otherwise(
-            F.col("x1") + (F.col(f"_y{end}") - F.col("y1")) * slope))
-    edges = edges.where("_y1 <> _y2")
-    rise = (F.col("y2") - F.col("y1")) / F.nullif(F.col("x2") - F.col("x1"), F.lit(0.0))
-    between = lambda x: clamp(F.col("y1") + (x - F.col("x1")) * rise, F.least("_y1", "_y2"), F.greatest("_y1", "_y2"))
-    edges = edges.withColumns({"_left": between(F.col("_west")), "_right": between(F.col("_east"))})
-
-    def inner(end: str) -> tuple[Column, Column]:
-        x, y = F.col(f"_x{end}"), F.col(f"_y{end}")
-        return clamp(x, F.col("_west"), F.col("_east")), F.when(x < F.col("_west"), F.col("_left")).when(x > F.col("_east"), F.col("_right")).otherwise(y)
-
-    (ax, ay), (bx, by_) = inner("1"), inner("2")
+    r0, r1, c0, c1 = block
+    x1, y1, x2, y2 = edge
+    old = np.flatnonzero(np.isnan(x1))
+    low, high = r0 * step + south, r1 * step + south
+    level = np.maximum(y1[old], low[old])
+    old, level = old[level < high[old]], level[level < high[old]]
+    row = np.flatnonzero(~np.isnan(x1) & (np.maximum(y1, y2) > low) & (np.minimum(y1, y2) < high))
+    low, high, left, right = low[row], high[row], c0[row] * step + west, c1[row] * step + west
+    x1, y1, x2, y2 = (v[row] for v in edge)
+    slope = (x2 - x1) / (y2 - y1)
+    ya, yb = (np.minimum(np.maximum(y, low), high) for y in (y1, y2))
+    xa, xb = (np.where(at == y, x, x1 + (at - y1) * slope) for at, y, x in ((ya, y1, x1), (yb, y2, x2)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rise = np.where(x1 == x2, np.nan, (y2 - y1) / (x2 - x1))
+        between = [np.fmin(np.fmax(y1 + (x - x1) * rise, np.minimum(ya, yb)), np.maximum(ya, yb)) for x in (left, right)]
+    ends = [(np.minimum(np.maximum(x, left), right), np.where(x < left, between[0], np.where(x > right, between[1], y))) for x, y in ((xa, ya), (xb, yb))]
+    piece = np.flatnonzero((np.maximum(xa, xb) > left) & (np.minimum(xa, xb) < right) & (ends[0][1] != ends[1][1]))
+    begins, stops = (np.where(x >= right, y, between[1]) for x, y in ((xa, ya), (xb, yb)))
+    beyond = (np.maximum(xa, xb) >= right) & (begins != stops)
+    up, down = (np.flatnonzero(beyond & (y < high)) for y in (begins, stops))
+    marks = [(old, level, d[old]), (row[up], begins[up], np.ones(len(up))), (row[down], stops[down], -np.ones(len(down)))]
+    none = np.full(sum(len(m[0]) for m in marks), np.nan)
+    made = tuple(np.concatenate([v, *more]) for v, more in zip(
+        (ends[0][0][piece], ends[0][1][piece], ends[1][0][piece], ends[1][1][piece]), ((none,), [m[1] for m in marks], (none,), (none,)), strict=True))
+    return np.concatenate([row[piece], *[m[0] for m in marks]]), made, np.concatenate([np.full(len(piece), np.nan), *[m[2] for m in marks]])
+
+
+def _columns(rows: pa.Table | pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
+    """Columns as arrays; NULL is NaN."""
+    return [np.asarray(rows.column(c).to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column(c).to_numpy()) for c in names]
+
+
+def _clipped(state: DataFrame, by: list[str], step: float, west: float, south: float) -> DataFrame:
+    """The rows of `state`, each already given a smaller block, cut to that block (see `_clip`)."""
+    names = [*by, *BLOCK, *EDGE, "d"]
+    state = state.select(*names)
+
+    def clip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, edge, d = _clip(tuple(_columns(batch, BLOCK)), tuple(v.astype(float) for v in _columns(batch, EDGE)), _columns(batch, ["d"])[0].astype(float), step, west, south)
+            kept = [batch.column(c).take(pa.array(row)) for c in (*by, *BLOCK)]
+            whole = pa.array(np.where(np.isnan(d), 0, d).astype(np.int64), mask=np.isnan(d))
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(v, mask=np.isnan(v)) for v in edge], whole], names=names)
+
+    cut = state.mapInArrow(clip, state.schema)
     none = F.lit(None).cast("double")
-    piece = F.struct(ax.alias("x1"), ay.alias("y1"), bx.alias("x2"), by_.alias("y2"), F.lit(None).cast("bigint").alias("d"))
-
-    def mark(y: Column, d: int) -> Column:
-        return F.struct(none.alias("x1"), y.alias("y1"), none.alias("x2"), none.alias("y2"), F.lit(d).cast("bigint").alias("d"))
-
-    out = lambda end: F.when(F.col(f"_x{end}") >= F.col("_east"), F.col(f"_y{end}")).otherwise(F.col("_right"))
-    has_piece = (F.greatest("_x1", "_x2") > F.col("_west")) & (F.least("_x1", "_x2") < F.col("_east")) & (ay != by_)
-    beyond = F.greatest("_x1", "_x2") >= F.col("_east")
-    rows = F.inline(F.filter(F.array(F.when(has_piece, piece), F.when(beyond & (out("1") != out("2")), mark(out("1"), 1)), F.when(beyond & (out("1") != out("2")), mark(out("2"), -1))), lambda r: r.isNotNull()))
-    cut = edges.select(*by, *BLOCK, rows)
-    old = boxed.where("x1 is null").select(*by, *BLOCK, "x1", F.greatest("y1", "_south").alias("y1"), "x2", "y2", "d")
-    marks = cut.where("d is not null").unionByName(old).withColumn("_top", F.col("r1") * step + south).where("y1 < _top").groupBy(*by, *BLOCK, "y1").agg(F.sum("d").alias("d")).where("d <> 0")
+    marks = cut.where("d is not null").groupBy(*by, *BLOCK, "y1").agg(F.sum("d").alias("d")).where("d <> 0")
     return cut.where("d is null").unionByName(marks.select(*by, *BLOCK, none.alias("x1"), "y1", none.alias("x2"), none.alias("y2"), "d"))
 
 
+def _areas(block: tuple, edge: tuple, d: np.ndarray, step: float, west: float, south: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every row: whether an edge shows in it, and what it adds to its block in square degrees and square kilometres (see `_green`)."""
+    r0, r1, c0, c1 = block
+    x1, y1, x2, y2 = edge
+    mark, top, width = np.isnan(x1), r1 * step + south, (c1 - c0) * step
+    x0 = c0 * step + west
+    a, b, p, q = np.radians(x1 - x0), np.radians(x2 - x0), np.radians(y1), np.radians(y2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sphere = b * np.sin(q) - a * np.sin(p) + np.where(q == p, np.nan, (b - a) / (q - p)) * (np.cos(q) - np.cos(p))
+    flat = np.where(mark, width * d * (top - y1), ((x1 + x2) / 2 - x0) * (y2 - y1))
+    return ~mark | (y1 > r0 * step + south), flat, EARTH_RADIUS_KM ** 2 * np.nan_to_num(np.where(mark, np.radians(width) * d * (np.sin(np.radians(top)) - np.sin(p)), sphere))
+
+
+def _finisher(by: list[str], step: float, west: float, south: float):
+    """The rest of the walk of one block whose rows make at most `TASK_PIECES` pieces: the same halving, clipping and sums."""
+
+    def finish(rows: pa.Table) -> pa.Table:
+        block, edge, d = tuple(_columns(rows, BLOCK)), tuple(v.astype(float) for v in _columns(rows, EDGE)), _columns(rows, ["d"])[0].astype(float)
+        done = []
+        while len(d):
+            name = block[0] * (1 << 32) + block[2]  # blocks of one round do not overlap
+            _, first, at = np.unique(name, return_index=True, return_inverse=True)
+            shows, flat, sphere = _areas(block, edge, d, step, west, south)
+            r0, r1, c0, c1 = (v[first] for v in block)
+            single, empty = (r1 - r0 == 1) & (c1 - c0 == 1), np.bincount(at, shows) == 0
+            ready = single | empty
+            done.append([v[ready] for v in (empty, r0, r1, c0, c1, np.bincount(at, flat), np.bincount(at, sphere))])
+            on = ~ready[at]
+            block, edge, d = tuple(v[on] for v in block), tuple(v[on] for v in edge), d[on]
+            halves = []
+            for low, high in (block[:2], block[2:]):
+                middle, two = (low + high) // 2, high - low > 1
+                halves.append([(np.ones(len(low), bool), low, np.where(two, middle, high)), (two, middle, high)])
+            parts = []
+            for has_r, ra, rb in halves[0]:
+                for has_c, ca, cb in halves[1]:
+                    use = has_r & has_c
+                    given = tuple(v[use] for v in (ra, rb, ca, cb))
+                    row, made, e = _clip(given, tuple(v[use] for v in edge), d[use], step, west, south)
+                    parts.append([*[v[row] for v in given], *made, e])
+            r0, r1, c0, c1, x1, y1, x2, y2, d = (np.concatenate(v) for v in zip(*parts, strict=True))
+            # marks of one height are added up, and cancel
+            marks = np.flatnonzero(~np.isnan(d))
+            marks = marks[np.lexsort((y1[marks], c0[marks], r0[marks]))]
+            fresh = np.ones(len(marks), bool)
+            fresh[1:] = np.any([v[marks][1:] != v[marks][:-1] for v in (r0, c0, y1)], axis=0)
+            d[marks[fresh]] = np.bincount(np.cumsum(fresh) - 1, d[marks]) if len(marks) else 0.0
+            keep = np.isnan(d)
+            keep[marks[fresh]] = d[marks[fresh]] != 0
+            block, edge, d = tuple(v[keep] for v in (r0, r1, c0, c1)), tuple(v[keep] for v in (x1, y1, x2, y2)), d[keep]
+        full, r0, r1, c0, c1, flat, sphere = (np.concatenate(v) for v in zip(*done, strict=True))
+        same = pa.array(np.zeros(len(full), np.int64))
+        return pa.table({**{c: rows.column(c).take(same) for c in by}, "kind": pa.array(np.where(full, "full", "cell").tolist(), pa.string()),
+                         **dict(zip(BLOCK, (r0, r1, c0, c1), strict=True)), "frac": flat / ((r1 - r0) * (c1 - c0) * (step * step)), "deg2": flat, "km2": sphere})
+
+    return finish
+
+
 def quadtree_walk(edges: DataFrame, by: list[str], step: float, rows: int, cols: int, west: float = -180.0, south: float = -90.0,
                   targets: DataFrame | None = None) -> DataFrame:
     """(by, kind, r0, r1, c0, c1, frac, deg2, km2): blocks wholly inside (`full`) and single grid cells that edges pass (`cell`).
 
     `edges` are directed (see `land_edges`), `rows` x `cols` cells of side `step` begin at (south, west). Each round halves the blocks that
     edges still pass and clips their edges; a block that no edge passes (an edge of one latitude shows by where the land beside the
-    block begins or ends) is settled as full or as outside, which has no row. A round moves no edge: only heights on block sides are grouped. `targets` (by, r, c) restricts the walk to blocks that hold such a cell; each
+    block begins or ends) is settled as full or as outside, which has no row. A round moves no edge: only heights on block sides are grouped. A block
+    whose rows, each crossing all its rows and columns of cells, would make at most `TASK_PIECES` pieces is walked to its cells by one task, so
+    rounds are few; with targets all of it goes in rounds. `targets` (by, r, c) restricts the walk to blocks that hold such a cell; each
     full block is then still whole. Areas are exact for edges straight in longitude and latitude.
     """
     keys = [*by, *BLOCK]
@@ -219,14 +313,20 @@ def quadtree_walk(edges: DataFrame, by: list[str], step: float, rows: int, cols:
         flat, sphere = _green(x0)
         beside = EARTH_RADIUS_KM ** 2 * F.radians(width) * F.col("d") * (F.sin(F.radians(top)) - F.sin(F.radians("y1")))
         sums = state.groupBy(*keys).agg(
-            F.count_if(F.col("x1").isNotNull() | (F.col("y1") > F.col("r0") * step + south)).alias("_edges"), F.sum(F.when(F.col("x1").isNull(), width * F.col("d") * (top - F.col("y1"))).otherwise(flat)).alias("deg2"),
+            F.count("*").alias("_rows"), F.count_if(F.col("x1").isNotNull() | (F.col("y1") > F.col("r0") * step + south)).alias("_edges"), F.sum(F.when(F.col("x1").isNull(), width * F.col("d") * (top - F.col("y1"))).otherwise(flat)).alias("deg2"),
             F.sum(F.when(F.col("x1").isNull(), beside).otherwise(sphere)).alias("km2"))
         single = (F.col("r1") - F.col("r0") == 1) & (F.col("c1") - F.col("c0") == 1)
         kind = F.when(F.col("_edges") == 0, "full").when(single, "cell")
         sums = cut_lineage(sums.withColumn("kind", kind))
         whole = (F.col("r1") - F.col("r0")) * (F.col("c1") - F.col("c0")) * (step * step)
         done.append(sums.where("kind is not null").select(*by, "kind", *BLOCK, (F.col("deg2") / whole).alias("frac"), "deg2", "km2"))
-        left = sums.where("kind is null").select(*keys)
+        left = sums.where("kind is null")
+        if wanted is None:
+            fits = F.col("_rows") * (F.col("r1") - F.col("r0") + F.col("c1") - F.col("c0")) <= TASK_PIECES
+            small = state.join(left.where(fits).select(*keys), keys, "left_semi").select(*keys, *EDGE, "d")
+            done.append(small.groupBy(*keys).applyInArrow(_finisher(by, step, west, south), done[0].schema))
+            left = left.where(~fits)
+        left = left.select(*keys)
         if wanted is not None:
             left = left.join(wanted.select(*keys).distinct(), keys, "left_semi")
         if left.isEmpty():

@@ -130,3 +130,50 @@ def test_targets_restrict_the_walk(spark):
     got = {(r.r, r.c): r.frac for r in G.block_cells(G.quadtree_walk(edges, ["sheet"], 1.0, 8, 8, 0.0, 0.0, targets=some)).collect()}
     assert got[0, 0] == 0.25 and got[5, 7] == 0.5 and (0, 6) not in got and all(everything[k] == v for k, v in got.items())
     assert G.quadtree_walk(edges.limit(0), ["sheet"], 1.0, 8, 8, 0.0, 0.0).count() == 0
+
+
+def _wild(spark):
+    rng = np.random.default_rng(11)
+    rings = {1: star(rng, 2.0, 1.0, 6.5, 40), 2: star(rng, 2.0, 1.0, 1.5, 15), 3: [(-7.0, -6.0), (-6.0, -6.0), (-6.0, 7.0), (-7.0, 7.0)]}
+    edges, _ = G.repair_rings(G.ring_edges(vertices(spark, rings), ["sheet"]), ["sheet"])
+    return G.land_edges(edges.join(G.nesting_levels(edges, ["sheet"]), ["sheet", "ring"])).unionByName(
+        G.land_edges(edges.join(G.nesting_levels(edges, ["sheet"]), ["sheet", "ring"])).withColumn("sheet", F.lit(5).cast("long")))
+
+
+def test_blocks_walked_by_one_task_equal_those_halved_in_rounds(spark, monkeypatch):
+    land = _wild(spark).cache()
+    kinds = {}
+    for pieces in (0, 300, 1 << 22):  # rounds only, both, tasks only
+        monkeypatch.setattr(G, "TASK_PIECES", pieces)
+        found = G.quadtree_walk(land, ["sheet"], 0.75, 21, 23, -7.5, -6.75).collect()
+        kinds[pieces] = {(r.sheet, r.kind, r.r0, r.r1, r.c0, r.c1): (r.frac, r.deg2, r.km2) for r in found}
+        assert len(kinds[pieces]) == len(found)
+    for pieces in (300, 1 << 22):
+        assert kinds[pieces].keys() == kinds[0].keys()
+        for k, v in kinds[0].items():
+            assert kinds[pieces][k] == pytest.approx(v, rel=1e-9, abs=1e-9)
+
+
+def test_one_task_cuts_no_more_than_a_bounded_number_of_pieces(spark, monkeypatch):
+    """A block too large for a task is halved in rounds first."""
+    monkeypatch.setattr(G, "TASK_PIECES", 300)
+    seen = []
+    plain = G._finisher
+    monkeypatch.setattr(G, "_finisher", lambda *a: seen.append(a) or plain(*a))
+    assert G.quadtree_walk(_wild(spark), ["sheet"], 0.75, 21, 23, -7.5, -6.75).count() > 0
+    assert len(seen) > 1
+
+
+def test_levels_come_from_rings_whose_box_holds_the_point(spark):
+    rng = np.random.default_rng(3)
+    rings = {k: star(rng, *rng.uniform(-20, 20, 2), reach, 45 if k % 2 else 8) for k, reach in enumerate([25, 9, 4, 2, 1, 0.5, 0.2, 0.05] * 3, 1)}
+    edges, _ = G.repair_rings(G.ring_edges(vertices(spark, rings), ["sheet"]), ["sheet"])
+    got = {r.ring: r.level for r in G.nesting_levels(edges, ["sheet"]).collect()}
+    rows = edges.toPandas()
+    for ring, own in rows.groupby("ring"):
+        low = own.loc[[min(own.index, key=lambda i: tuple(own.loc[i, ["y1", "x1", "y2", "x2"]]))]].iloc[0]
+        px, py = (low.x1 + low.x2) / 2, (low.y1 + low.y2) / 2
+        other = rows[(rows.ring != ring) & (rows.y1 != rows.y2)]
+        hit = other[(other[["y1", "y2"]].min(axis=1) <= py) & (py < other[["y1", "y2"]].max(axis=1))
+                    & (other.x1 + (py - other.y1) / (other.y2 - other.y1) * (other.x2 - other.x1) > px)]
+        assert got[ring] == 1 + (hit.groupby("ring").size() % 2).sum(), ring
