@@ -45,11 +45,15 @@ def _crossings(edges: DataFrame, key: list[str], size: float) -> DataFrame:
     """(key, seq, px, py, along) for every place where an edge of a ring must be cut; px is null where two edges run along each other."""
     # a short ring is one square: its edges are fewer than the squares they pass
     sizes = edges.groupBy(*key).agg((F.count("*") <= SHORT_RING).alias("_short"))
-    squares = lambda a, b: F.explode(F.when(F.col("_short"), F.array(F.lit(0).cast("bigint"))).otherwise(
-        F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))))
-    cells = edges.join(sizes, key).withColumn("_i", squares("x1", "x2")).withColumn("_j", squares("y1", "y2")).drop("_short")
-    other = cells.select(*key, "_i", "_j", F.col("seq").alias("_q"), *[F.col(c).alias(f"b{c}") for c in EDGE])
-    pairs = cells.join(other, [*key, "_i", "_j"]).where("seq < _q").select(*key, "seq", "_q", *EDGE, *[f"b{c}" for c in EDGE]).distinct()
+    square = lambda end, a, b: F.when(F.col("_short"), F.lit(0).cast("bigint")).otherwise(F.floor(end(a, b) / size))
+    cells = edges.join(sizes, key)
+    for at, x in (("_i", "x"), ("_j", "y")):
+        low, high = (square(end, f"{x}1", f"{x}2") for end in (F.least, F.greatest))
+        cells = cells.withColumn(f"{at}0", low).withColumn(at, F.explode(F.sequence(low, high)))
+    other = cells.select(*key, "_i", "_j", F.col("_i0").alias("_bi0"), F.col("_j0").alias("_bj0"), F.col("seq").alias("_q"), *[F.col(c).alias(f"b{c}") for c in EDGE])
+    # two edges meet in the first square that both pass, so every pair comes once
+    pairs = cells.join(other, [*key, "_i", "_j"]).where("seq < _q and _i = greatest(_i0, _bi0) and _j = greatest(_j0, _bj0)").select(
+        *key, "seq", "_q", *EDGE, *[f"b{c}" for c in EDGE])
     rx, ry, sx, sy = (F.col(a) - F.col(b) for a, b in (("x2", "x1"), ("y2", "y1"), ("bx2", "bx1"), ("by2", "by1")))
     qx, qy = F.col("bx1") - F.col("x1"), F.col("by1") - F.col("y1")
     turn, line = rx * sy - ry * sx, qx * ry - qy * rx
@@ -62,24 +66,25 @@ def _crossings(edges: DataFrame, key: list[str], size: float) -> DataFrame:
         return (F.when(F.col("_t") <= 0, F.col(f"{x}1")).when(F.col("_t") >= 1, F.col(f"{x}2")).when(F.col("_u") <= 0, F.col(f"b{x}1"))
                 .when(F.col("_u") >= 1, F.col(f"b{x}2")).otherwise(F.col(f"{x}1") + F.col("_t") * (F.col(f"{x}2") - F.col(f"{x}1"))))
 
-    meet = at.where((F.col("_turn") != 0) & F.col("_t").between(0, 1) & F.col("_u").between(0, 1)).withColumns({"px": place("x"), "py": place("y")})
-    cut = meet.select(*key, "seq", "px", "py", F.col("_t").alias("along")).union(meet.select(*key, F.col("_q").alias("seq"), "px", "py", F.col("_u").alias("along")))
-    cut = cut.where("along > 0 and along < 1")
-
     def along(px: str, py: str, b: str) -> Column:
         x1, y1, x2, y2 = (F.col(b + c) for c in EDGE)
         return ((F.col(px) - x1) * (x2 - x1) + (F.col(py) - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
 
-    same = at.where((F.col("_turn") == 0) & (F.col("_line") == 0))
+    def cut(seq: str, px: Column, py: Column, t: Column) -> Column:
+        return F.struct(F.col(seq).alias("seq"), px.alias("px"), py.alias("py"), t.alias("along"))
+
+    meet = (F.col("_turn") != 0) & F.col("_t").between(0, 1) & F.col("_u").between(0, 1)
+    same = (F.col("_turn") == 0) & (F.col("_line") == 0)
     ends = [("seq", "bx1", "by1", ""), ("seq", "bx2", "by2", ""), ("_q", "x1", "y1", "b"), ("_q", "x2", "y2", "b")]
-    touched = reduce(DataFrame.union, [same.select(*key, F.col(e).alias("seq"), F.col(x).alias("px"), F.col(y).alias("py"), along(x, y, b).alias("along"))
-                                       for e, x, y, b in ends])
-    inside = touched.where("along > 0 and along < 1")
     # two edges with the same ends have nothing to cut, but cancel
-    equal = same.where(((F.col("x1") == F.col("bx1")) & (F.col("y1") == F.col("by1")) & (F.col("x2") == F.col("bx2")) & (F.col("y2") == F.col("by2")))
-                       | ((F.col("x1") == F.col("bx2")) & (F.col("y1") == F.col("by2")) & (F.col("x2") == F.col("bx1")) & (F.col("y2") == F.col("by1"))))
+    equal = (((F.col("x1") == F.col("bx1")) & (F.col("y1") == F.col("by1")) & (F.col("x2") == F.col("bx2")) & (F.col("y2") == F.col("by2")))
+             | ((F.col("x1") == F.col("bx2")) & (F.col("y1") == F.col("by2")) & (F.col("x2") == F.col("bx1")) & (F.col("y2") == F.col("by1"))))
     none = F.lit(None).cast("double")
-    return cut.union(inside).distinct().union(equal.select(*key, "seq", none, none, none).distinct())
+    # all that a pair gives comes from one pass over the pairs, which are made once
+    found = F.when(meet, F.array(cut("seq", place("x"), place("y"), F.col("_t")), cut("_q", place("x"), place("y"), F.col("_u")))).when(
+        same, F.array(*[cut(e, F.col(x), F.col(y), along(x, y, b)) for e, x, y, b in ends], F.when(equal, cut("seq", none, none, none))))
+    each = at.where(meet | same).select(*key, F.explode(found).alias("_f")).where("_f is not null and (_f.px is null or (_f.along > 0 and _f.along < 1))")
+    return each.select(*key, "_f.seq", "_f.px", "_f.py", "_f.along").distinct()
 
 
 def _ray_hits(points: DataFrame, edges: DataFrame, key: list[str], band: float) -> DataFrame:

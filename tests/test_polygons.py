@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserine.functions.columns import EARTH_RADIUS_KM
 from tesserine.operators import polygons as G
+from tesserine.plans import polygon_plans as P
 
 
 def vertices(spark, rings, by=0):
@@ -177,3 +178,52 @@ def test_levels_come_from_rings_whose_box_holds_the_point(spark):
         hit = other[(other[["y1", "y2"]].min(axis=1) <= py) & (py < other[["y1", "y2"]].max(axis=1))
                     & (other.x1 + (py - other.y1) / (other.y2 - other.y1) * (other.x2 - other.x1) > px)]
         assert got[ring] == 1 + (hit.groupby("ring").size() % 2).sum(), ring
+
+
+def _cuts_by_hand(ring):
+    """(seq, along) of every cut, and pairs of edges with the same ends, from all pairs of edges."""
+    edges = [(*map(float, a), *map(float, b)) for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)]
+    cuts, cancel = set(), set()
+    for i, j in ((i, j) for j in range(len(edges)) for i in range(j) if edges[i][:2] != edges[i][2:] and edges[j][:2] != edges[j][2:]):
+        (ax, ay, bx, by), (cx, cy, dx, dy) = edges[i], edges[j]
+        turn, line = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx), (cx - ax) * (by - ay) - (cy - ay) * (bx - ax)
+        if turn:
+            t, u = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / turn, line / turn
+            found = [(i, t), (j, u)] if 0 <= t <= 1 and 0 <= u <= 1 else []
+        elif line == 0:
+            on = lambda x, y, e: ((x - e[0]) * (e[2] - e[0]) + (y - e[1]) * (e[3] - e[1])) / ((e[2] - e[0]) ** 2 + (e[3] - e[1]) ** 2)
+            found = [(i, on(cx, cy, edges[i])), (i, on(dx, dy, edges[i])), (j, on(ax, ay, edges[j])), (j, on(bx, by, edges[j]))]
+            cancel |= {i} if {(ax, ay), (bx, by)} == {(cx, cy), (dx, dy)} else set()
+        else:
+            found = []
+        cuts |= {(k, round(at, 9)) for k, at in found if 0 < at < 1}
+    return cuts, cancel
+
+
+def test_pairs_of_edges_are_made_once_in_squares_or_short_rings(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rings = {1: [tuple(p) for p in rng.uniform(-4, 4, (24, 2))], 2: [(0, 0), (3, 0), (3, 1), (1, 1), (1, 0), (2, 0), (2, 3), (0, 3)],
+             3: [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0), (1, 1), (2, 1), (2, 2), (1, 2), (1, 1)], 4: [(0, 0), (0, 3), (3, 3), (3, 0)]}
+    edges = G.ring_edges(vertices(spark, rings), ["sheet"])
+    edges = spark.createDataFrame(edges.collect(), edges.schema)
+    for short in (0, 9, 32):  # squares only, both, short rings only
+        monkeypatch.setattr(G, "SHORT_RING", short)
+        cuts = G._crossings(edges, ["sheet", "ring"], 0.7)
+        plan = cuts._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") == 3  # both sides learn the size of their ring, then meet once
+        rows = cuts.collect()
+        assert len(set(rows)) == len(rows)
+        for k, ring in rings.items():
+            own = [r for r in rows if r.ring == k]
+            assert ({(r.seq, round(r.along, 9)) for r in own if r.px is not None}, {r.seq for r in own if r.px is None}) == _cuts_by_hand(ring)
+
+
+def test_rounds_of_the_archipelago_do_not_follow_the_depth_of_the_grid(spark, monkeypatch):
+    """Halving 144 x 288 cells in rounds of their own writes two tables for each of nine rounds."""
+    written = []
+    plain = G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df: written.append(1) or plain(df))
+    land = G.land_edges(P.levelled(spark, "/root/testdata/sf0.001")[0])
+    before = len(written)
+    assert G.quadtree_walk(land, ["sheet"], P.STEP, P.ROWS, P.COLS).count() > 0
+    assert len(written) - before == 2
